@@ -1,12 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear over the presence of hashed words, trained in numpy on confirmed toxic
+The classifier is linear over the presence of hashed words and word parts, trained in numpy on confirmed toxic
 texts and unlabelled texts. Unlabelled texts contain toxic ones too: the risk of calling them clean
 is corrected by the class prior, and where the corrected part turns negative its gradient step is
 reversed, so that the model can't profit from memorising positives.
 
 The training rows are a bounded, hash-ordered choice (positives and unlabelled parameters); texts of
-chosen rows are hashed whole on the executors, only word cells reach the driver.
+chosen rows are hashed whole on the executors, only cells reach the driver.
 
 Edge cases: null and empty texts are scored by the bias alone; without positives every score is 0;
 texts of any length count whole; equal texts get equal scores; extra columns pass through and output
@@ -25,25 +25,32 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import map_texts
 
-BITS = 20
-CACHE = 400_000
+BITS = 21
+CACHE = 200_000
+#: Evidence (twice the log of the likelihood ratio) that a cell takes to be more frequent among positives.
+CLEAR = 10.0
 #: Stripped from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}*#$%&_-/"
 
 
 class Cells(dict):
-    """The cell of a lower-case word without punctuation at its ends; fills itself."""
+    """The cells of a lower-case word without punctuation at its ends: itself and its parts of four and
+    five characters, its beginning marked, since insults are inflected. Fills itself."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.lower().strip(EDGES)) >> (64 - BITS)
+        plain = "^" + word.lower().strip(EDGES).decode("utf-8", "replace").lower()
+        parts = {plain, *(plain[k : k + n] for n in (4, 5) for k in range(len(plain) - n + 1))}
+        found = tuple(xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts)
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
 def cells_of(text: str | None, cells: Cells) -> np.ndarray:
-    """The distinct word cells of a whole text."""
-    return np.fromiter(set(map(cells.__getitem__, (text or "").encode().split())), np.int32)
+    """The distinct cells of a whole text."""
+    return np.fromiter(set().union(*map(cells.__getitem__, set((text or "").encode().split()))), np.int32)
 
 
 class SparseRows:
@@ -61,18 +68,28 @@ class SparseRows:
         return np.bincount(self.flat, values[self.row], width)
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def evidence(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
+    """Twice the log likelihood ratio of two shares a/n and b/m being different to being one."""
+
+    def log(k: np.ndarray, of: int) -> np.ndarray:
+        share = np.clip(k / max(1, of), 1e-12, 1 - 1e-12)
+        return k * np.log(share) + (of - k) * np.log1p(-share)
+
+    share = np.clip((a + b) / (n + m), 1e-12, 1 - 1e-12)
+    return 2 * (log(a, n) + log(b, m) - (a + b) * np.log(share) - (n + m - a - b) * np.log1p(-share))
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights over all cells and a bias that minimise the non-negative PU risk with logistic loss (Adam)."""
     width = 1 << BITS
-    used = np.unique(np.concatenate([np.empty(0, np.int32), *positive])).astype(np.int64)
-    held = np.zeros(width, bool)
-    held[used] = True
-    place = np.cumsum(held) - 1
+    # Only cells that positives have clearly more often than unlabelled texts take part.
+    counts = [np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=width) for rows in (positive, unlabelled)]
+    rates = [c / max(1, len(rows)) for c, rows in zip(counts, (positive, unlabelled), strict=True)]
+    held = (rates[0] > rates[1]) & (evidence(counts[0], len(positive), counts[1], len(unlabelled)) > CLEAR)
+    used, place = np.flatnonzero(held), np.cumsum(held) - 1
     inner = [SparseRows([place[r[held[r]]] for r in rows]) for rows in (positive, unlabelled)]
     n = len(used)
-    # Cells count by how much rarer they are in unlabelled texts than anywhere: common words start small.
-    spread = np.bincount(inner[1].flat, minlength=n) / max(1, len(unlabelled))
-    scale = np.minimum(1.0, 0.05 / (spread + 0.005)) ** 0.5
+    scale = 1 / np.sqrt(1 + 100 * rates[1][used])  # common words start small
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     m = v = np.zeros(n + 1)
     for step in range(1, steps + 1):
@@ -110,7 +127,7 @@ class Toxicity:
 
 
 def chosen_cells(docs: DataFrame, ids: list[int], text: str, key: str) -> list[np.ndarray]:
-    """Word cells of the whole texts with these ids, in a fixed order."""
+    """Cells of the whole texts with these ids, in a fixed order."""
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
