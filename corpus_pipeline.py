@@ -26,9 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates: the one with the smallest doc_id
+    (one without only where no other has any)."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
     marked = simhash.fingerprints(docs, out="__mark")
     met = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__mark"] == kept["__fp"]))
     one = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64("text"))
