@@ -12,7 +12,7 @@ def docs(spark):
 
 
 def odd(spark, docs):
-    rows = [(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "123 ...", "en", None, 7), (None, "the of and", "en", "s", 9), (-4, "the of and", "en", "s", 9)]
+    rows = [(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "123 ...", "en", None, 7), (None, "the of and", "en", "s", 10), (-4, "the of and", "en", "s", 10)]
     return docs.unionByName(spark.createDataFrame(rows, docs.schema)).unionByName(docs.limit(3))
 
 
