@@ -9,8 +9,9 @@ an equality join on both numbers, so a task holds one block and one chunk, whate
 Equal vectors are searched as one: only the ids of as many of them as can be returned are kept, which
 loses nothing, since ties go to smaller ids.
 
-Vectors whose lengths vary are given one more component that makes the lengths equal (the block's
-largest), so that the largest inner product is the smallest angle.
+Vectors whose lengths vary are given one more component that makes the lengths equal, so that the
+largest inner product is the smallest angle. Those much longer than the block's median would blur that
+for all others; they are compared with every query instead.
 
 Recall on uniformly random vectors, the hardest case, is measured in the tests; data with closer
 neighbours need a smaller share.
@@ -31,6 +32,10 @@ from quarry.llm.common import stored
 from quarry.llm.vectors import hyperplanes, matrix, smallest_ids, takes_part
 
 BITS = 32
+#: Vectors this many times as long as the median are candidates of every query.
+LONG = 1.25
+#: Candidates of a block, at least; smaller blocks are compared whole.
+LEAST = 512
 
 
 class Forest:
@@ -38,8 +43,10 @@ class Forest:
 
     def __init__(self, data: np.ndarray, trees: int, seed: int):
         self.data, self.trees, self.seed = data, trees, seed
-        self.longest = np.sqrt((data**2).sum(1).max())
-        codes = self.codes(np.column_stack([data, np.sqrt(np.maximum(self.longest**2 - (data**2).sum(1), 0))]))
+        square = (data**2).sum(1)
+        self.always = square > (LONG * np.sqrt(np.median(square))) ** 2
+        longest = square[~self.always].max()
+        codes = self.codes(np.column_stack([data, np.sqrt(np.maximum(longest - square, 0))]))
         self.order = np.argsort(codes, axis=0, kind="stable")
         self.sorted = np.take_along_axis(codes, self.order, axis=0)
 
@@ -62,7 +69,7 @@ class Forest:
             hi = np.stack([np.searchsorted(self.sorted[:, t], base[:, t] + step) for t in range(self.trees)], 1)
             # under one prefix length, places found in several trees count once: an upper bound decides cheaply first
             for k in np.flatnonzero((hi - lo).sum(1) >= least):
-                seen = np.zeros(len(self.data), bool)
+                seen = self.always.copy()
                 for t in range(self.trees):
                     seen[self.order[lo[k, t] : hi[k, t], t]] = True
                 if np.count_nonzero(seen) >= least:
@@ -77,7 +84,7 @@ def search_block(vectors: np.ndarray, ids: list, queries: np.ndarray, names: np.
     """(query, id, score) of each query's `most` best in a block; equal scores go to smaller ids."""
     forest = Forest(vectors, trees, seed)
     out: list[tuple] = []
-    for q, near in forest.candidates(queries, min(len(vectors), max(4 * most, int(share * len(vectors))))):
+    for q, near in forest.candidates(queries, min(len(vectors), max(LEAST, 4 * most, int(share * len(vectors))))):
         scores = np.einsum("ij,j->i", vectors[near], queries[q])
         if len(near) > most:
             keep = scores >= np.partition(scores, len(scores) - most)[len(scores) - most]
