@@ -109,7 +109,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Runs of neighbouring full windows (at most `length`) inside a text that share their smallest half window.
+    """Runs of neighbouring full windows inside a text that share their smallest half window, at one place.
 
     first, last: the run's windows, by their first words; half: hash of the half window; whole: hash of all words.
     """
@@ -117,15 +117,14 @@ class Spans:
     def __init__(self, words: Words, length: int):
         half = (length + 1) // 2
         self.full = window_hashes(words.hash, length)
-        least = least_in_windows(window_hashes(words.hash, half), length - half + 1)[: len(self.full)]
+        short = window_hashes(words.hash, half)
+        least = least_in_windows(short, length - half + 1)
         place = np.arange(len(self.full))
         text = np.searchsorted(words.bounds, place, "right") - 1
         inside = place + length <= words.bounds[np.minimum(text + 1, len(words.bounds) - 1)]
         new = np.ones(len(place), bool)
-        new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-        if len(place):
-            begun = place[new][np.cumsum(new) - 1]
-            new |= (place - begun) % length == 0
+        # Where the smallest half window stood at the very start, the next window has another one, even if it is equal.
+        new[1:] = (least[1:] != least[:-1]) | (short[: max(0, len(place) - 1)] == least[:-1]) | (text[1:] != text[:-1])
         new &= inside
         self.first = place[new]
         follow = np.append(self.first[1:], len(place))
@@ -248,6 +247,12 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("text", "id", "seeds", "places", "all", "k1").mapInArrow(run, "id long, kept_text string, n_words long, n_removed long, k1 long")
 
 
+def unplaced(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, but the planner no longer knows that they lie by key: a join on it then shuffles both
+    sides, and a partition that one frequent key fills can be split at run time."""
+    return df.select(*[F.col(c).bitwiseXOR(F.lit(0)).alias(c) if c in keys else F.col(c) for c in df.columns])
+
+
 def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kept_text (kept words joined by one space), n_words, n_removed, k1 (64 bits of the text's md5):
     every word that a window of length words covers, which starts anywhere else too, is removed."""
@@ -256,18 +261,18 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
     texts, _ = stored(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     spans, spans_at = stored(first_level(rows, length))
     often = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    met = spans.join(often, "h").withColumn("occ", F.xxhash64("k1", "place"))
+    met = spans.join(unplaced(often, "h"), "h").withColumn("occ", F.xxhash64("k1", "place"))
     kinds = met.groupBy("g").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"))
     status = F.when(F.col("lo") == F.col("hi"), OPEN).when(F.col("occ") == F.col("lo"), SPEAKS).otherwise(CERTAIN)
     packed = F.shiftleft(F.col("place").cast("long"), 32) + F.shiftleft(status.cast("long"), 30) + F.col("g").bitwiseAND(F.lit((1 << 30) - 1))
-    seeds, _ = stored(met.join(kinds, "g").select("k1", packed.alias("seed")).groupBy("k1").agg(F.collect_set("seed").alias("seeds")))
+    seeds, _ = stored(met.join(unplaced(kinds, "g"), "g").select("k1", packed.alias("seed")).groupBy("k1").agg(F.collect_set("seed").alias("seeds")))
     release(spark, spans_at)
 
     by = ["id", "k1", "k2"]
     asked = rows.join(texts.join(seeds, "k1").select(*by, "seeds"), by)
     windows = third_level(asked, length)
     repeated = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    places = windows.where("open").join(repeated, ["a", "b"]).groupBy("k1").agg(F.collect_set("place").alias("places"))
+    places = windows.where("open").join(unplaced(repeated, "a", "b"), ["a", "b"]).groupBy("k1").agg(F.collect_set("place").alias("places"))
     single = texts.where("copies = 1").join(seeds, "k1").join(places, "k1", "left").select(*by, "seeds", "places", F.lit(False).alias("all"))
     several = rows.select(*by).join(texts.where("copies > 1").select("k1", "k2"), ["k1", "k2"]).distinct()
     known = single.unionByName(several.select(*by, F.lit(None).cast("array<bigint>").alias("seeds"), F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("all")))
