@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_texts, stored
+from quarry.llm.common import map_texts, partitions, stored
 from quarry.llm.components import components
 
 #: Signatures with more fingerprints than this are extended; it bounds the pairs looked at, not the result.
@@ -83,7 +83,8 @@ def one_bit_at(diff: Column, bit: Column) -> Column:
 def similar_pairs(fps: DataFrame) -> DataFrame:
     """fps: distinct fp -> pairs (a, b), a < b, that differ in one to three bits; each pair once."""
     variants = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    index = fps.select("fp", variants.alias("v")).withColumn("bit", F.col("v") % 32).withColumn("upper", F.col("v") >= 32)
+    dealt = fps.repartition(partitions(fps.sparkSession), "fp")  # each row becomes 64: small partitions won't do
+    index = dealt.select("fp", variants.alias("v")).withColumn("bit", F.col("v") % 32).withColumn("upper", F.col("v") >= 32)
     index = index.select("fp", "v", without_bit(half(F.col("fp"), F.col("upper")), F.col("bit")).alias("key"))
     crowd = index.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = index.join(crowd, ["v", "key"])
