@@ -35,14 +35,22 @@ EDGES = b".,;:!?\"'()[]{}*#$%&_-/"
 
 class Cells(dict):
     """The cells of a lower-case word without punctuation at its ends: itself and its parts of four and
-    five characters, its beginning marked, since insults are inflected. Fills itself."""
+    five characters, its beginning marked, since insults are inflected. Fills itself.
+
+    kept: of all cells, those that matter; others are left out.
+    """
+
+    def __init__(self, kept: bytes | None = None):
+        super().__init__()
+        self.kept = kept
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
         plain = "^" + word.lower().strip(EDGES).decode("utf-8", "replace").lower()
         parts = {plain, *(plain[k : k + n] for n in (4, 5) for k in range(len(plain) - n + 1))}
-        found = tuple(xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts)
+        found = [xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts]
+        found = tuple(found if self.kept is None else [c for c in found if self.kept[c]])
         if len(word) <= 64:
             self[word] = found
         return found
@@ -114,14 +122,23 @@ class Toxicity:
     def __init__(self, weights: np.ndarray | None, bias: float):
         self.used = np.flatnonzero(weights).astype(np.int32) if weights is not None else None
         self.values, self.bias = (weights[self.used] if weights is not None else None), bias
-        self.full: np.ndarray | None = None
+        self.full, self.cells = None, None
 
-    def score(self, texts: list, cells: Cells) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"full": None, "cells": None}
+
+    def open(self) -> Toxicity:
+        """Ready for scoring, in a task."""
+        if self.used is not None and self.full is None:
+            self.full = np.zeros(1 << BITS, np.float32)
+            self.full[self.used] = self.values
+            self.cells = Cells((self.full != 0).tobytes())
+        return self
+
+    def score(self, texts: list) -> np.ndarray:
         if self.used is None:
             return np.zeros(len(texts))
-        if self.full is None:
-            self.full = np.zeros(1 << BITS)
-            self.full[self.used] = self.values
+        cells = self.cells
         total = [self.full[cells_of(t, cells)].sum() for t in texts]
         return 1 / (1 + np.exp(-np.clip(np.array(total) + self.bias, -60, 60)))
 
@@ -168,7 +185,7 @@ def score_documents(docs: DataFrame, model: Toxicity, text: str = "text", score:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        cells = Cells()
-        return lambda texts: [pa.array(shared.value.score(texts, cells), pa.float64())]
+        model = shared.value.open()
+        return lambda texts: [pa.array(model.score(texts), pa.float64())]
 
     return map_texts(docs.drop(score), text, f"{score} double", make)
