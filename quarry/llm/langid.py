@@ -6,8 +6,8 @@ divided by the root of the product of how many each contains. A bounded number o
 fitted. Scoring is two matrix products for each batch: grams x landmarks, landmarks x languages.
 
 Training reads the ids and languages of all training rows to choose a bounded, hash-ordered set
-(per_class for each language), then the whole texts of the chosen rows on the executors; the driver
-gets landmark grams and kernel rows only.
+(per_class for each language), then copies the chosen rows to a small table and works on their whole texts on the
+executors; the driver gets landmark grams and kernel rows only.
 
 Edge cases: null, empty and letterless texts get `und` with score 0; with nothing to learn from,
 every row gets `und`; whole texts count, of any length; equal texts get equal answers, ties between
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_texts
+from quarry.llm.common import map_texts, release, stored
 
 #: Grams fall into 2**BITS cells by a fixed mixing of their code points.
 BITS = 18
@@ -125,7 +125,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
     if not names:
         return Classifier([], np.empty(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     ids = F.broadcast(spark.createDataFrame(chosen, f"{key} long, {label} string").select(key).distinct())
-    sample = train.select(key, label, text).where(F.col(label).isNotNull()).join(ids, key, "left_semi")
+    sample, sample_at = stored(train.select(key, label, text).where(F.col(label).isNotNull()).join(ids, key, "left_semi"))
 
     marks: list[tuple] = []
     for name in names:
@@ -153,6 +153,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
 
     made = sample.select(text, label).mapInArrow(rows, "name string, k array<double>").collect()
     made.sort(key=lambda r: (r["name"], r["k"]))  # order of arrival must not matter
+    release(spark, sample_at)
     values = np.array([r["k"] for r in made])
     wanted = np.where(np.array([[r["name"] == n for n in names] for r in made]), 1.0, -1.0)
     sizes = present.sum(1)
