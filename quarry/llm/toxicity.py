@@ -143,18 +143,20 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(np.array(total) + self.bias, -60, 60)))
 
 
-def chosen_cells(docs: DataFrame, ids: list[int], text: str, key: str) -> list[np.ndarray]:
-    """Cells of the whole texts with these ids, in a fixed order."""
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long"))
+def chosen_cells(docs: DataFrame, ids: list[int], text: str, key: str) -> dict[int, list[np.ndarray]]:
+    """Cells of the whole texts with these ids, by id."""
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], f"{key} long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = Cells()
         for batch in batches:
-            made = [np.sort(cells_of(t, cells)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32()))], names=["cells"])
+            made = [np.sort(cells_of(t, cells)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["key", "cells"])
 
-    found = docs.select(key, text).join(wanted, key, "left_semi").select(text).mapInArrow(run, "cells array<int>").collect()
-    return sorted((np.array(r["cells"], np.int32) for r in found), key=lambda c: (len(c), c.tobytes()))
+    found: dict[int, list[np.ndarray]] = {}
+    for row in docs.select(F.col(key).cast("long"), text).join(wanted, key, "left_semi").mapInArrow(run, "key long, cells array<int>").toLocalIterator():
+        found.setdefault(row["key"], []).append(np.array(row["cells"], np.int32))
+    return found
 
 
 def first_ids(rows: DataFrame, key: str, bound: int) -> tuple[list[int], int]:
@@ -176,7 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     others, n_all = first_ids(known, key, unlabelled)
     n_labelled = spread.select(key).distinct().count()
     prior = min(0.5, max(1e-3, toxic.count() / max(1, n_labelled)))
-    weights, bias = fit_nnpu(chosen_cells(docs, some, text, key), chosen_cells(docs, others, text, key), prior)
+    cells = chosen_cells(docs, [*{*some, *others}], text, key)
+    parts = [sorted((c for i in ids for c in cells.get(i, [])), key=lambda c: (len(c), c.tobytes())) for ids in (some, others)]
+    weights, bias = fit_nnpu(*parts, prior)
     return Toxicity(weights, bias)
 
 
