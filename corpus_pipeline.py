@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, langid, mixing, simhash, substring
-from quarry.llm.common import bucket_of, stored
+from quarry.llm.common import bucket_of, release, stored
 from quarry.llm.queries import VOCABULARY
 
 
@@ -77,6 +77,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, one after the other."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir))
+        docs, at = stored(stage(spark, docs, sf_dir))
+        if before:
+            release(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
