@@ -65,7 +65,8 @@ def own_licences(files: DataFrame, path: str, text: str, templates: dict[str, li
     """path, license, score (6 digits) of files that state a licence."""
     spark = files.sparkSession
     rows, unknown = template_terms(templates)
-    vectors = spark.createDataFrame(rows, "license string, template int, term string, share double, weight double")
+    values = ", ".join(f"('{name}', {k}, '{term}', {share!r}D, {weight!r}D)" for name, k, term, share, weight in rows)
+    vectors = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, template, term, share, weight)")
     vocabulary = F.array(*[F.lit(t) for t in sorted({r[2] for r in rows})])
     whole = F.regexp_like(F.element_at(F.split(path, "/"), -1), F.lit(FILES))
     lines = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.explode(F.when(whole, F.array(text)).otherwise(F.split(text, "\n"))).alias("line"))
