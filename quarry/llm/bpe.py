@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import map_texts
 
 #: Entries that a worker's caches hold before they start anew; results don't depend on them.
-CACHE = 700_000
+CACHE = 500_000
+PAIRS = 150_000
 
 
 class Pieces(dict):
@@ -57,7 +58,7 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
         self.ends.make_automaton()
-        self.valid: dict[tuple[int, int], bool] = {}
+        self.valid: dict[int, bool] = {}
         self.pieces = Pieces(self.encode_piece)
 
     def merged(self, data: bytes) -> list[int]:
@@ -75,13 +76,13 @@ class ByteBPE:
 
     def follows(self, before: int, token: int) -> bool:
         """Whether token may stand after before; -1 is the start of the piece."""
-        key = (before, token)
+        key = (before + 1 << 32) + token
         known = self.valid.get(key)
         if known is None:  # not met before
             data, want = self.tokens[token], [token]
             if before >= 0:
                 data, want = self.tokens[before] + data, [before, token]
-            if len(self.valid) >= CACHE:
+            if len(self.valid) >= PAIRS:
                 self.valid.clear()
             known = self.valid[key] = self.merged(data) == want
         return known
@@ -100,7 +101,7 @@ class ByteBPE:
                 continue
             first = end - length
             before = last[first] if first >= 0 else -1
-            valid = known((before, token))
+            valid = known((before + 1 << 32) + token)
             if valid is None:
                 valid = follows(before, token)
             if valid:
@@ -132,6 +133,13 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs."""
+    with open(path, "rb") as lines:
+        return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+
+
 class EditablePiece:
     """One piece's bytes with the last token of each prefix: exact appends, edits re-encode near the change."""
 
@@ -194,11 +202,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     return map_texts(docs.drop(ids), text, f"{ids} array<int>", make)
 
 
-def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
+def decode_documents(docs: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """Append the bytes that each row's ids stand for."""
 
     def make():
-        bpe = vocabulary(path, pattern)
-        return lambda rows: [pa.array([bpe.decode(() if r is None else r) for r in rows], pa.binary())]
+        token = token_bytes(path).__getitem__
+        return lambda rows: [pa.array([b"".join(map(token, () if r is None else r)) for r in rows], pa.binary())]
 
     return map_texts(docs.drop(data), ids, f"{data} binary", make)

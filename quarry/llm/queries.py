@@ -24,7 +24,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    plain = bpe.decode_documents(coded, path, public_tokenizers.PATTERN)
+    plain = bpe.decode_documents(coded, path)
     digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return plain.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

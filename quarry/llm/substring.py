@@ -57,7 +57,7 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return stirred(a * U(STEP) + (b << U(29) | b >> U(35)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, U(base))
     out[0] = 1
@@ -74,7 +74,7 @@ class Words:
         blank = BLANK[a].astype(np.int8)
         edge = np.diff(np.concatenate([[1], blank, [1]]).astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        size = 1 << max(20, len(a).bit_length())
+        size = 1 << max(19, len(a).bit_length())
         sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[a] * powers(STEP, size)[: len(a)])])
         back = powers(pow(STEP, -1, 1 << 64), size)
         self.hash = stirred((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(U))
@@ -135,7 +135,7 @@ class Spans:
         self.whole = joined(joined(self.full[self.first], self.full[self.last]), (self.last - self.first).astype(U))
 
 
-def pieces(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about size bytes of text (column 0) each; a longer text is a part of its own."""
     at, total = 0, 0
     for k, n in enumerate(pc.binary_length(batch.column(0)).to_pylist()):
