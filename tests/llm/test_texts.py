@@ -39,7 +39,7 @@ def empty(docs):
 def test_bpe_is_exact(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    coded = bpe.decode_documents(bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()
+    coded = bpe.decode_documents(bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
     assert len(coded) == docs.count()
     for row in coded:
         assert row["ids"] == exact.encode_ordinary(row["text"] or "")
