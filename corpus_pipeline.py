@@ -57,7 +57,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether decoding these gives back the text."""
     path = public_tokenizers.path(VOCABULARY)
     coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
-    plain = bpe.decode_documents(coded, path, public_tokenizers.PATTERN, data="__decoded")
+    plain = bpe.decode_documents(coded, path, data="__decoded")
     exact = F.col("__decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return plain.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"))
 
