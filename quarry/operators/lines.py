@@ -10,8 +10,8 @@ from quarry.functions.patterns import Pattern
 
 def line_array(content: Column, strip_cr: bool = False) -> Column:
     """Lines of a text, split at newlines only; a final newline begins no further line. strip_cr drops one carriage return at each end of line."""
-    parts = F.split(content, "\n", -1)
-    lines = F.when(content == "", F.array().cast("array<string>")).when(content.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    body = F.when(content.endswith("\n"), F.left(content, F.length(content) - 1)).otherwise(content)
+    lines = F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
     return F.transform(lines, lambda x: F.regexp_replace(x, r"\r\z", "")) if strip_cr else lines
 
 
