@@ -1,8 +1,8 @@
 """Near duplicates among vectors by sorted projection passes.
 
 In each pass the vectors are sorted, within their label, by a string of random hash bits, and every
-vector is compared with the next `window` ones in that order; pairs that reach the threshold are
-verified in double precision, and the pairs of all passes are united. Equal vectors of a label are
+vector is compared with the `window` ones before it in that order, and on from there as long as one of
+the last `window` compared was a link; pairs that reach the threshold are verified in double precision, and the pairs of all passes are united. Equal vectors of a label are
 one class throughout, however many there are: classes are compared, their sizes are counted.
 
 A pair at cosine 0.98 agrees in each bit with probability 0.936, so with a few thousand vectors of a
@@ -27,6 +27,10 @@ from quarry.llm.components import components
 from quarry.llm.vectors import hyperplanes, matrix, takes_part
 
 
+#: A window is extended, as long as links keep turning up in it, over this many rows at most.
+EXTENT = 4096
+
+
 def sorted_pass_links(classes: DataFrame, threshold: float, passes: int, window: int, bits: int, seed: int) -> DataFrame:
     """classes: label, vec, rep -> pairs (a, b) of reps found at the threshold, repeats included."""
 
@@ -49,26 +53,36 @@ def sorted_pass_links(classes: DataFrame, threshold: float, passes: int, window:
     ranged = spread.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: dict[int, tuple] = {}  # by length of the vectors, the last rows of the batch before
+        tail: dict[int, tuple] = {}  # by length of the vectors, the last rows of the batches before
         for batch in batches:
             sizes = np.diff(batch.column(5).offsets.to_numpy())
             found_a, found_b = [], []
             for dims in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
                 x = matrix(part.column(5))
-                x /= np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
+                largest = np.abs(x).max(1, keepdims=True)
+                x = x / largest
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 group = [part.column(0).to_numpy(), np.array([str(v) for v in part.column(1).to_pylist()])]
-                rep = part.column(4).to_numpy()
-                old = tail.get(dims)
-                if old:
-                    x, rep = np.concatenate([old[0], x]), np.concatenate([old[1], rep])
-                    group = [np.concatenate(g) for g in zip(old[2], group, strict=True)]
-                for d in range(1, min(window, len(x) - 1) + 1):
-                    same = (group[0][d:] == group[0][:-d]) & (group[1][d:] == group[1][:-d])
-                    near = np.flatnonzero(same & (np.einsum("ij,ij->i", x[d:], x[:-d]) >= threshold))
-                    found_a.append(rep[near])
-                    found_b.append(rep[near + d])
-                keep = max(0, len(x) - window)
+                rep, seen = part.column(4).to_numpy(), 0
+                if dims in tail:
+                    old, old_rep, old_group = tail[dims]
+                    seen = len(old)
+                    x, rep = np.concatenate([old, x]), np.concatenate([old_rep, rep])
+                    group = [np.concatenate(g) for g in zip(old_group, group, strict=True)]
+                last_hit = np.zeros(len(x), np.int64)
+                for d in range(1, min(EXTENT, len(x) - 1) + 1):
+                    at = np.arange(max(seen, d), len(x))
+                    at = at[last_hit[at] >= d - window]
+                    if not len(at):
+                        break
+                    same = (group[0][at] == group[0][at - d]) & (group[1][at] == group[1][at - d])
+                    at = at[same]
+                    near = at[np.einsum("ij,ij->i", x[at], x[at - d]) >= threshold]
+                    last_hit[near] = d
+                    found_a.append(rep[near - d])
+                    found_b.append(rep[near])
+                keep = max(0, len(x) - EXTENT)
                 tail[dims] = (x[keep:], rep[keep:], [g[keep:] for g in group])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *f])) for f in (found_a, found_b)], names=["a", "b"])
 
