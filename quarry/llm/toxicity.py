@@ -87,7 +87,7 @@ def evidence(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return 2 * (log(a, n) + log(b, m) - (a + b) * np.log(share) - (n + m - a - b) * np.log1p(-share))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights over all cells and a bias that minimise the non-negative PU risk with logistic loss (Adam)."""
     width = 1 << BITS
     # Only cells that positives have clearly more often than unlabelled texts take part.
