@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import map_texts
 
 #: Entries that a worker's caches hold before they start anew; results don't depend on them.
-CACHE = 500_000
+CACHE = 350_000
 PAIRS = 150_000
 
 
@@ -185,19 +185,18 @@ def vocabulary(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+def id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append the token ids of each whole text. path is a rank file that every executor can open."""
 
     def make():
         bpe = vocabulary(path, pattern)
-
-        def work(texts: list) -> list[pa.Array]:
-            rows = [bpe.encode(t) for t in texts]
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))]
-
-        return work
+        return lambda texts: [id_lists([bpe.encode(t) for t in texts])]
 
     return map_texts(docs.drop(ids), text, f"{ids} array<int>", make)
 
@@ -210,3 +209,18 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", data: str = "
         return lambda rows: [pa.array([b"".join(map(token, () if r is None else r)) for r in rows], pa.binary())]
 
     return map_texts(docs.drop(data), ids, f"{data} binary", make)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """Append the token ids of each whole text and the bytes that these ids decode to, in one pass."""
+
+    def make():
+        bpe = vocabulary(path, pattern)
+
+        def work(texts: list) -> list[pa.Array]:
+            rows = [bpe.encode(t) for t in texts]
+            return [id_lists(rows), pa.array([bpe.decode(r.tolist()) for r in rows], pa.binary())]
+
+        return work
+
+    return map_texts(docs.drop(ids, data), text, f"{ids} array<int>, {data} binary", make)
