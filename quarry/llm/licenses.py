@@ -1,8 +1,8 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then directory inheritance.
 
-DataFrame operations only. Every line of a file is a possible header, and a licence file is compared
-as a whole. Terms are present or not; a term's weight falls with the number of templates that have it,
-and terms of no template weigh most. A line can only reach the threshold if the terms it shares with
+DataFrame operations only. Every line of a file is a possible header; a licence file is also compared
+as a whole, with the same sentences and with full licence texts. Terms are present or not; a term's
+weight falls with the number of templates that have it, and terms of no template weigh most. A line can only reach the threshold if the terms it shares with
 the templates outweigh its others enough; that exact bound leaves few lines to be exploded and joined
 with the sparse template vectors, a table of fixed size.
 
@@ -19,6 +19,8 @@ score among them; texts are scanned whole; extra columns aren't read.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +38,17 @@ TEMPLATES = {
 }
 #: Names of files that state the licence of their directory.
 FILES = r"(?i)^(licen[cs]e|copying|unlicense)(\.(txt|md|rst))?$"
+#: Full texts, named by their licence; there is none of the CC licences, which their files' title lines state.
+TEXTS = Path(__file__).parent / "license_texts"
 SPLIT = "[^a-z0-9.]+"
 THRESHOLD = 0.7
 
 
+@lru_cache(maxsize=1)
+def full_texts() -> dict[str, list[str]]:
+    return {f.stem: [f.read_text(encoding="utf-8")] for f in sorted(TEXTS.glob("*.txt"))}
+
+
 def template_terms(templates: dict[str, list[str]]) -> tuple[list[tuple[str, int, str, float, float]], float]:
     """(licence, template, term, unit weight, weight) and the weight of a term in no template."""
     import re
@@ -63,13 +72,25 @@ def terms(text: Column) -> Column:
 
 def own_licences(files: DataFrame, path: str, text: str, templates: dict[str, list[str]], threshold: float) -> DataFrame:
     """path, license, score (6 digits) of files that state a licence."""
-    spark = files.sparkSession
+    whole = F.regexp_like(F.element_at(F.split(path, "/"), -1), F.lit(FILES))
+    named = files.where(F.col(path).isNotNull())
+    lines = F.split(text, "\n")
+    passages = named.select(F.col(path).alias("path"), F.explode(F.when(whole, F.concat(lines, F.array(text))).otherwise(lines)).alias("line"))
+    texts = {name: kept for name, kept in full_texts().items() if name in templates}
+    scores = stated(passages, templates, threshold)
+    if texts:
+        scores = scores.unionByName(stated(named.where(whole).select(F.col(path).alias("path"), F.col(text).alias("line")), texts, threshold))
+    best = scores.groupBy("path").agg(F.max(F.struct("score", rank_down(templates).alias("r"), "license")).alias("m"))
+    return best.select("path", F.col("m.license").alias("license"), F.col("m.score").alias("score"))
+
+
+def stated(lines: DataFrame, templates: dict[str, list[str]], threshold: float) -> DataFrame:
+    """path, license, score of lines (path, line) that reach the threshold."""
+    spark = lines.sparkSession
     rows, unknown = template_terms(templates)
     values = ", ".join(f"('{name}', {k}, '{term}', {share!r}D, {weight!r}D)" for name, k, term, share, weight in rows)
     vectors = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, template, term, share, weight)")
     vocabulary = F.array(*[F.lit(t) for t in sorted({r[2] for r in rows})])
-    whole = F.regexp_like(F.element_at(F.split(path, "/"), -1), F.lit(FILES))
-    lines = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.explode(F.when(whole, F.array(text)).otherwise(F.split(text, "\n"))).alias("line"))
     found = lines.where(F.regexp_like("line", F.lit("(?i)[a-z0-9]"))).select("path", terms(F.col("line")).alias("terms"))
     found = found.withColumn("shared", F.size(F.array_intersect("terms", vocabulary)))
     # Other terms weigh most, shared ones less: with more others than this, the cosine stays below the threshold.
@@ -80,8 +101,7 @@ def own_licences(files: DataFrame, path: str, text: str, templates: dict[str, li
     norms = listed.join(F.broadcast(weights), "term").groupBy("path", "terms", "others").agg(F.sum(F.col("weight") * F.col("weight")).alias("known"))
     norms = norms.select("path", "terms", F.sqrt(F.col("known") + F.col("others") * F.lit(unknown * unknown)).alias("norm"), F.explode("terms").alias("term"))
     dots = norms.join(F.broadcast(vectors), "term").groupBy("path", "terms", "license", "template").agg(F.round(F.sum(F.col("share") * F.col("weight")) / F.first("norm"), 6).alias("score"))
-    best = dots.where(F.col("score") >= threshold).groupBy("path").agg(F.max(F.struct("score", rank_down(templates).alias("r"), "license")).alias("m"))
-    return best.select("path", F.col("m.license").alias("license"), F.col("m.score").alias("score"))
+    return dots.where(F.col("score") >= threshold).select("path", "license", "score")
 
 
 def rank_down(templates: dict[str, list[str]]) -> Column:

@@ -301,3 +301,28 @@ def test_planted_licence_lines(spark):
         stated = re.search(r"(Apache License|MIT License|General Public License|CC BY-NC)", r["text"] or "")
         if not r["path"].endswith("LICENSE"):
             assert (found[r["path"]]["origin"] == "own") == bool(stated), r["path"]
+
+
+def test_licence_files_with_more_text(spark):
+    """Lines of licence files count like other lines, and full licence texts are known."""
+    full = licenses.full_texts()
+    rows = [(f"{name}/LICENSE", f"Copyright 2001 Somebody Else\n\n{texts[0]}") for name, texts in full.items()]
+    rows += [("p/LICENSE", "Copyright 2001 Somebody Else\nReleased under the MIT License.\n" + "and some more prose " * 50), ("p/q/x.py", "code"), ("u/LICENSE", "nothing of the kind " * 9), ("u/x.py", "code")]
+    rows += [(f"{name}/x.py", "code") for name in full]
+    found = {r["path"]: (r["license"], r["origin"], r["license_path"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert len(full) == 6
+    for name in full:
+        assert found[f"{name}/LICENSE"] == (name, "own", f"{name}/LICENSE")
+        assert found[f"{name}/x.py"] == (name, "inherited", f"{name}/LICENSE")
+    assert found["p/LICENSE"] == ("MIT", "own", "p/LICENSE") and found["p/q/x.py"] == ("MIT", "inherited", "p/LICENSE")
+    assert found["u/LICENSE"] == found["u/x.py"] == (None, None, None)
+
+
+def test_planted_lines_of_licence_files_are_inherited(spark):
+    rows = queries.virtual_files(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()
+    found = {r["path"]: r for r in queries.op4_license_scans(spark, "/root/testdata/sf0.1").collect()}
+    for r in rows:
+        stated = re.search(r"(Apache License|MIT License|General Public License|CC BY-NC)", r["text"] or "")
+        if r["path"].endswith("LICENSE"):
+            assert (found[r["path"]]["origin"] == "own") == bool(stated), r["path"]
+    assert any(r["origin"] == "inherited" for r in found.values())
