@@ -58,15 +58,16 @@ def position(share: Column, start: Column, end: Column) -> Column:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, tilt: float = 0.5) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, copies (takes of the document, in part included),
-    first_position (of its first take in training, 0 to 1; null if it isn't taken), one row for each document."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    first_position (of its first take in training, 0 to 1; null if it isn't taken), mark (a hash of the text),
+    one row for each document."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("mark")).withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("cell", F.substring("draw", 1, 3))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     sources = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_repeats, tilt)
     up_to = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("cell_from", F.coalesce(F.sum("cell_size").over(up_to), F.lit(0)))
     plan = offsets.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source")).select("o.source", "o.cell", "cell_from", "source_size", "target", "start", "end")
-    inside = Window.partitionBy("source", "cell").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "cell").orderBy("draw", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source and d.cell = p.cell"))
     wanted = F.floor("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -78,25 +79,29 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         .withColumn("taken", F.col("full") * F.col("size") + F.col("part"))
         .withColumn("copies", F.when(F.col("size") > 0, F.col("full") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0).cast("long")))
         .withColumn("first_position", F.when(F.col("copies") > 0, position(at / F.col("target"), F.col("start"), F.col("end"))))
-        .select(F.col("d.doc_id").alias("doc_id"), "size", F.col("d.source").alias("source"), "source_size", "target", "taken", "copies", at.alias("stream_at"), "start", "end", "first_position")
+        .select(F.col("d.doc_id").alias("doc_id"), "size", F.col("d.source").alias("source"), "source_size", "target", "taken", "copies", at.alias("stream_at"), "start", "end", "first_position", "mark")
     )
 
 
-def takes(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+def takes(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Each document as often as the mix takes it, range-sorted by training position. A last take of less
-    than half of the document is left out, one of more is the whole document."""
+    than half of the document is left out, one of more is the whole document.
+
+    Documents are told apart by id, source and text: null ids are taken like others, and different texts with
+    one id each have their own takes. Rows equal in all three each take the largest share of one of them."""
     times = (
         mixed.where(F.col("size") > 0)
-        .groupBy(F.col("doc_id").alias("__id"))
+        .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"))
         .agg(F.max(F.struct((F.col("taken") / F.col("size")).alias("share"), "source_size", "target", "stream_at", "start", "end")).alias("__m"))
-        .select("__id", "__m.*")
+        .select("__id", "__source", "__mark", "__m.*")
         .withColumn("__turns", F.round("share").cast("int"))
         .where(F.col("__turns") > 0)
         .withColumn("__turn", F.explode(F.sequence(F.lit(0), F.col("__turns") - 1)))
         .withColumn("__position", position(F.least((F.col("stream_at") + F.col("__turn") * F.col("source_size")) / F.col("target"), F.lit(1.0)), F.col("start"), F.col("end")))
-        .select("__id", "__position")
+        .select("__id", "__source", "__mark", "__position")
     )
-    joined = docs.join(times, docs[key] == times["__id"])
+    same = docs[key].eqNullSafe(times["__id"]) & docs[source].eqNullSafe(times["__source"]) & (F.xxhash64(docs[text]) == times["__mark"])
+    joined = docs.join(times, same)
     return joined.repartitionByRange(partitions(docs.sparkSession), "__position", "__id").sortWithinPartitions("__position", "__id").select(*[docs[c] for c in docs.columns])
 
 

@@ -1,8 +1,13 @@
 """The pipeline's stages against brute-force versions, each on its own input."""
 
+import math
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarry.llm import mixing
 from tests.llm.test_texts import SMALL, grouped, simhash_by_hand, without_repeats
 
 
@@ -51,3 +56,15 @@ def test_all_stages(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SMALL).count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_mixing_stage_takes_null_and_repeated_ids(spark, docs):
+    given = docs.unionByName(spark.createDataFrame([(None, "the of and a null id", "en", "s", 20), (None, "another one", "en", None, 11), (-1, "one two three four", "en", "a", 18), (-1, "five six", "en", "b", 8), (-1, "seven eight nine ten", "en", "b", 20)], docs.schema))
+    want = {}
+    for r in mixing.mix(given).collect():
+        if r["size"]:
+            want[r["doc_id"], r["source"], r["mark"]] = max(want.get((r["doc_id"], r["source"], r["mark"]), 0), math.floor(r["taken"] / r["size"] + 0.5))
+    out = corpus_pipeline.mixing_sources(spark, given, SMALL)
+    found = Counter((r["doc_id"], r["source"], r["mark"]) for r in out.select("doc_id", "source", F.xxhash64("text").alias("mark")).collect())
+    assert found == {k: n for k, n in want.items() if n}
+    assert any(i is None for i, _, _ in found)
