@@ -89,9 +89,14 @@ def extract_symbols(lines: DataFrame, rules: tuple[Rule, ...] | None = None) ->
 
 
 def symbol_index(symbols: DataFrame) -> DataFrame:
-    """name -> its symbols in order of file and line. Lookups don't need it; a very frequent name makes a long list."""
+    """name -> n, its number of symbols, and the first of them in order of file and line."""
     entry = F.struct("file", "line", "type", "column", "signature")
-    return symbols.groupBy("name").agg(F.sort_array(F.collect_list(entry)).alias("symbols"))
+    return symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(entry).alias("first"))
+
+
+def sorted_symbols(symbols: DataFrame) -> DataFrame:
+    """The index's entries as rows, range-sorted by name, file and line: a frequent name fills as many ranges as it needs."""
+    return symbols.orderBy("name", "file", "line", "type", "column", "signature")
 
 
 def find_symbol(symbols: DataFrame, name: str) -> DataFrame:

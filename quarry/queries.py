@@ -236,7 +236,7 @@ def result_page(spark, sf_dir):
 @query(f"SELECT count(*)::INT AS total_count, 'License' AS query, false AS is_regex, count(*) AS n_matches FROM {DOC_LINES} WHERE contains(line, 'License')")
 def export_envelope(spark, sf_dir):
     found = sinks.envelope(lines.find_matches(document_files(spark, sf_dir), compile_pattern("License")), "License")
-    return found.select("total_count", "query", "is_regex", F.size("matches").cast("long").alias("n_matches"))
+    return found.select("total_count", "query", "is_regex", F.col("total_count").cast("long").alias("n_matches"))
 
 
 @query(f"SELECT path, sha256(content) AS sha256 FROM {DOCS}")
@@ -459,7 +459,7 @@ def find_definition(spark, sf_dir):
 
 @query(f"SELECT name, count(*) AS n, min(file) AS first_file FROM {SYMBOLS} GROUP BY name")
 def symbol_index(spark, sf_dir):
-    return symbols.symbol_index(code_symbols(spark, sf_dir)).select("name", F.size("symbols").cast("long").alias("n"), F.col("symbols")[0]["file"].alias("first_file"))
+    return symbols.symbol_index(code_symbols(spark, sf_dir)).select("name", "n", F.col("first.file").alias("first_file"))
 
 
 REFERENCES = r"""(SELECT 'Brand_13' AS name, path AS file, line_number AS line, 0 AS "column", trim(line, ' ' || chr(9)) AS content,

@@ -15,8 +15,13 @@ CYAN, YELLOW, GREEN, FAINT, PLAIN = "\x1b[36m", "\x1b[33;1m", "\x1b[32m", "\x1b[
 
 
 def envelope(matches: DataFrame, query: str = "", is_regex: bool = False) -> DataFrame:
-    """One row with all matches, their number and the query. It holds the whole result: for results that fit one file."""
-    return matches.agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("matches"), F.count(F.lit(1)).cast("int").alias("total_count")).select("matches", "total_count", F.lit(query).alias("query"), F.lit(is_regex).alias("is_regex"))
+    """One row: the number of matches and the query. The matches themselves stay rows: sorted_matches()."""
+    return matches.agg(F.count(F.lit(1)).cast("int").alias("total_count")).select("total_count", F.lit(query).alias("query"), F.lit(is_regex).alias("is_regex"))
+
+
+def sorted_matches(matches: DataFrame) -> DataFrame:
+    """The matches in order, range-sorted, for write_folder(): many files, no task with all of them."""
+    return matches.select(*FIELDS).orderBy(*FIELDS)
 
 
 def write_json(matches: DataFrame, path: str, query: str = "", is_regex: bool = False) -> int:

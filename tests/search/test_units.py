@@ -331,3 +331,19 @@ def test_command_line(spark, folder, capsys, tmp_path):
 def test_roots_are_united_with_repeats(spark):
     one = spark.createDataFrame([("a", "x")], "path string, content string")
     assert sorted(r["root_ord"] for r in files.union_roots(one, one).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("name", ["symbol_index", "export_envelope"])
+def test_no_group_is_gathered_in_one_row(spark, name):
+    from quarry import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_sorted_entries_and_matches(spark):
+    rows = spark.createDataFrame([("b", "type", "y", 2, 0, ""), ("a", "type", "z", 1, 0, ""), ("b", "type", "x", 9, 0, "")], "name string, type string, file string, line int, column int, signature string")
+    assert [(r["name"], r["file"]) for r in symbols.sorted_symbols(rows).collect()] == [("a", "z"), ("b", "x"), ("b", "y")]
+    assert {(r["name"], r["n"], r["first"]["file"]) for r in symbols.symbol_index(rows).collect()} == {("a", 1, "z"), ("b", 2, "x")}
+    found = spark.createDataFrame([("f", 2, "l", "m"), ("e", 3, "l", "m")], "file_path string, line_number int, line_content string, match_text string")
+    assert [r["file_path"] for r in sinks.sorted_matches(found).collect()] == ["e", "f"]
