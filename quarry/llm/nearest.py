@@ -98,9 +98,11 @@ def search_block(vectors: np.ndarray, ids: list, queries: np.ndarray, names: np.
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 40, share: float = 0.5, block: int = 8192, seed: int = 3) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest of each query (rows of vectors), itself left out."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec")).where(takes_part(F.col("vec")) & F.col("vec_id").isNotNull())
-    asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("vec")).where(takes_part(F.col("vec")) & F.col("query_id").isNotNull())
+    """query_id, rank (from 1), vec_id, score: the k nearest of each query (rows of vectors), itself left out.
+
+    Repeated rows, equal in id and vector, count once, as candidates and as queries."""
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec")).where(takes_part(F.col("vec")) & F.col("vec_id").isNotNull()).distinct()
+    asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("vec")).where(takes_part(F.col("vec")) & F.col("query_id").isNotNull()).distinct()
     classes, _ = stored(smallest_ids(rows, ["vec"], "vec_id", k + 1).withColumn("name", F.element_at("ids", 1)))
     wanted, _ = stored(asked.groupBy("vec").agg(F.min("query_id").alias("name")))
     n_blocks, n_chunks = (max(1, -(-d.count() // block)) for d in (classes, wanted))

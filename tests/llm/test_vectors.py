@@ -116,3 +116,13 @@ def test_components(spark):
         want = sorted((x, find(x)) for x in range(n + 1) if find(x) != x)
         assert sorted((r["node"], r["root"]) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()) == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_rows_count_once_among_neighbours(vectors):
+    once = vectors.where("vec_id < 400").dropDuplicates(["vec_id"])
+    again = once
+    for _ in range(5):
+        again = again.unionByName(again.where("vec_id in (20, 40, 3)"))
+    rows = lambda given: sorted(map(tuple, nearest.nearest(given, given.where("vec_id % 20 = 0"), share=1.0).collect()))
+    want = rows(once)
+    assert len(want) == 400 and rows(again) == want
