@@ -31,7 +31,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens: greedy word-pieces of the vocabulary; 0 for null and empty texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return wordpiece.count_tokens(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_tokens")
+    return wordpiece.count_tokens(docs, public_tokenizers.path(VOCABULARY), inner_start=True).select("doc_id", "n_tokens")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,3 +326,15 @@ def test_planted_lines_of_licence_files_are_inherited(spark):
         if r["path"].endswith("LICENSE"):
             assert (found[r["path"]]["origin"] == "own") == bool(stated), r["path"]
     assert any(r["origin"] == "inherited" for r in found.values())
+
+
+def test_words_that_no_starting_entry_fits(spark, tmp_path):
+    """op2 cuts unspaced Chinese, Japanese and Thai into inner entries."""
+    tokens = [base64.b64decode(line.split()[0]) for line in open(PATH, "rb")]
+    initial, inner = {t[1:] for t in tokens if t[:1] == b" " and len(t) > 1 and b" " not in t[1:]}, {t for t in tokens if t == t.strip()}
+    texts = ["日本語" * 40, "中文 the", "ไทย" * 9 + " élan tion", "plain words", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["n_tokens"] for r in queries.op2_token_counts(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        assert found[k] == sum(greedy(w, initial if any(w[:n] in initial for n in range(1, len(w) + 1)) else inner, inner) for w in text.encode().split())
+    assert found[0] > 1
