@@ -2,8 +2,9 @@
 
 In each pass the vectors are sorted, within their label, by a string of random hash bits, and every
 vector is compared with the `window` ones before it in that order, and on from there as long as one of
-the last `window` compared was a link; pairs that reach the threshold are verified in double precision, and the pairs of all passes are united. Equal vectors of a label are
-one class throughout, however many there are: classes are compared, their sizes are counted.
+the last `window` compared was a link, over EXTENT rows at most; pairs that reach the threshold are verified in double precision, and the pairs of all passes are united. Equal vectors of a label are
+one class throughout, however many there are: classes are compared, their sizes are counted. Windows cross the bounds of range partitions. In a group of more than
+EXTENT different vectors that all link, pairs that are further apart in every pass aren't linked.
 
 A pair at cosine 0.98 agrees in each bit with probability 0.936, so with a few thousand vectors of a
 label a pass finds most of them and the passes together nearly all; more passes cost in proportion.
@@ -19,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,41 +55,51 @@ def sorted_pass_links(classes: DataFrame, threshold: float, passes: int, window:
     order = ["p", "label", "dims", "code", "rep"]
     ranged = spread.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: dict[int, tuple] = {}  # by length of the vectors, the last rows of the batches before
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = np.diff(batch.column(5).offsets.to_numpy())
-            found_a, found_b = [], []
-            for dims in np.unique(sizes):
-                part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
-                x = matrix(part.column(5))
-                largest = np.abs(x).max(1, keepdims=True)
-                x = x / largest
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                group = [part.column(0).to_numpy(), np.array([str(v) for v in part.column(1).to_pylist()])]
-                rep, seen = part.column(4).to_numpy(), 0
-                if dims in tail:
-                    old, old_rep, old_group = tail[dims]
-                    seen = len(old)
-                    x, rep = np.concatenate([old, x]), np.concatenate([old_rep, rep])
-                    group = [np.concatenate(g) for g in zip(old_group, group, strict=True)]
-                last_hit = np.zeros(len(x), np.int64)
-                for d in range(1, min(EXTENT, len(x) - 1) + 1):
-                    at = np.arange(max(seen, d), len(x))
-                    at = at[last_hit[at] >= d - window]
-                    if not len(at):
-                        break
-                    same = (group[0][at] == group[0][at - d]) & (group[1][at] == group[1][at - d])
-                    at = at[same]
-                    near = at[np.einsum("ij,ij->i", x[at], x[at - d]) >= threshold]
-                    last_hit[near] = d
-                    found_a.append(rep[near - d])
-                    found_b.append(rep[near])
-                keep = max(0, len(x) - EXTENT)
-                tail[dims] = (x[keep:], rep[keep:], [g[keep:] for g in group])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *f])) for f in (found_a, found_b)], names=["a", "b"])
-
-    return ranged.mapInArrow(compared, "a long, b long")
+            rows = len(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(rows, part, np.int32)), pa.array(np.arange(n, n + rows))], names=[*batch.schema.names, "part", "at"])
+            n += rows
+
+    # Places in the whole order, so that windows go on over the bounds of ranges: each block of rows meets the block before it.
+    placed, _ = stored(ranged.mapInArrow(numbered, f"{schema}, part int, at long"))
+    counts = sorted(placed.groupBy("part").agg(F.max("at")).collect())
+    start = dict(zip([c[0] for c in counts], np.cumsum([0, *[c[1] + 1 for c in counts]]).tolist(), strict=False))
+    starts = F.array(*[F.lit(start.get(k, 0)).cast("long") for k in range(max(start, default=0) + 1)])
+    placed = placed.withColumn("at", F.col("at") + F.element_at(starts, F.col("part") + 1)).drop("part", "code")
+    extent = EXTENT
+    block = F.floor(F.col("at") / extent)
+    dealt = placed.withColumn("block", F.explode(F.array(block, block + 1)))
+
+    def compared(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at").combine_chunks()
+        own = pc.equal(pc.divide(rows["at"], extent), rows["block"]).to_numpy()
+        found_a, found_b = [], []
+        for dims in np.unique(rows["dims"].to_numpy()) if own.any() else []:
+            chosen = np.flatnonzero(rows["dims"].to_numpy() == dims)
+            part = rows.take(pa.array(chosen))
+            seen = int((~own[chosen]).sum())
+            x = matrix(part["vec"].combine_chunks())
+            x = x / np.abs(x).max(1, keepdims=True)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            group = [part["p"].to_numpy(), np.array([str(v) for v in part["label"].to_pylist()])]
+            rep = part["rep"].to_numpy()
+            last_hit = np.zeros(len(x), np.int64)
+            for d in range(1, min(extent, len(x) - 1) + 1):
+                at = np.arange(max(seen, d), len(x))
+                at = at[last_hit[at] >= d - window]
+                if not len(at):
+                    break
+                same = (group[0][at] == group[0][at - d]) & (group[1][at] == group[1][at - d])
+                at = at[same]
+                near = at[np.einsum("ij,ij->i", x[at], x[at - d]) >= threshold]
+                last_hit[near] = d
+                found_a.append(rep[near - d])
+                found_b.append(rep[near])
+        return pa.table({n: pa.array(np.concatenate([np.empty(0, np.int64), *f])) for n, f in (("a", found_a), ("b", found_b))})
+
+    return dealt.groupBy("block").applyInArrow(compared, "a long, b long")
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, passes: int = 16, window: int = 24, bits: int = 40, seed: int = 1) -> DataFrame:

@@ -126,3 +126,18 @@ def test_repeated_rows_count_once_among_neighbours(vectors):
     rows = lambda given: sorted(map(tuple, nearest.nearest(given, given.where("vec_id % 20 = 0"), share=1.0).collect()))
     want = rows(once)
     assert len(want) == 400 and rows(again) == want
+
+
+def test_windows_cross_the_bounds_of_ranges(spark):
+    """A group that fills several small ranges keeps all its links, with the production number of passes."""
+    rnd = np.random.default_rng(8)
+    base = rnd.standard_normal(16)
+    rows = [(k, [float(x) for x in base + 0.01 * rnd.standard_normal(16)], 0) for k in range(300)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = vector_dedup.near_vectors(given).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r["n_links"], r["component_id"]) for r in found} == {(299, 0)}
