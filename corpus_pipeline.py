@@ -56,7 +56,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether decoding these gives back the text."""
     path = public_tokenizers.path(VOCABULARY)
-    plain = bpe.round_trip(docs, path, public_tokenizers.PATTERN, data="__decoded")
+    plain = bpe.round_trip(docs, path, public_tokenizers.PATTERN, data="__decoded", spaced=True)
     exact = F.col("__decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return plain.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"))
 

@@ -23,7 +23,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; null texts count as empty."""
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    plain = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    plain = bpe.round_trip(docs, path, public_tokenizers.PATTERN, spaced=True)
     digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return plain.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

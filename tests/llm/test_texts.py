@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -61,6 +62,33 @@ def test_bpe_edits_equal_encoding_anew():
     assert long.work < 200 and long.last == bpe.EditablePiece(vocabulary, long.data).last
 
 
+def test_bpe_of_any_white_space_and_long_pieces():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(3)
+    signs = [" ", " ", "\n", "\t", "a", "b's", "'", "1", ".", "é", "\u3000", "\x1c", "\x85", "\r", "日", "ll", "the"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(14))) for _ in range(6000)]
+    texts += ["thing" * 200_000, "aaaa" * 400, "x" * 24 + "y" * 25, None, ""]
+    spaced = bpe.ByteBPE(PATH, public_tokenizers.PATTERN, True)
+    for at in range(0, len(texts), 500):
+        for text, ids in zip(texts[at : at + 500], spaced.encode_all(texts[at : at + 500]), strict=True):
+            if len(text or "") < 10_000:
+                assert ids.tolist() == exact.encode_ordinary(text or "")
+            else:  # 1 MB without a break: too long for the other encoder, so by its own bytes and a shorter one's end
+                assert bpe.decoder(PATH).decode(ids, [0, len(ids)])[0].as_py() == text.encode()
+                assert ids[:500].tolist() == exact.encode_ordinary(text[:4000])[:500]
+
+
+def test_pair_tests_equal_merging():
+    own, rnd = bpe.ByteBPE(PATH, public_tokenizers.PATTERN), random.Random(6)
+    tokens = sorted(own.tokens)
+    twins = [t for t in tokens if len(set(own.tokens[t])) <= 2]
+    for a, b in [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(4000)] + [(rnd.choice(twins), rnd.choice(twins)) for _ in range(8000)]:
+        assert own.stands(a, b) == (own.merged(own.tokens[a] + own.tokens[b]) == [a, b])
+    with pytest.raises(KeyError):
+        bpe.decoder(PATH).decode(np.array([1 << 20], np.int32), np.array([0, 1]))
+
+
 def test_op1_over_a_table(spark):
     rows = {r["doc_id"]: r for r in queries.op1_byte_bpe(spark, SMALL).collect()}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
