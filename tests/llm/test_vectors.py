@@ -47,7 +47,7 @@ def test_near_vectors(vectors):
                 stack.append(j)
         root = min((rows[j]["vec_id"] for j in seen if rows[j]["vec_id"] is not None), default=None)
         want.append((rows[k]["vec_id"], len(links[k]), root))
-    found = [(r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(vectors, passes=24).collect()]
+    found = [(r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(vectors).collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
     assert vector_dedup.near_vectors(vectors.where("false")).count() == 0
 
@@ -128,16 +128,25 @@ def test_repeated_rows_count_once_among_neighbours(vectors):
     assert len(want) == 400 and rows(again) == want
 
 
-def test_windows_cross_the_bounds_of_ranges(spark):
-    """A group that fills several small ranges keeps all its links, with the production number of passes."""
+@pytest.mark.parametrize("partitions", ["4", "64"])
+def test_dense_groups_are_counted_exactly(spark, partitions):
+    """A group larger than windows and blocks keeps all its links, over any number of ranges; pairs beside it are found."""
     rnd = np.random.default_rng(8)
     base = rnd.standard_normal(16)
-    rows = [(k, [float(x) for x in base + 0.01 * rnd.standard_normal(16)], 0) for k in range(300)]
+    rows = [(k, [float(np.float32(x)) for x in base + 0.08 * np.linalg.norm(base) / 4 * rnd.standard_normal(16)], 0) for k in range(2600)]
+    lone = rnd.standard_normal((60, 16))
+    rows += [(5000 + 2 * k + j, [float(np.float32(x)) for x in v + j * 0.005 * rnd.standard_normal(16)], 0) for k, v in enumerate(lone) for j in (0, 1)]
     given = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        found = vector_dedup.near_vectors(given).collect()
+        found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(given).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert {(r["n_links"], r["component_id"]) for r in found} == {(299, 0)}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    assert links[:2600].max() > 2048 and links[:2600].min() > 24
+    assert [found[k][0] for k, _, _ in rows] == links.tolist()
+    assert {found[k][1] for k in range(2600)} == {0}
+    assert all(found[5000 + 2 * k][1] == found[5001 + 2 * k][1] == 5000 + 2 * k for k in range(60))
