@@ -1,128 +1,193 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-Vectors are dealt evenly into blocks. Each block holds several trees: a tree is the sorted array of its
-vectors' long hash strings (random hyperplane bits). A query descends every tree to its longest
-matching prefix, then all trees ascend together, a bit at a time, until the vectors under the common
-prefixes number at least `share` of the block; those are compared exactly. Query chunks meet blocks by
-an equality join on both numbers, so a task holds one block and one chunk, whatever the table's size.
+In each tree a vector has a string of random hyperplane bits; the tree's array, sorted by these strings,
+is stored as cells of one prefix each, a cell being a group of rows. A query descends to the cell of its
+own string in every tree. Then all trees ascend together: bits are given up from the least certain on,
+those whose hyperplane the query is closest to, until the cells that agree in the bits left hold `reach`
+times N ** `growth` vectors. These are compared exactly, by the products of a cell's vectors and the
+queries that came to it. So the candidates of a query grow far slower than the table, while a table of
+at most `leaf` vectors is compared whole.
 
-Equal vectors are searched as one: only the ids of as many of them as can be returned are kept, which
-loses nothing, since ties go to smaller ids.
+Vectors are taken by bands of like length, each with a forest of its own, and are given one more component
+that makes the lengths of a band equal: the largest inner product then is the smallest angle.
 
-Vectors whose lengths vary are given one more component that makes the lengths equal, so that the
-largest inner product is the smallest angle. Those much longer than the block's median would blur that
-for all others; they are compared with every query instead.
+Equal vectors (two 64-bit hashes agree) are searched as one: only the ids of as many of them as can be
+returned are kept, which loses nothing, since ties go to smaller ids. Cells of more than `block` vectors
+are cut by a hash, and so are the queries of a cell, so that a task holds one part of either.
 
-Recall on uniformly random vectors, the hardest case, is measured in the tests; data with closer
-neighbours need a smaller share.
+Uniformly random vectors are the hardest case: there the prefixes tell little, and a recall of 0.9 takes
+most of a table of 50,000. Recall is measured in the tests on such vectors and on clustered ones.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do null ids; vectors of different lengths don't meet; fewer candidates than asked for are all returned;
-an empty table gives an empty result; extra columns aren't read.
+rows that repeat count once; an empty table gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
-from quarry.llm.vectors import hyperplanes, matrix, smallest_ids, takes_part
-
-BITS = 32
-#: Vectors this many times as long as the median are candidates of every query.
-LONG = 1.25
-#: Candidates of a block, at least; smaller blocks are compared whole.
-LEAST = 512
-
-
-class Forest:
-    """Sorted hash strings of a block's vectors, for several trees."""
-
-    def __init__(self, data: np.ndarray, trees: int, seed: int):
-        self.data, self.trees, self.seed = data, trees, seed
-        square = (data**2).sum(1)
-        self.always = square > (LONG * np.sqrt(np.median(square))) ** 2
-        longest = square[~self.always].max()
-        codes = self.codes(np.column_stack([data, np.sqrt(np.maximum(longest - square, 0))]))
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, axis=0)
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        planes = hyperplanes(self.seed, x.shape[1], self.trees * BITS)
-        bits = (x @ planes > 0).reshape(len(x), self.trees, BITS)
-        return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query the places of vectors under its prefixes, ascended until there are `least`."""
-        codes = self.codes(np.column_stack([queries, np.zeros(len(queries))]))
-        low = np.zeros((len(queries), self.trees), np.int64)
-        high = np.full_like(low, len(self.data))
-        open_, level = np.ones(len(queries), bool), BITS
-        while level > 0 and open_.any():
-            at = np.flatnonzero(open_)
-            step = 1 << (BITS - level)
-            base = codes[at] // step * step
-            lo = np.stack([np.searchsorted(self.sorted[:, t], base[:, t]) for t in range(self.trees)], 1)
-            hi = np.stack([np.searchsorted(self.sorted[:, t], base[:, t] + step) for t in range(self.trees)], 1)
-            # under one prefix length, places found in several trees count once: an upper bound decides cheaply first
-            for k in np.flatnonzero((hi - lo).sum(1) >= least):
-                seen = self.always.copy()
-                for t in range(self.trees):
-                    seen[self.order[lo[k, t] : hi[k, t], t]] = True
-                if np.count_nonzero(seen) >= least:
-                    low[at[k]], high[at[k]], open_[at[k]] = lo[k], hi[k], False
-                    yield at[k], np.flatnonzero(seen)
-            level -= 1
-        for k in np.flatnonzero(open_):
-            yield k, np.arange(len(self.data))
-
-
-def search_block(vectors: np.ndarray, ids: list, queries: np.ndarray, names: np.ndarray, most: int, trees: int, share: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's `most` best in a block; equal scores go to smaller ids."""
-    forest = Forest(vectors, trees, seed)
-    out: list[tuple] = []
-    for q, near in forest.candidates(queries, min(len(vectors), max(LEAST, 4 * most, int(share * len(vectors))))):
-        scores = np.einsum("ij,j->i", vectors[near], queries[q])
-        if len(near) > most:
-            keep = scores >= np.partition(scores, len(scores) - most)[len(scores) - most]
-            near, scores = near[keep], scores[keep]
-        rows = sorted((-s, i) for s, n in zip(scores.tolist(), near.tolist(), strict=True) for i in ids[n])[:most]
-        out += [(names[q], i, -s) for s, i in rows]
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    q, i, s = zip(*out, strict=True)
-    return np.array(q, np.int64), np.array(i, np.int64), np.array(s)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 40, share: float = 0.5, block: int = 8192, seed: int = 3) -> DataFrame:
+from quarry.llm.common import release, stored
+from quarry.llm.vectors import equal_keys, hyperplanes, matrix, smallest_ids, takes_part
+
+#: Bits of the longest prefix that has a cell of its own: bounds the table of cells, which tasks hold.
+DEEPEST = 12
+#: Vectors of a band differ in length by this factor at most.
+BAND = 1.25
+
+
+def bands(x: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.linalg.norm(x, axis=1)) / np.log(BAND) + 1e-9).astype(np.int32)
+
+
+def levelled(x: np.ndarray, band: int) -> np.ndarray:
+    """Vectors of a band with the component that makes their lengths equal."""
+    return np.column_stack([x, np.sqrt(np.maximum(BAND ** (2 * band + 2) - (x**2).sum(1), 0))])
+
+
+def planes(seed: int, dims: int, tree: int, bits: int) -> np.ndarray:
+    """Orthogonal directions as far as there are any, so that bits tell different things."""
+    raw = hyperplanes(seed + 1000 * tree, dims + 1, DEEPEST)[:, :bits]
+    return np.linalg.qr(raw)[0] if bits <= dims + 1 else raw
+
+
+def cells_of(x: np.ndarray, seed: int, tree: int, bits: int) -> np.ndarray:
+    return (x @ planes(seed, x.shape[1] - 1, tree, bits) > 0) @ (1 << np.arange(bits, dtype=np.int32)) if bits else np.zeros(len(x), np.int64)
+
+
+def ascent(queries: np.ndarray, counts: np.ndarray, bits: int, seed: int, least: int) -> Iterator[np.ndarray]:
+    """For each query the (tree, cell) pairs, as places in counts (trees x cells), that hold `least` vectors or all there are."""
+    trees = len(counts)
+    pattern = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    cost = np.empty((len(queries), trees, 1 << bits))
+    for t in range(trees):
+        margin = queries @ planes(seed, queries.shape[1] - 1, t, bits) if bits else np.zeros((len(queries), 0))
+        size, own = np.abs(margin), margin > 0
+        cost[:, t] = (size * own) @ (1 - pattern).T + (size * ~own) @ pattern.T
+    flat = counts.ravel()
+    for row in cost.reshape(len(queries), -1):
+        order = np.argsort(row, kind="stable")
+        order = order[flat[order] > 0]
+        yield order[: np.searchsorted(np.cumsum(flat[order]), least) + 1]
+
+
+def best_of(vectors: np.ndarray, ids: list, queries: np.ndarray, names: np.ndarray, most: int) -> tuple[list, list, list]:
+    """(query, id, score) of each query's `most` best; equal scores go to smaller ids. Products choose, plain sums score."""
+    out: tuple[list, list, list] = ([], [], [])
+    for at in range(0, len(queries), 256):
+        part = queries[at : at + 256]
+        rough = part @ vectors.T
+        for q, row in enumerate(rough):
+            near = np.arange(len(row))
+            if len(row) > most:
+                least = np.partition(row, len(row) - most)[len(row) - most]
+                near = np.flatnonzero(row >= least - 1e-9 * np.abs(row).max())
+            scores = np.einsum("ij,j->i", vectors[near], part[q])
+            rows = sorted((-s, i) for s, n in zip(scores.tolist(), near.tolist(), strict=True) for i in ids[n])[:most]
+            out[0].extend([names[at + q]] * len(rows))
+            out[1].extend(i for _, i in rows)
+            out[2].extend(-s for s, _ in rows)
+    return out
+
+
+def part_of(name: str, parts: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), name), parts).cast("int")
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 2, reach: float = 64.0, growth: float = 0.6, leaf: int = 2048, block: int = 8192, seed: int = 3
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of each query (rows of vectors), itself left out.
 
     Repeated rows, equal in id and vector, count once, as candidates and as queries."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec")).where(takes_part(F.col("vec")) & F.col("vec_id").isNotNull()).distinct()
-    asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("vec")).where(takes_part(F.col("vec")) & F.col("query_id").isNotNull()).distinct()
-    classes, _ = stored(smallest_ids(rows, ["vec"], "vec_id", k + 1).withColumn("name", F.element_at("ids", 1)))
-    wanted, _ = stored(asked.groupBy("vec").agg(F.min("query_id").alias("name")))
-    n_blocks, n_chunks = (max(1, -(-d.count() // block)) for d in (classes, wanted))
-
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("dims", F.size("vec"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({c: pa.array([], t) for c, t in (("name", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
-        found = search_block(matrix(left["vec"]), left["ids"].to_pylist(), matrix(right["vec"]), right["name"].to_numpy(), k + 1, trees, share, seed)
-        return pa.table({"name": found[0], "vec_id": found[1], "score": found[2]})
-
-    by = ["b", "c", "dims"]
-    left = dealt(classes, "b", n_blocks, "c", n_chunks).select(*by, "vec", "ids")
-    right = dealt(wanted, "c", n_chunks, "b", n_blocks).select(*by, "vec", "name")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(search, "name long, vec_id long, score double")
-    best = Window.partitionBy("name").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("name").agg(F.collect_list(F.struct("score", "vec_id")).alias("top"))
-    found = wanted.join(top, "name").select("vec", "top")
-    mine = asked.alias("q").join(found.alias("f"), F.expr("q.vec = f.vec"))
-    others = F.slice(F.filter(F.array_sort("top", lambda x, y: F.when(x["score"] != y["score"], F.when(x["score"] > y["score"], -1).otherwise(1)).when(x["vec_id"] < y["vec_id"], -1).otherwise(1)), lambda t: t["vec_id"] != F.col("query_id")), 1, k)
-    return mine.select("query_id", F.posexplode(others).alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
+    spark = vectors.sparkSession
+
+    def named(df: DataFrame, own: str) -> DataFrame:
+        vec = F.col("vec")
+        rows = df.select(F.col(key).cast("long").alias(own), F.col(vector).alias("vec"))
+        return rows.where(takes_part(vec) & F.col(own).isNotNull()).select(own, "vec", *equal_keys(vec, F.lit(True)))
+
+    by = ["k1", "k2"]
+    rows, asked = named(vectors, "vec_id"), named(queries, "query_id")
+    ids = smallest_ids(rows.select("vec_id", *by).distinct(), by, "vec_id", k + 1)
+    firsts = rows.groupBy(*by).agg(F.first("vec").alias("vec"))
+    plain, plain_at = stored(firsts.join(ids, by).select("vec", "ids", F.element_at("ids", 1).alias("name")))
+    wanted, _ = stored(asked.groupBy(*by).agg(F.min("query_id").alias("name"), F.first("vec").alias("vec")))
+    most = k + 1
+
+    # How many vectors each band has decides how deep its trees go.
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(0).offsets.to_numpy())
+            for dims in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
+                own = bands(matrix(part.column(0)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(own), dims, np.int32)), pa.array(own)], names=[*part.schema.names, "dims", "band"])
+
+    kind = plain.schema["vec"].dataType.simpleString()
+    classes, _ = stored(plain.mapInArrow(banded, f"vec {kind}, ids array<bigint>, name long, dims int, band int"))
+    release(spark, plain_at)
+    sizes = {(r["dims"], r["band"]): r["n"] for r in classes.groupBy("dims", "band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    depth = {b: min(DEEPEST, max(0, int(np.ceil(np.log2(n / leaf))))) for b, n in sizes.items()}
+    least = {b: int(min(n, max(4 * most, reach * n**growth))) for b, n in sizes.items()}
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, band = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for d, b in {*zip(dims.tolist(), band.tolist(), strict=True)}:
+                part = batch.take(pa.array(np.flatnonzero((dims == d) & (band == b))))
+                x = levelled(matrix(part.column(0)), b)
+                for t in range(trees if depth[d, b] else 1):
+                    cell = cells_of(x, seed, t, depth[d, b]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), t, np.int32)), pa.array(cell)], names=[*part.schema.names, "tree", "cell"])
+
+    forest = classes.select("vec", "dims", "band", "ids", "name").mapInArrow(grown, f"vec {kind}, dims int, band int, ids array<bigint>, name long, tree int, cell int")
+    cell = ["dims", "band", "tree", "cell"]
+    found = forest.select(*cell).groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** DEEPEST for each tree of a band
+    counts = {b: np.zeros((trees if depth[b] else 1, 1 << depth[b]), np.int64) for b in sizes}
+    for r in found:
+        counts[r["dims"], r["band"]][r["tree"], r["cell"]] = r["n"]
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            for (dims, band), held in counts.items():
+                for at in range(0, len(batch), 256):
+                    mine = np.flatnonzero(lengths[at : at + 256] == dims) + at
+                    if not len(mine):
+                        continue
+                    part = batch.take(pa.array(mine))
+                    x = matrix(part.column(1))
+                    ways = list(ascent(np.column_stack([x, np.zeros(len(x))]), held, depth[dims, band], seed, least[dims, band]))
+                    many = [len(w) for w in ways]
+                    place = np.concatenate(ways)
+                    name = np.repeat(part.column(0).to_numpy(), many)
+                    fixed = [pa.array(np.full(len(name), v, np.int32)) for v in (dims, band)]
+                    yield pa.RecordBatch.from_arrays([pa.array(name), *fixed, pa.array((place >> depth[dims, band]).astype(np.int32)), pa.array((place & (1 << depth[dims, band]) - 1).astype(np.int32))], names=["name", *cell])
+
+    ways, _ = stored(wanted.select("name", "vec").mapInArrow(routed, "name long, dims int, band int, tree int, cell int"))
+    both = spark.createDataFrame([(r["dims"], r["band"], r["tree"], r["cell"], -(-r["n"] // block)) for r in found], "dims int, band int, tree int, cell int, parts int")
+    comers = ways.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
+    shape = F.broadcast(both.join(comers, cell))  # one row for each cell
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = forest.join(shape, cell).withColumn("part", part_of("name", F.col("parts"), 1)).withColumn("chunk", each(F.col("chunks")))
+    right = ways.join(shape, cell).withColumn("chunk", part_of("name", F.col("chunks"), 2)).withColumn("part", each(F.col("parts"))).join(wanted.select("name", "vec"), "name")
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        best = best_of(matrix(a["vec"]), a["ids"].to_pylist(), matrix(b["vec"]), b["name"].to_numpy(), most) if len(a) and len(b) else ([], [], [])
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("name", "vec_id", "score"), best, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    keys = [*cell, "part", "chunk"]
+    met = left.select(*keys, "vec", "ids").groupBy(*keys).cogroup(right.select(*keys, "vec", "name").groupBy(*keys)).applyInArrow(search, "name long, vec_id long, score double")
+    once = met.groupBy("name", "vec_id").agg(F.max("score").alias("score"))  # several trees may have found it
+    order = Window.partitionBy("name").orderBy(F.desc("score"), "vec_id")
+    top = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    mine = asked.select("query_id", *by).distinct().join(wanted.select("name", *by), by).select("query_id", "name")
+    others = mine.join(top, "name").where("vec_id <> query_id")
+    ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("r")).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

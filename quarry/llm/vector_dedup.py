@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import partitions, release, stored
 from quarry.llm.components import components
-from quarry.llm.vectors import hyperplanes, matrix, takes_part
+from quarry.llm.vectors import equal_keys, hyperplanes, matrix, takes_part
 
 #: Sketches of neighbours differ in at most this many of 64 bits: at cosine 0.98, 4 do on average, and more than 16 once in a million.
 NEAR = 16
@@ -199,10 +199,6 @@ def completed(members: DataFrame, threshold: float) -> DataFrame:
     return done
 
 
-def equal_keys(vec: Column, fit: Column) -> list[Column]:
-    return [F.when(fit, F.xxhash64(vec)).alias("k1"), F.when(fit, F.xxhash64(F.lit(1), vec)).alias("k2")]
-
-
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, passes: int = 12, window: int = 128, bits: int = 40, seed: int = 1) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec"), F.col(label).alias("label"))

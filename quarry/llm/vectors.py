@@ -15,6 +15,11 @@ def takes_part(vector: Column) -> Column:
     return F.coalesce(x.isNotNull() & fine & F.exists(x, lambda c: c != 0), F.lit(False))
 
 
+def equal_keys(vec: Column, fit: Column) -> list[Column]:
+    """Two 64-bit hashes of a vector, null unless it is fit: vectors are equal if both are."""
+    return [F.when(fit, F.xxhash64(vec)).alias("k1"), F.when(fit, F.xxhash64(F.lit(1), vec)).alias("k2")]
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Lists of one length as a matrix in double precision."""
     if isinstance(column, pa.ChunkedArray):

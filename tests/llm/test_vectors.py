@@ -81,6 +81,32 @@ def test_nearest_recall_and_ties(vectors):
     assert nearest.nearest(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["uniform", "clustered", "lengths"])
+def test_recall_with_small_cells(spark, kind):
+    """Cells of a few rows and few candidates: far fewer than all are compared, and clusters are found."""
+    rnd = np.random.default_rng(12)
+    x = rnd.standard_normal((3000, 8))
+    if kind == "clustered":
+        x = np.repeat(rnd.standard_normal((100, 8)), 30, axis=0) + 0.05 * x
+    if kind != "lengths":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    given = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest.nearest(given, given.where("vec_id % 20 = 0"), reach=9.0, leaf=32, block=40).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hit = 0
+    for q in range(0, 3000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found[q].keys() & set(np.argsort(-score)[:20].tolist()))
+        assert all(abs(s - score[i]) < 1e-12 for i, s in found[q].items()) and len(found[q]) == 20
+    assert hit >= 0.9 * 20 * 150
+    held = np.array([[9, 0, 3, 2], [1, 5, 4, 4]])
+    for least in (1, 6, 14, 28, 99):
+        (way,) = nearest.ascent(np.array([[1.0, 0.2, 0.0]]), held, 2, 3, least)
+        assert held.ravel()[way].sum() >= min(least, 28) and held.ravel()[way[:-1]].sum() < least and 0 not in held.ravel()[way]
+
+
 def test_recall_on_the_table(spark):
     from quarry.llm import queries
 
@@ -123,7 +149,7 @@ def test_repeated_rows_count_once_among_neighbours(vectors):
     again = once
     for _ in range(5):
         again = again.unionByName(again.where("vec_id in (20, 40, 3)"))
-    rows = lambda given: sorted(map(tuple, nearest.nearest(given, given.where("vec_id % 20 = 0"), share=1.0).collect()))
+    rows = lambda given: sorted(map(tuple, nearest.nearest(given, given.where("vec_id % 20 = 0")).collect()))
     want = rows(once)
     assert len(want) == 400 and rows(again) == want
 
