@@ -6,7 +6,7 @@ own string in every tree. Then all trees ascend together: bits are given up from
 those whose hyperplane the query is closest to, until the cells that agree in the bits left hold `reach`
 times N ** `growth` vectors. These are compared exactly, by the products of a cell's vectors and the
 queries that came to it. So the candidates of a query grow far slower than the table, while a table of
-at most `leaf` vectors is compared whole.
+at most `leaf` vectors is compared whole. Cells grow likewise, so that a query comes to a fixed number of them.
 
 Vectors are taken by bands of like length, each with a forest of its own, and are given one more component
 that makes the lengths of a band equal: the largest inner product then is the smallest angle.
@@ -37,17 +37,20 @@ from quarry.llm.vectors import equal_keys, hyperplanes, matrix, smallest_ids, ta
 
 #: Bits of the longest prefix that has a cell of its own: bounds the table of cells, which tasks hold.
 DEEPEST = 12
+#: Cells are so large that a query comes to about this many in all trees together, whatever the table's size.
+VISITS = 8
 #: Vectors of a band differ in length by this factor at most.
 BAND = 1.25
 
 
 def bands(x: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.linalg.norm(x, axis=1)) / np.log(BAND) + 1e-9).astype(np.int32)
+    """The power of BAND that a length is nearest to: unit vectors are in the middle of theirs."""
+    return np.floor(np.log(np.linalg.norm(x, axis=1)) / np.log(BAND) + 0.5).astype(np.int32)
 
 
 def levelled(x: np.ndarray, band: int) -> np.ndarray:
     """Vectors of a band with the component that makes their lengths equal."""
-    return np.column_stack([x, np.sqrt(np.maximum(BAND ** (2 * band + 2) - (x**2).sum(1), 0))])
+    return np.column_stack([x, np.sqrt(np.maximum(BAND ** (2 * band + 1) - (x**2).sum(1), 0))])
 
 
 def planes(seed: int, dims: int, tree: int, bits: int) -> np.ndarray:
@@ -100,7 +103,7 @@ def part_of(name: str, parts: Column, salt: int) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 2, reach: float = 64.0, growth: float = 0.6, leaf: int = 2048, block: int = 8192, seed: int = 3
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 2, reach: float = 64.0, growth: float = 0.6, leaf: int = 2048, block: int = 16384, seed: int = 3
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of each query (rows of vectors), itself left out.
 
@@ -133,8 +136,8 @@ def nearest(
     classes, _ = stored(plain.mapInArrow(banded, f"vec {kind}, ids array<bigint>, name long, dims int, band int"))
     release(spark, plain_at)
     sizes = {(r["dims"], r["band"]): r["n"] for r in classes.groupBy("dims", "band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    depth = {b: min(DEEPEST, max(0, int(np.ceil(np.log2(n / leaf))))) for b, n in sizes.items()}
     least = {b: int(min(n, max(4 * most, reach * n**growth))) for b, n in sizes.items()}
+    depth = {b: min(DEEPEST, max(0, int(np.ceil(np.log2(n / max(leaf, least[b] / VISITS)))))) for b, n in sizes.items()}
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
