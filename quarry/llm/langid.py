@@ -7,10 +7,11 @@ fitted. Scoring is two matrix products for each batch: grams x landmarks, landma
 
 Training reads the ids and languages of all training rows to choose a bounded, hash-ordered set
 (per_class for each language), then copies the chosen rows to a small table and works on their whole texts on the
-executors; the driver gets landmark grams and kernel rows only.
+executors; the driver gets landmark grams and kernel rows only. Of rows that share id and language one
+text is learned from, the smallest, so that the bound holds for rows too.
 
-Edge cases: null, empty and letterless texts get `und` with score 0; with nothing to learn from,
-every row gets `und`; whole texts count, of any length; equal texts get equal answers, ties between
+Edge cases: null, empty and letterless texts get `und` with score 0; with nothing to learn from (no
+training row with a language, or none of those chosen with letters), every row gets `und`; whole texts count, of any length; equal texts get equal answers, ties between
 languages go to the smaller name; extra columns pass through, output columns are replaced.
 """
 
@@ -124,19 +125,25 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
     names = sorted({name for _, name in chosen})
     if not names:
         return Classifier([], np.empty(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    ids = F.broadcast(spark.createDataFrame(chosen, f"{key} long, {label} string").select(key).distinct())
-    sample, sample_at = stored(train.select(key, label, text).where(F.col(label).isNotNull()).join(ids, key, "left_semi"))
+    ids = F.broadcast(spark.createDataFrame(chosen, f"{key} long, {label} string"))
+    rows_of = train.select(key, label, text).join(ids, [key, label], "left_semi")
+    sample, sample_at = stored(rows_of.groupBy(key, label).agg(F.min(text).alias(text)))
 
     marks: list[tuple] = []
     for name in names:
-        marks += [k for k, n in chosen if n == name][:landmarks_per_class]
+        marks += [(k, n) for k, n in chosen if n == name][:landmarks_per_class]
+    marked = F.broadcast(spark.createDataFrame(marks, f"{key} long, {label} string"))
+    nothing = Classifier([], np.empty(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([np.unique(grams(t)).astype(np.int32) for t in texts], pa.list_(pa.int32()))], names=["cells"])
 
-    found = [np.array(r["cells"], np.int64) for r in sample.where(F.col(key).isin(marks)).select(text).mapInArrow(presence, "cells array<int>").collect() if r["cells"]]
+    found = [np.array(r["cells"], np.int64) for r in sample.join(marked, [key, label], "left_semi").select(text).mapInArrow(presence, "cells array<int>").collect() if r["cells"]]
+    if not found:
+        release(spark, sample_at)
+        return nothing
     found.sort(key=lambda c: (len(c), c.tobytes()))
     cells = np.unique(np.concatenate(found))
     present = np.zeros((len(found), len(cells)), np.float32)
@@ -154,6 +161,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
     made = sample.select(text, label).mapInArrow(rows, "name string, k array<double>").collect()
     made.sort(key=lambda r: (r["name"], r["k"]))  # order of arrival must not matter
     release(spark, sample_at)
+    names = model.names = sorted({r["name"] for r in made})
     values = np.array([r["k"] for r in made])
     wanted = np.where(np.array([[r["name"] == n for n in names] for r in made]), 1.0, -1.0)
     sizes = present.sum(1)
