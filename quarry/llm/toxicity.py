@@ -6,7 +6,12 @@ is corrected by the class prior, and where the corrected part turns negative its
 reversed, so that the model can't profit from memorising positives.
 
 The training rows are a bounded, hash-ordered choice (positives and unlabelled parameters); texts of
-chosen rows are hashed whole on the executors, only cells reach the driver.
+chosen rows are hashed whole on the executors, only cells reach the driver. Of rows that share an id one text
+is learned from, the smallest, so that the bounds hold for rows too. The class prior is the share of toxic
+rows among labelled ones, but at least 0.001 and at most 0.5.
+
+How much evidence a cell must give to take part is chosen anew in each fit: every fourth chosen row is
+kept for validation, and the least non-negative risk on these decides. Held-out rows have no say.
 
 Edge cases: null and empty texts are scored by the bias alone; without positives every score is 0;
 texts of any length count whole; equal texts get equal scores; extra columns pass through and output
@@ -27,8 +32,8 @@ from quarry.llm.common import map_texts
 
 BITS = 21
 CACHE = 200_000
-#: Evidence (twice the log of the likelihood ratio) that a cell takes to be more frequent among positives.
-CLEAR = 10.0
+#: Evidence (twice the log of the likelihood ratio) that a cell may have to show for being more frequent among positives.
+CLEAR = (6.0, 10.0, 16.0)
 #: Stripped from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}*#$%&_-/"
 
@@ -87,13 +92,13 @@ def evidence(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return 2 * (log(a, n) + log(b, m) - (a + b) * np.log(share) - (n + m - a - b) * np.log1p(-share))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, clear: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights over all cells and a bias that minimise the non-negative PU risk with logistic loss (Adam)."""
     width = 1 << BITS
     # Only cells that positives have clearly more often than unlabelled texts take part.
     counts = [np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=width) for rows in (positive, unlabelled)]
     rates = [c / max(1, len(rows)) for c, rows in zip(counts, (positive, unlabelled), strict=True)]
-    held = (rates[0] > rates[1]) & (evidence(counts[0], len(positive), counts[1], len(unlabelled)) > CLEAR)
+    held = (rates[0] > rates[1]) & (evidence(counts[0], len(positive), counts[1], len(unlabelled)) > clear)
     used, place = np.flatnonzero(held), np.cumsum(held) - 1
     inner = [SparseRows([place[r[held[r]]] for r in rows]) for rows in (positive, unlabelled)]
     n = len(used)
@@ -118,6 +123,20 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return out, float(b)
 
 
+def risk(model: tuple[np.ndarray, float], positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> float:
+    """The non-negative PU risk of rows that the model hasn't seen."""
+    zp, zu = (SparseRows(rows).dot(model[0]) + model[1] for rows in (positive, unlabelled))
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def chosen_clear(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> float:
+    """The evidence that does best on every fourth row after learning from the others; the middle one for few rows."""
+    if min(len(positive), len(unlabelled)) < 8:
+        return CLEAR[len(CLEAR) // 2]
+    learned, kept = ([[r for k, r in enumerate(rows) if (k % 4 == 0) == want] for rows in (positive, unlabelled)] for want in (False, True))
+    return min(CLEAR, key=lambda clear: risk(fit_nnpu(*learned, prior, clear), *kept, prior))
+
+
 class Toxicity:
     def __init__(self, weights: np.ndarray | None, bias: float):
         self.used = np.flatnonzero(weights).astype(np.int32) if weights is not None else None
@@ -143,8 +162,8 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(np.array(total) + self.bias, -60, 60)))
 
 
-def chosen_cells(docs: DataFrame, ids: list[int], text: str, key: str) -> dict[int, list[np.ndarray]]:
-    """Cells of the whole texts with these ids, by id."""
+def chosen_cells(docs: DataFrame, ids: list[int], text: str, key: str) -> dict[int, np.ndarray]:
+    """Cells of one whole text for each of these ids."""
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], f"{key} long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +172,8 @@ def chosen_cells(docs: DataFrame, ids: list[int], text: str, key: str) -> dict[i
             made = [np.sort(cells_of(t, cells)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["key", "cells"])
 
-    found: dict[int, list[np.ndarray]] = {}
-    for row in docs.select(F.col(key).cast("long"), text).join(wanted, key, "left_semi").mapInArrow(run, "key long, cells array<int>").toLocalIterator():
-        found.setdefault(row["key"], []).append(np.array(row["cells"], np.int32))
-    return found
+    one = docs.select(F.col(key).cast("long"), text).join(wanted, key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
+    return {row["key"]: np.array(row["cells"], np.int32) for row in one.mapInArrow(run, "key long, cells array<int>").toLocalIterator()}
 
 
 def first_ids(rows: DataFrame, key: str, bound: int) -> tuple[list[int], int]:
@@ -179,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     n_labelled = spread.select(key).distinct().count()
     prior = min(0.5, max(1e-3, toxic.count() / max(1, n_labelled)))
     cells = chosen_cells(docs, [*{*some, *others}], text, key)
-    parts = [sorted((c for i in ids for c in cells.get(i, [])), key=lambda c: (len(c), c.tobytes())) for ids in (some, others)]
-    weights, bias = fit_nnpu(*parts, prior)
+    parts = [[cells[i] for i in ids if i in cells] for ids in (some, others)]  # in the order of hashes
+    weights, bias = fit_nnpu(*parts, prior, chosen_clear(*parts, prior))
     return Toxicity(weights, bias)
 
 
