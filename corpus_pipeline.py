@@ -26,13 +26,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id
-    (one without only where no other has any)."""
+    """One document of each group of near duplicates: the one with the smallest doc_id (one without only where
+    no other has any), of several with that id and text the first in the order of all columns."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
-    marked = simhash.fingerprints(docs, out="__mark")
-    met = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__mark"] == kept["__fp"]))
-    one = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64("text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2"))
+    own = lambda column: F.coalesce(column, F.lit(substring.NO_ID))
+    kept = groups.groupBy("root").agg(least.alias("k")).select(own(F.col("k.doc_id")).alias("__i"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
+    t1, t2 = simhash.text_marks(F.col("text"))
+    by = ["__i", "__t1", "__t2"]
+    met = docs.withColumn("__i", own(F.col("doc_id"))).withColumn("__t1", t1).withColumn("__t2", t2).join(kept, by)
+    one = Window.partitionBy(*by).orderBy(*docs.columns)
     return met.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
 
 

@@ -115,12 +115,18 @@ def similar_pairs(fps: DataFrame) -> DataFrame:
     return plain.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).unionByName(crowded.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
 
 
+def text_marks(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp, root (the component's smallest fingerprint), component_id (its smallest doc_id)."""
-    rows, _ = stored(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), shingle=shingle).select("doc_id", "fp"))
+    """doc_id, fp, root (the component's smallest fingerprint), component_id (its smallest doc_id), and two hashes
+    of the text (t1, t2), by which a row is found again."""
+    named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *text_marks(F.col(text)))
+    rows, _ = stored(fingerprints(named, shingle=shingle).select("doc_id", "fp", "t1", "t2"))
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = components(similar_pairs(fps.select("fp")))
     rooted = fps.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return rows.join(known, "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(known, "fp").select("doc_id", "fp", "root", "component_id", "t1", "t2")

@@ -141,6 +141,36 @@ def test_language_of_odd_rows(docs):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(empty(docs))).collect()} == {"und"}
 
 
+def test_language_of_rows_without_letters_and_repeats(spark):
+    """Nothing to learn from gives und; an id that repeats, with other languages too, is learned from once for each."""
+    rows = [(1, "123", "en"), (2, None, "en"), (3, "...", "fr"), (4, "", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert {r["lang_pred"] for r in langid.identify(docs.unionByName(spark.createDataFrame([(9, "the text", None)], docs.schema)), model).collect()} == {"und"}
+    rows = [(1, "the thing that", "en")] * 50 + [(1, "ééé èè", "fr")] * 50 + [(2, "777", "de"), (None, "xx", "de")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == ["en", "fr"] and model.present.shape[0] == 2
+    assert model.predict(["that thing", "é è", "", "5" * 100_000])[0] == ["en", "fr", "und", "und"]
+
+
+def test_kernel_equals_counting_by_hand(docs):
+    """Presence kernels against sets of grams, without cells."""
+    texts = [r["text"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")][:12]
+    found = [np.unique(langid.grams(t)) for t in texts]
+    cells = np.unique(np.concatenate(found))
+    present = np.array([np.isin(cells, f) for f in found], np.float32)
+    values, lettered = langid.Classifier(["x"], cells, present, np.zeros((len(found), 1), np.float32)).kernel(texts)
+
+    def grams_of(text):
+        plain = " " + re.sub(r" +", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)) + " "
+        return {plain[k : k + n] for n in (1, 2, 3) for k in range(len(plain) - n + 1)}
+
+    for i, a in enumerate(map(grams_of, texts)):
+        for j, b in enumerate(map(grams_of, texts)):
+            assert abs(values[i, j] - len(a & b) / (len(a) * len(b)) ** 0.5) < 0.02
+    assert lettered.all()
+
+
 def capped(sizes, weights):
     """Shares by weight; what exceeds three times a source is shared again."""
     target, closed, left = {}, set(), sum(sizes.values())
@@ -173,6 +203,18 @@ def test_mixing_meets_targets(spark, docs):
             taken[r["source"]] += r["taken"]
         assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
         assert sorted(map(str, mixing.mix(rows).collect())) == sorted(map(str, own))
+        placed = [r for r in own if r["taken"]]
+        for r in placed:
+            assert 0 <= r["first_position"] <= r["last_position"] <= 1
+        # Along each source's stream positions rise, and by each of them the words taken are what the schedule's integral asks for.
+        for name in sizes:
+            stream = sorted((r["stream_at"], r["first_position"], r) for r in placed if r["source"] == name)
+            assert [p for _, p, _ in stream] == sorted(p for _, p, _ in stream)
+            for begun, t, r in stream:
+                asked = (r["start"] * t + (r["end"] - r["start"]) * t * t / 2) / ((r["start"] + r["end"]) / 2) * r["target"]
+                assert abs(asked - begun) < 1e-6 * max(1, begun)
+        ordered = [r["first_position"] for r in queries.op5_mixing(spark, SMALL).collect() if r["first_position"] is not None]
+        assert ordered == sorted(ordered)
         repeats = mixing.takes(rows, mixing.mix(rows))
         assert repeats.columns == rows.columns and repeats.count() <= 3 * len(texts)
     assert mixing.mix(empty(docs)).count() == 0
@@ -181,8 +223,8 @@ def test_mixing_meets_targets(spark, docs):
 def test_mixing_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-    want = sorted(con.execute(f"SELECT doc_id, size, source_size, round(target, 3), taken FROM ({mixing.MIX_SQL})").fetchall())
-    assert sorted((r[0], r[1], r[2], round(r[3], 3), r[4]) for r in queries.op5_mixing(spark, SMALL).collect()) == want
+    want = sorted(con.execute(f"SELECT doc_id, size, source_size, target, taken, first_position, last_position FROM ({mixing.MIX_SQL})").fetchall())
+    assert sorted(map(tuple, queries.op5_mixing(spark, SMALL).collect())) == want
 
 
 def without_repeats(texts, length):
@@ -228,11 +270,33 @@ def test_toxicity_of_held_out_rows(spark):
     held = [(r["score"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in toxic]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert sum((s >= 0.5) == bool(t) for s, t in held) > 0.97 * len(held)
+    good, bad = [s for s, t in held if t], [s for s, t in held if not t]
+    assert sum(s >= 0.5 for s in good) > 0.85 * len(good)  # recall
+    assert sum(s >= 0.5 for s in good) > 0.9 * sum(s >= 0.5 for s in good + bad)  # precision
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) > 0.95 * len(good) * len(bad)  # area under the curve
+
+
+def test_nnpu_on_planted_words():
+    """Positives carry one of three words, a fifth of the unlabelled rows too: these are told apart, by the corrected risk."""
+    rnd = np.random.default_rng(4)
+    marks, noise = np.array([11, 12, 13]), np.arange(100, 400)
+    row = lambda toxic: np.unique(np.concatenate([rnd.choice(noise, 30), rnd.choice(marks, 1) if toxic else []]).astype(np.int64))
+    positive, truth = [row(True) for _ in range(200)], np.arange(600) % 5 == 0
+    unlabelled = [row(t) for t in truth]
+    clear = toxicity.chosen_clear(positive, unlabelled, 0.2)
+    weights, bias = toxicity.fit_nnpu(positive, unlabelled, 0.2, clear)
+    scores = np.array([weights[r].sum() + bias for r in unlabelled])
+    assert ((scores > 0) == truth).mean() > 0.97
+    by_hand = 0.2 * np.mean([np.log1p(np.exp(-(weights[r].sum() + bias))) for r in positive]) + max(0, np.mean(np.log1p(np.exp(scores))) - 0.2 * np.mean([np.log1p(np.exp(weights[r].sum() + bias)) for r in positive]))
+    assert abs(toxicity.risk((weights, bias), positive, unlabelled, 0.2) - by_hand) < 1e-5
 
 
 def test_toxicity_of_odd_rows(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score_documents(docs, toxicity.fit(docs, none)).collect()} == {0.0}
+    again = docs.where("doc_id = 14")
+    for _ in range(4):
+        docs = docs.unionByName(again)
     some = spark.createDataFrame([(14, 1), (14, 1), (21, 0), (None, 1), (28, None)], "doc_id long, toxic int")
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_documents(docs, toxicity.fit(docs, some)).collect())
     assert toxicity.score_documents(empty(docs), toxicity.fit(empty(docs), some)).count() == 0
