@@ -1,15 +1,19 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-A window of `length` words can only be repeated if the windows of half that length inside it are.
-Level one counts half windows: of those inside a full window just the one with the smallest hash,
-which is the same wherever the same words stand, so that a repeated full window always meets its
-copy there. Neighbouring full windows that share their half window form a span. Where the half
-window is repeated, its spans are extended: level two counts the words of whole spans (up to about
-twice `length`), and a repeated span settles all its windows at once. Level three counts the full
-windows of the other spans, and of one span out of each repeated kind on behalf of the rest.
+A window of `length` words can only be repeated if the shorter windows inside it are. Levels double:
 
-Hashes of n + m words are mixed from those of n and of m words; spans and windows are told apart by
-64 and 96 bits.
+- level one counts windows of a quarter of the length: of those inside a full window just the one with the
+  smallest hash, which is the same wherever the same words stand, so that a repeated full window always
+  meets its copy there. Neighbouring full windows that share that place form a span;
+- where it is repeated, level two extends it to twice its length, to the left and to the right: a full
+  window has room for at least one of both. Spans go on if either is repeated;
+- level three doubles again, to full windows. Whole spans are counted first, since a repeated span settles
+  all its windows at once; then the windows of the other spans, and of one span out of each repeated
+  kind on behalf of the rest.
+
+At each level only what survived the one before is counted, and no candidates are left after the last.
+Hashes of n + m words are mixed from those of n and of m words; spans are told apart by 128 bits and
+windows by 95, the levels before them by 64, where a false equality only lets a candidate go on.
 
 Exact copies of a text are found first: all their windows are repeated, so they lose all words (if
 they have enough), and only one of them is looked into on behalf of the others.
@@ -94,45 +98,63 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return now
 
 
-def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each width values in a row, by doubling."""
-    n = 1
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest (the first of equal ones) of each width values in a row, by doubling."""
+    n, place = 1, np.arange(len(values))
     while n < width:
         step = min(n, width - n)
-        values = np.minimum(values[:-step], values[step:])
+        left, right = place[:-step], place[step:]
+        place = np.where(values[left] <= values[right], left, right)
         n += step
-    return values
+    return place
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def second_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all windows that tell nothing of window_hashes()."""
+    return window_hashes(stirred(words ^ U(0xA5A5A5A55A5A5A5A)), length)
+
+
 class Spans:
-    """Runs of neighbouring full windows inside a text that share their smallest half window, at one place.
+    """Runs of neighbouring full windows inside a text that share their smallest quarter window, at one place.
 
-    first, last: the run's windows, by their first words; half: hash of the half window; whole: hash of all words.
+    first, last: the run's windows, by their first words; at: where the quarter window begins.
     """
 
     def __init__(self, words: Words, length: int):
-        half = (length + 1) // 2
+        self.words, self.length, self.quarter = words, length, (length + 3) // 4
         self.full = window_hashes(words.hash, length)
-        short = window_hashes(words.hash, half)
-        least = least_in_windows(short, length - half + 1)
+        self.short = window_hashes(words.hash, self.quarter)
+        least = least_places(self.short, length - self.quarter + 1) if len(self.full) else np.empty(0, np.int64)
         place = np.arange(len(self.full))
         text = np.searchsorted(words.bounds, place, "right") - 1
         inside = place + length <= words.bounds[np.minimum(text + 1, len(words.bounds) - 1)]
         new = np.ones(len(place), bool)
-        # Where the smallest half window stood at the very start, the next window has another one, even if it is equal.
-        new[1:] = (least[1:] != least[:-1]) | (short[: max(0, len(place) - 1)] == least[:-1]) | (text[1:] != text[:-1])
+        new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
         new &= inside
         self.first = place[new]
         follow = np.append(self.first[1:], len(place))
         stop = words.bounds[text[self.first] + 1] - length
         self.last = np.minimum(follow - 1, stop)
-        self.text = text[self.first]
-        self.half = least[self.first]
-        self.whole = joined(joined(self.full[self.first], self.full[self.last]), (self.last - self.first).astype(U))
+        self.text, self.at = text[self.first], least[self.first]
+        self.whole = self.joined_ends(self.full)
+
+    def joined_ends(self, full: np.ndarray) -> np.ndarray:
+        """A hash of all words of each span: its first and last window cover them."""
+        return joined(joined(full[self.first], full[self.last]), (self.last - self.first).astype(U))
+
+    def doubled(self) -> tuple[pa.Array, pa.Array]:
+        """Hashes of the quarter window with as many words before it, and after it; null where the text has too few."""
+        q, bounds = self.quarter, self.words.bounds
+        double = np.append(window_hashes(self.words.hash, 2 * q), U(0))
+        out = []
+        for begin in (self.at - q, self.at):
+            fits = (begin >= bounds[self.text]) & (begin + 2 * q <= bounds[self.text + 1])
+            out.append(pa.array(signed(double[np.where(fits, begin, -1)]), mask=~fits))
+        return out[0], out[1]
 
 
 def pieces(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -158,7 +180,7 @@ NO_ID = -(1 << 63)
 
 
 def first_level(rows: DataFrame, length: int) -> DataFrame:
-    """All spans: h (half window), g (whole span), k1 (the text), place in the text."""
+    """All spans: h (quarter window), before and after (its extensions), g and g2 (whole span), k1 (the text), place in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +189,24 @@ def first_level(rows: DataFrame, length: int) -> DataFrame:
                 spans = Spans(words, length)
                 k1 = part.column(1).to_numpy()[spans.text]
                 place = (spans.first - words.bounds[spans.text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(spans.half)), pa.array(signed(spans.whole)), pa.array(k1), pa.array(place)], names=["h", "g", "k1", "place"])
+                other = spans.joined_ends(second_hashes(words.hash, length))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(spans.short[spans.at])), *spans.doubled(), pa.array(signed(spans.whole)), pa.array(signed(other)), pa.array(k1), pa.array(place)], names=["h", "before", "after", "g", "g2", "k1", "place"]
+                )
 
-    return rows.select("text", "k1").mapInArrow(run, "h long, g long, k1 long, place int")
+    return rows.select("text", "k1").mapInArrow(run, "h long, before long, after long, g long, g2 long, k1 long, place int")
+
+
+def repeated_longs(values: DataFrame, *keys: str) -> DataFrame:
+    return values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+
+
+def second_level(met: DataFrame) -> DataFrame:
+    """Spans one of whose extensions is repeated too."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("d")), F.struct(F.lit(1).alias("side"), F.col("after").alias("d")))
+    doubled = met.select("g", "g2", "k1", "place", F.inline(sides)).where(F.col("d").isNotNull())
+    often = unplaced(repeated_longs(doubled, "side", "d"), "d")
+    return doubled.join(often, ["side", "d"]).select("g", "g2", "k1", "place").distinct()
 
 
 def seeded_spans(words: Words, spans: Spans, seeds: list) -> np.ndarray:
@@ -200,7 +237,7 @@ def third_level(rows: DataFrame, length: int) -> DataFrame:
                 many = spans.last[pick] - spans.first[pick] + 1
                 where = np.repeat(spans.first[pick] - np.cumsum(many) + many, many) + np.arange(many.sum())
                 span = np.repeat(pick, many)
-                other = window_hashes(stirred(words.hash ^ U(0xA5A5A5A55A5A5A5A)), length)[where]
+                other = second_hashes(words.hash, length)[where]
                 text = spans.text[span]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(spans.full[where])), pa.array((other >> U(33)).astype(np.int32)), pa.array(part.column(1).to_numpy()[text]), pa.array((where - words.bounds[text]).astype(np.int32)), pa.array(status[span] == OPEN)],
@@ -260,18 +297,23 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
     rows = keyed(docs, key, text)
     texts, _ = stored(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     spans, spans_at = stored(first_level(rows, length))
-    often = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    met = spans.join(unplaced(often, "h"), "h").withColumn("occ", F.xxhash64("k1", "place"))
-    kinds = met.groupBy("g").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"))
+    met = spans.join(unplaced(repeated_longs(spans, "h"), "h"), "h")
+    if length >= 3 * ((length + 3) // 4) - 1:  # else a full window may have no room for either extension
+        met, met_at = stored(second_level(met))
+    else:
+        met, met_at = stored(met.select("g", "g2", "k1", "place").distinct())
+    release(spark, spans_at)
+    met = met.withColumn("occ", F.xxhash64("k1", "place"))
+    kinds = met.groupBy("g", "g2").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"))
     status = F.when(F.col("lo") == F.col("hi"), OPEN).when(F.col("occ") == F.col("lo"), SPEAKS).otherwise(CERTAIN)
     packed = F.shiftleft(F.col("place").cast("long"), 32) + F.shiftleft(status.cast("long"), 30) + F.col("g").bitwiseAND(F.lit((1 << 30) - 1))
-    seeds, _ = stored(met.join(unplaced(kinds, "g"), "g").select("k1", packed.alias("seed")).groupBy("k1").agg(F.collect_set("seed").alias("seeds")))
-    release(spark, spans_at)
+    seeds, _ = stored(met.join(unplaced(kinds, "g", "g2"), ["g", "g2"]).select("k1", packed.alias("seed")).groupBy("k1").agg(F.collect_set("seed").alias("seeds")))
+    release(spark, met_at)
 
     by = ["id", "k1", "k2"]
     asked = rows.join(texts.join(seeds, "k1").select(*by, "seeds"), by)
     windows = third_level(asked, length)
-    repeated = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    repeated = repeated_longs(windows, "a", "b")
     places = windows.where("open").join(unplaced(repeated, "a", "b"), ["a", "b"]).groupBy("k1").agg(F.collect_set("place").alias("places"))
     single = texts.where("copies = 1").join(seeds, "k1").join(places, "k1", "left").select(*by, "seeds", "places", F.lit(False).alias("all"))
     several = rows.select(*by).join(texts.where("copies > 1").select("k1", "k2"), ["k1", "k2"]).distinct()
