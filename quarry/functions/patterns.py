@@ -2,6 +2,9 @@
 
 Keywords become substring tests. A regex that begins with literal text also gets a substring test on
 that text, on lines and on whole files before they are split, which the optimizer doesn't derive.
+
+The JVM's matcher recurses once for each turn of a repeated group, so that long lines exhaust its stack.
+Patterns with such groups meet all lines, short or long, in a batched Python function instead.
 """
 
 from __future__ import annotations
@@ -11,40 +14,48 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: RE2's word boundary looks at ASCII word characters only, its white space leaves out the vertical tab.
 EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 NO_EDGE = r"(?:(?<![0-9A-Za-z_])(?![0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 SPACE = r"\t\n\f\r "
+WORD = "0-9A-Za-z_"
+#: The named classes, as ASCII ranges for use inside brackets.
 POSIX = {
-    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\t ", "cntrl": r"\p{Cntrl}", "digit": "0-9", "graph": r"\p{Graph}",
-    "lower": "a-z", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~",
+    "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-\~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": WORD, "xdigit": "0-9A-Fa-f",
 }
 META = set("\\.+*?()|[]{}^$")
-#: Longer lines don't meet repeated groups in the JVM, whose matcher recurses once for each turn.
-LONG_LINE = 4096
 
 
 class PatternError(ValueError):
     """The pattern isn't valid RE2 syntax."""
 
 
-def translate(pattern: str) -> str:
-    """An equivalent pattern for java.util.regex; PatternError for what RE2 rejects."""
-    out: list[str] = ["(?d)"]
+def translate(pattern: str, python: bool = False) -> tuple[str, bool]:
+    """An equivalent pattern for java.util.regex, or for Python's regex, and whether it repeats a group;
+    PatternError for what RE2 rejects."""
+    out: list[str] = ["(?V1)" if python else "(?d)"]
+    repeats = grouped = False
     multiline = [False]
     at, quantified = 0, True  # quantified: nothing to repeat here
     n = len(pattern)
 
+    def code(point: int) -> str:
+        return f"\\U{point:08x}" if python else f"\\x{{{point:x}}}"
+
     def escape(at: int, inside: bool) -> tuple[str, int]:
         if at + 1 >= n:
             raise PatternError("trailing backslash")
         c = pattern[at + 1]
         if c in "dDwW":
-            return "\\" + c, at + 2
+            kind = "0-9" if c in "dD" else WORD
+            if python and inside:
+                return (kind if c in "dw" else f"[^{kind}]"), at + 2
+            return ((f"[{kind}]" if c in "dw" else f"[^{kind}]") if python else "\\" + c), at + 2
         if c == "s":
             return (SPACE if inside else f"[{SPACE}]"), at + 2
         if c == "S":
@@ -57,7 +68,7 @@ def translate(pattern: str) -> str:
                 name = pattern[at + 3 : end]
                 negated = (c == "P") != name.startswith("^")
                 name = name.lstrip("^")
-                return f"\\{'P' if negated else 'p'}{{{name if len(name) <= 2 else 'Is' + name}}}", end + 1
+                return f"\\{'P' if negated else 'p'}{{{name if python or len(name) <= 2 else 'Is' + name}}}", end + 1
             if at + 2 >= n:
                 raise PatternError("incomplete \\p")
             return f"\\{c}{{{pattern[at + 2]}}}", at + 3
@@ -67,17 +78,17 @@ def translate(pattern: str) -> str:
             return r"\x0B", at + 2
         if c == "x":
             if m := re.compile(r"\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2})").match(pattern, at + 2):
-                return f"\\x{{{m[1] or m[2]}}}", m.end()
+                return code(int(m[1] or m[2], 16)), m.end()
             raise PatternError("bad \\x")
         if m := re.compile(r"0[0-7]{0,2}|[1-7][0-7]{1,2}").match(pattern, at + 1):
-            return f"\\x{{{int(m[0], 8):x}}}", m.end()
+            return code(int(m[0], 8)), m.end()
         if not inside:
             if c == "b":
                 return EDGE, at + 2
             if c == "B":
                 return NO_EDGE, at + 2
             if c in "Az":
-                return "\\" + c, at + 2
+                return r"\Z" if python and c == "z" else "\\" + c, at + 2
         if c.isascii() and c.isalnum():
             raise PatternError(f"invalid escape \\{c}")
         return "\\" + c, at + 2
@@ -103,7 +114,7 @@ def translate(pattern: str) -> str:
                 text, at = escape(at, True)
                 made.append(text)
             else:
-                made.append("\\" + c if c in "[]&~^#" else c)
+                made.append("\\" + c if c in "[]&~^#|" else c)
                 at += 1
 
     while at < n:
@@ -131,7 +142,10 @@ def translate(pattern: str) -> str:
                 on, off = m[1], (m[2] or "")[1:]
                 if "U" in on + off:
                     raise PatternError("ungreedy mode is not supported")
-                flags = on.replace("i", "iu") + ("-" + off.replace("i", "iu") if off else "")
+                if python:  # f: one character never equals two
+                    flags = on + ("-" + off + "f" * ("i" in on) if off or "i" in on else "")
+                else:
+                    flags = on.replace("i", "iu") + ("-" + off.replace("i", "iu") if off else "")
                 state = (multiline[-1] or "m" in on) and "m" not in off
                 if m[3] == ":":
                     multiline.append(state)
@@ -151,29 +165,31 @@ def translate(pattern: str) -> str:
                 raise PatternError("unexpected )")
             multiline.pop()
             out.append(")")
-            at, quantified = at + 1, False
+            at, quantified, grouped = at + 1, False, True
+            continue
         elif (m := re.compile(r"[*+?]|\{\d+(?:,\d*)?\}").match(pattern, at)) is not None:
             if quantified:
                 raise PatternError(f"nothing to repeat before {m[0]}")
             if max(map(int, re.findall(r"\d+", m[0])), default=0) > 1000:
                 raise PatternError("repeat count over 1000")
             at = m.end()
+            repeats |= grouped and m[0] != "?"
             lazy = pattern[at : at + 1] == "?"
             out.append(m[0] + "?" * lazy)
             at, quantified = at + lazy, True
         else:
             if c == "$":
-                out.append("$" if multiline[-1] else r"\z")
+                out.append("$" if multiline[-1] else r"\Z" if python else r"\z")
             elif c in "{}]":
                 out.append("\\" + c)
             else:
                 out.append(c)
             quantified = c in "|^"
             at += 1
+        grouped = False
     if len(multiline) > 1:
         raise PatternError("missing )")
-    made = "".join(out)
-    return made
+    return "".join(out), repeats
 
 
 def quote(text: str) -> str:
@@ -181,9 +197,31 @@ def quote(text: str) -> str:
     return re.sub(r"([^0-9A-Za-z_\x80-\U0010FFFF])", r"\\\1", text).replace("\\\n", "\\n")
 
 
+def has_alternatives(pattern: str) -> bool:
+    """Whether a bar stands outside of all groups, classes, escapes and quoted stretches."""
+    at, depth = 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if pattern.startswith("\\Q", at):
+            end = pattern.find("\\E", at)
+            at = end + 2 if end >= 0 else len(pattern)
+            continue
+        if c == "\\":
+            at += 1
+        elif c == "[":
+            m = re.compile(r"\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*", re.S).match(pattern, at)
+            at = m.end()
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return True
+        at += 1
+    return False
+
+
 def literal_prefix(pattern: str) -> str:
     """Text that every match begins with; may be empty."""
-    if re.search(r"(?<!\\)\|", pattern):
+    if has_alternatives(pattern):
         return ""
     out, at = [], 0
     while at < len(pattern):
@@ -203,17 +241,15 @@ def literal_prefix(pattern: str) -> str:
     return "".join(out)
 
 
-def repeats_groups(pattern: str) -> bool:
-    return re.search(r"\)[*+{]", pattern) is not None
-
-
 @dataclass(frozen=True)
 class Pattern:
-    """A compiled query. java is None for case-sensitive keywords; literal is text that any match contains."""
+    """A compiled query. java is None for case-sensitive keywords; literal is text that any match contains;
+    python is set for patterns that repeat a group."""
 
     query: str
     java: str | None
     literal: str
+    python: str | None = None
 
     @property
     def is_keyword(self) -> bool:
@@ -226,36 +262,53 @@ class Pattern:
     def matches(self, line: Column) -> Column:
         if self.java is None:
             return F.contains(line, F.lit(self.query))
-        if repeats_groups(self.java):
-            short = F.length(line) <= LONG_LINE
-            inside = F.when(short, line).rlike(self.java)
-            return self.within(line) & F.when(short, inside).otherwise(long_match(self.query_pattern)(F.when(~short, line)).isNotNull())
+        if self.python is not None:
+            return self.within(line) & first_match(self.python)(line).isNotNull()
         return self.within(line) & line.rlike(self.java) if self.literal else line.rlike(self.java)
 
     def match_text(self, line: Column) -> Column:
         if self.java is None:
             return F.lit(self.query)
-        if repeats_groups(self.java):
-            short = F.length(line) <= LONG_LINE
-            return F.when(short, F.regexp_extract(F.when(short, line), self.java, 0)).otherwise(long_match(self.query_pattern)(F.when(~short, line)))
-        return F.regexp_extract(line, self.java, 0)
+        return first_match(self.python)(line) if self.python is not None else F.regexp_extract(line, self.java, 0)
 
-    @property
-    def query_pattern(self) -> str:
-        """The same pattern for Python, which doesn't recurse on long lines."""
-        return self.java.removeprefix("(?d)").replace("(?iu)", "(?i)").replace(r"\z", r"\Z").replace(r"\p{Alpha}", "A-Za-z").replace(r"\p{Alnum}", "0-9A-Za-z")
+    def matching(self, rows: DataFrame, line: str) -> DataFrame:
+        """Rows whose line matches, with match_text. A pattern that needs Python runs once for each row."""
+        if self.python is None:
+            return rows.where(self.matches(F.col(line))).withColumn("match_text", self.match_text(F.col(line)))
+        found = first_match(self.python).asNondeterministic()(F.col(line))
+        return rows.where(self.within(F.col(line))).withColumn("match_text", found).where(F.col("match_text").isNotNull())
 
+    def matches_of(self, lines: Column) -> Column:
+        """For each line of an array its match, null if it has none."""
+        if self.python is not None:
+            return first_matches(self.python).asNondeterministic()(lines)
+        return F.transform(lines, lambda x: F.when(self.matches(x), self.match_text(x)))
 
-def long_match(pattern: str):
-    """The first match in long lines, by a batched function; null for none."""
+
+def first_match(pattern: str):
+    """The first match in each line; null for none."""
 
     @F.pandas_udf(StringType())
     def found(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import regex
 
-        test = regex.compile(pattern, regex.ASCII if not pattern.startswith("(?i)") else 0)
+        search = regex.compile(pattern).search
         for batch in lines:
-            yield batch.map(lambda x: m[0] if x is not None and (m := test.search(x)) else None)
+            yield batch.map(lambda x: m[0] if x is not None and (m := search(x)) else None)
+
+    return found
+
+
+def first_matches(pattern: str):
+    """The same for each line of arrays of lines."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import regex
+
+        search = regex.compile(pattern).search
+        for batch in arrays:
+            yield batch.map(lambda lines: None if lines is None else [m[0] if (m := search(x)) else None for x in lines])
 
     return found
 
@@ -264,5 +317,6 @@ def compile_pattern(query: str, is_regex: bool = False, ignore_case: bool = Fals
     """PatternError for an invalid regex. An empty keyword matches every line."""
     if not is_regex:
         return Pattern(query, "(?iu)" + quote(query), "") if ignore_case else Pattern(query, None, query)
-    java = translate(("(?i)" if ignore_case else "") + query)
-    return Pattern(query, java, "" if ignore_case else literal_prefix(query))
+    whole = ("(?i)" if ignore_case else "") + query
+    java, repeats = translate(whole)
+    return Pattern(query, java, "" if ignore_case else literal_prefix(query), translate(whole, python=True)[0] if repeats else None)

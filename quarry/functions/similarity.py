@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,34 +16,58 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(as_bytes(F.lower(a)), as_bytes(F.lower(b)))
 
 
-def jaro_of(a: str, b: str) -> float:
-    """Jaro similarity of two byte-wise strings in lower case; transpositions are halved to a whole number."""
-    if not a or not b:
-        return 0.0
-    reach = max(0, int(max(len(a), len(b)) / 2 - 1))
-    free, first, second = [True] * len(b), [], []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                first.append(c)
-                second.append(j)
-                break
-    m = len(first)
-    if not m:
-        return 0.0
-    swapped = sum(c != b[j] for c, j in zip(first, sorted(second), strict=True)) // 2
-    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+def padded(texts: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(len(texts), width)
+
+
+def jaro_of(a: list[bytes], b: list[bytes], width: int) -> np.ndarray:
+    """Jaro similarities of byte strings of at most width bytes; transpositions are halved to a whole number."""
+    x, y = padded(a, width), padded(b, width)
+    size_a, size_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (a, b))
+    reach = np.maximum(np.maximum(size_a, size_b) // 2 - 1, 0)[:, None]
+    place, rows = np.arange(width), np.arange(len(a))
+    met, free = np.zeros(x.shape, bool), place < size_b[:, None]
+    for i in range(int(size_a.max(initial=0))):
+        fits = free & (y == x[:, i : i + 1]) & (np.abs(place - i) <= reach) & (i < size_a)[:, None]
+        first = fits.argmax(1)
+        hit = fits[rows, first]
+        met[:, i] = hit
+        free[rows[hit], first[hit]] = False
+    taken = ~free & (place < size_b[:, None])
+    m = met.sum(1)
+    one, two = (np.take_along_axis(t, np.argsort(~kept, 1, kind="stable"), 1) for t, kept in ((x, met), (y, taken)))
+    swapped = ((one != two) & (place < m[:, None])).sum(1) // 2
+    some = np.maximum(m, 1)
+    return np.where(m > 0, (m / np.maximum(size_a, 1) + m / np.maximum(size_b, 1) + (m - swapped) / some) / 3, 0.0)
 
 
 @F.pandas_udf(DoubleType())
 def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Strings of like length are worked on together."""
+    out = np.full(len(a), np.nan)
+    pairs = [(max(len(x), len(y), 1), k, x, y) for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+    groups: dict[int, list] = {}
+    for size, k, x, y in pairs:
+        groups.setdefault(1 << (size - 1).bit_length(), []).append((k, bytes(x), bytes(y)))
+    for width, group in groups.items():
+        step = max(1, (1 << 22) // width)
+        for at in range(0, len(group), step):
+            places, one, two = zip(*group[at : at + step], strict=True)
+            out[list(places)] = jaro_of(list(one), list(two), width)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
+#: Evaluated once for each row, whatever filters stand above.
+_jaro = _jaro.asNondeterministic()
+
+
+def _jaro_bytes(a: Column, b: Column) -> Column:
+    return _jaro(F.encode(F.lower(a), "UTF-8"), F.encode(F.lower(b), "UTF-8"))
 
 
 def jaro(a: Column, b: Column) -> Column:
     """1 for equal strings (empty ones too), whatever their case otherwise."""
-    return F.when(a == b, F.lit(1.0)).otherwise(_jaro(as_bytes(F.lower(a)), as_bytes(F.lower(b))))
+    return F.when(a == b, F.lit(1.0)).otherwise(_jaro_bytes(a, b))
 
 
 def common_prefix(a: Column, b: Column, most: int = 4) -> Column:
@@ -56,12 +81,15 @@ def common_prefix(a: Column, b: Column, most: int = 4) -> Column:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro raised by a tenth of the rest for each byte of common prefix, at any similarity."""
-    j = jaro(a, b)
-    return j + common_prefix(a, b) * F.lit(0.1) * (1 - j)
+    prefix = common_prefix(a, b) * F.lit(0.1)
+    return F.element_at(F.transform(F.array(jaro(a, b)), lambda j: j + prefix * (1 - j)), 1)
 
 
 def fuzzy_score(query: Column, target: Column) -> Column:
-    """1 if equal but for case, 0.9 if the target contains the query, else a blend of the two similarities."""
+    """1 if equal but for case, 0.9 if the target contains the query, else a blend of the two similarities,
+    which alone is computed for the rest."""
     q, t = F.lower(query), F.lower(target)
-    blend = 0.6 * jaro_winkler(q, t) + 0.4 * (1 - edit_distance(q, t) / F.greatest(F.octet_length(q), F.octet_length(t)))
-    return F.when(q == t, F.lit(1.0)).when(F.contains(t, q), F.lit(0.9)).otherwise(blend)
+    settled = F.when(q == t, F.lit(1.0)).when(F.contains(t, q), F.lit(0.9))
+    left = F.when(settled.isNull(), t)
+    blend = 0.6 * jaro_winkler(q, left) + 0.4 * (1 - edit_distance(q, left) / F.greatest(F.octet_length(q), F.octet_length(left)))
+    return F.coalesce(settled, blend)

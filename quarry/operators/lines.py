@@ -38,10 +38,10 @@ def find_matches(files: DataFrame, pattern: Pattern, context: int = 0, strip_cr:
     within = pattern.within(F.col("content"))
     if not context:
         lines = to_lines(files.select("path", "content"), strip_cr, within)
-        return lines.where(pattern.matches(F.col("line"))).select(F.col("path").alias("file_path"), "line_number", F.col("line").alias("line_content"), pattern.match_text(F.col("line")).alias("match_text"))
-    held = files.where(within).select("path", line_array(F.col("content"), strip_cr).alias("lines"))
-    spots = held.select("path", "lines", F.filter(F.transform("lines", lambda x, i: F.when(pattern.matches(x), i)), lambda i: i.isNotNull()).alias("at")).where(F.size("at") > 0)
-    framed = F.transform("at", lambda i: F.struct((i + 1).cast("int").alias("line_number"), context_frame(F.col("lines"), i, context).alias("line_content"), pattern.match_text(F.element_at("lines", i + 1)).alias("match_text")))
+        return pattern.matching(lines, "line").select(F.col("path").alias("file_path"), "line_number", F.col("line").alias("line_content"), "match_text")
+    held = files.where(within).select("path", line_array(F.col("content"), strip_cr).alias("lines")).withColumn("found", pattern.matches_of(F.col("lines")))
+    spots = held.select("path", "lines", "found", F.filter(F.transform("found", lambda m, i: F.when(m.isNotNull(), i)), lambda i: i.isNotNull()).alias("at")).where(F.size("at") > 0)
+    framed = F.transform("at", lambda i: F.struct((i + 1).cast("int").alias("line_number"), context_frame(F.col("lines"), i, context).alias("line_content"), F.element_at("found", i + 1).alias("match_text")))
     return spots.select(F.col("path").alias("file_path"), F.inline(framed))
 
 
@@ -50,6 +50,4 @@ def find_in_messages(commits: DataFrame, pattern: Pattern) -> DataFrame:
     from quarry.functions.text import trim_space
 
     lines = commits.select("hash", F.explode(F.split("message", "\n")).alias("line"))
-    return lines.where(pattern.matches(F.col("line"))).select(
-        F.substring("hash", 1, 8).alias("file_path"), F.lit(0).alias("line_number"), trim_space(F.col("line")).alias("line_content"), pattern.match_text(F.col("line")).alias("match_text")
-    )
+    return pattern.matching(lines, "line").select(F.substring("hash", 1, 8).alias("file_path"), F.lit(0).alias("line_number"), trim_space(F.col("line")).alias("line_content"), "match_text")

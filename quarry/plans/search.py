@@ -20,8 +20,8 @@ def search(spark: SparkSession, config: SearchConfig) -> DataFrame:
     if config.remote:
         return codehost.search_remote(spark, config.query, config.paths, config.ignore_case, config.is_regex, config.token)
     pattern = compile_pattern(config.query, config.is_regex, config.ignore_case)
-    found = tree.read_tree(spark, *config.paths, extensions=config.extensions)
-    kept = files.select_files(found, include=config.include, exclude=config.exclude, skip_directories=False)
+    found = tree.read_tree(spark, *config.paths, extensions=config.extensions, include=config.include, exclude=config.exclude)
+    kept = files.select_files(found, skip_directories=False)
     return lines.find_matches(kept, pattern, config.context)
 
 
@@ -47,12 +47,11 @@ def search_history(spark: SparkSession, config: HistoryConfig, strict: bool = Fa
                 part = lines.find_in_messages(chosen, pattern)
             else:
                 if config.changed_in:
-                    named = spark.createDataFrame([(p,) for p in gitlog.range_paths(repo, config.changed_in)], "path string")
+                    named = gitlog.read_range(spark, repo, config.changed_in)
                 else:
                     named = history.changed_files(chosen, changed)
-                present = tree.read_tree(spark, repo, skip=False, ignore_file=False, extensions=config.extensions)
-                kept = history.restrict(present, named)
-                part = lines.find_matches(kept.withColumn("path", F.col("rel_path")), pattern, config.context, strip_cr=True)
+                present = tree.read_named(named, repo, config.extensions)
+                part = lines.find_matches(present.withColumn("path", F.col("rel_path")), pattern, config.context, strip_cr=True)
         out = part if out is None else out.unionByName(part)
     return out
 

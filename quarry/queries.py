@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quarry.functions import paths, similarity, text
 from quarry.functions.patterns import compile_pattern
 from quarry.operators import files, fuzzy, history, lines, symbols
-from quarry.sources import codehost, sinks
+from quarry.schemas import MATCH
+from quarry.sources import codehost, sinks, tree
+from quarry.sources.shared import mounted, new_folder
 from quarry.sources.tables import as_files, chat_files, document_files, line_commit_files, order_commits, page_files, part_files, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,9 +254,84 @@ def version_compare(spark, sf_dir):
     return items.select("l_orderkey", "l_linenumber", text.is_newer(new, old).alias("newer"))
 
 
+@query(sql_regex(DOC_LINES, r"\\\\|License|^Das"))
+def search_regex_alternation_escape(spark, sf_dir):
+    """A bar behind an escaped backslash parts alternatives, so no text begins every match."""
+    return lines.find_matches(document_files(spark, sf_dir), compile_pattern(r"\\\\|License|^Das", True))
+
+
+LONG_LINES = f"(SELECT path, line_number, line FROM {DOC_LINES} UNION ALL SELECT {DOC_PATH} || '.long', 1, replace(text, chr(10), ' ') FROM documents WHERE text <> '')"
+
+
+@query(sql_regex(LONG_LINES, r"(?i)\b(?:the |of |la |Les? ){2,}"))
+def search_regex_repeated_groups(spark, sf_dir):
+    """One pattern with a repeated group over lines and, in another file, all of a document as one long line."""
+    docs = document_files(spark, sf_dir)
+    long = docs.withColumn("path", F.concat("path", F.lit(".long"))).withColumn("content", F.replace("content", F.lit("\n"), F.lit(" ")))
+    return lines.find_matches(docs.unionByName(long), compile_pattern(r"(?i)\b(?:the |of |la |Les? ){2,}", True))
+
+
+#: Patterns that RE2 and Java read differently unless translated.
+DIALECT = {
+    "negated_posix": r"[[:^alpha:]]{6}", "posix_in_class": r"[[:digit:]x-z]{3}", "quoted": r"\Q|\E \w", "hex": r"\x{41}\x6e", "octal": r"\101n", "named": r"(?P<first>[A-Z]\w+) de\b",
+    "one_letter_class": r"\pL{18}", "script": r"\p{Latin}{18}", "negated_class": r"[^\S]é", "no_edge": r"\Bß", "scoped_flag": r"(?i:LICENSE)d", "late_flag": r"ense(?i)D U", "braces": r"x{,3}|d{2,}", "end": r"\.$", "bracket_first": r"[]|]", "vertical_tab": r"\v|\|", "dot_all": r"(?s)L.cense", "lazy": r"L\w+?d",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS pattern, count(*) AS n, min(path) AS first_file, min(regexp_extract(line, '{p}', 0)) AS least_match FROM {DOC_LINES} WHERE regexp_matches(line, '{p}')" for name, p in DIALECT.items()))
+def regex_dialect(spark, sf_dir):
+    """How many lines each pattern matches, the first file and the smallest match."""
+    rows = lines.to_lines(document_files(spark, sf_dir).select("path", "content"))
+    tests = [F.struct(F.lit(name).alias("pattern"), compile_pattern(p, True).matches(F.col("line")).alias("hit"), compile_pattern(p, True).match_text(F.col("line")).alias("match")) for name, p in DIALECT.items()]
+    met = rows.select("path", F.inline(F.array(*tests))).groupBy("pattern").agg(F.count(F.when(F.col("hit"), 1)).alias("n"), F.min(F.when(F.col("hit"), F.col("path"))).alias("first_file"), F.min(F.when(F.col("hit"), F.col("match"))).alias("least_match"))
+    return met
+
+
+@query(f"SELECT path AS file_path, line_number, line AS line_content, 'License' AS match_text FROM {DOC_LINES} WHERE contains(line, 'License') AND NOT ends_with(path, '.de') AND regexp_matches(path, '(^|/)src[0-9]')")
+def tree_search(spark, sf_dir):
+    """Documents written out as a directory tree and searched there: listing, globs, ignore file and reading included."""
+    root = mounted(new_folder(spark, "tree"))
+    tree.write_tree(document_files(spark, sf_dir), root)
+    tree.write_tree(spark.range(1).select(F.lit(".gitignore").alias("path"), F.lit("*.de\n").alias("content")), root)
+    found = tree.read_tree(spark, root, include=("**/src[0-9]*/**",), exclude=("**/.gitignore",))
+    matches = lines.find_matches(files.select_files(found.withColumn("path", F.col("rel_path"))), compile_pattern("License"))
+    return matches.select("file_path", "line_number", "line_content", "match_text")
+
+
+@query(sql_matches(DOC_LINES, "contains(line, 'License')", "'License'"))
+def tree_named_files(spark, sf_dir):
+    """The same tree, of which only files that a table names are opened."""
+    root = mounted(new_folder(spark, "tree"))
+    docs = document_files(spark, sf_dir)
+    tree.write_tree(docs, root)
+    named = docs.where(F.contains("content", F.lit("License"))).select("path")
+    found = tree.read_named(named, root)
+    return lines.find_matches(found.withColumn("path", F.col("rel_path")), compile_pattern("License"))
+
+
+@query(sql_matches(DOC_LINES, "contains(line, 'License')", "'License'"))
+def export_csv_folder(spark, sf_dir):
+    """Matches written as CSV files and read back."""
+    at = new_folder(spark, "csv")
+    sinks.write_folder(lines.find_matches(document_files(spark, sf_dir), compile_pattern("License")), at, "csv")
+    return spark.read.schema(MATCH).option("header", True).option("escape", '"').option("multiLine", True).csv(at)
+
+
+@query(sql_matches(CHAT_LINES, "contains(line, 'the')", "'the'"))
+def export_json_folder(spark, sf_dir):
+    """Matches written as JSON lines and read back."""
+    at = new_folder(spark, "json")
+    sinks.write_folder(lines.find_matches(chat_files(spark, sf_dir), compile_pattern("the")), at)
+    return spark.read.schema(MATCH).json(at).select("file_path", "line_number", "line_content", "match_text")
+
+
 # --- identifiers, similarity, suggestions -----------------------------------------------------------
 
-KEYWORD_LIST = ", ".join(f"'{k}'" for k in fuzzy.KEYWORDS)
+#: Fixed values, written out for SQL.
+KEYWORD_LIST = (
+    "'if', 'else', 'for', 'return', 'func', 'var', 'const', 'type', 'package', 'import', 'nil', 'true', 'false', 'int', 'string', 'bool', "
+    "'float64', 'error', 'interface', 'struct', 'map', 'chan', 'go', 'defer', 'switch', 'case', 'default', 'break', 'continue', 'select', 'range'"
+)
 IDENTIFIERS = f"(SELECT DISTINCT text FROM (SELECT unnest(regexp_extract_all(line, '[a-zA-Z_][a-zA-Z0-9_]*')) AS text FROM {DOC_LINES}) WHERE length(text) > 2 AND lower(text) NOT IN ({KEYWORD_LIST}))"
 
 
@@ -299,6 +376,12 @@ def levenshtein_bytes(spark, sf_dir):
     return met.select("c_custkey", "s_suppkey", similarity.edit_distance(F.col("n"), F.col("m")).alias("lev"))
 
 
+@query("SELECT p_partkey, levenshtein(lower(p_name) || '-é', lower(p_type))::INT AS lev FROM part")
+def levenshtein_bytes_parts(spark, sf_dir):
+    """Every part's name, with a character of two bytes, against its type."""
+    return table(spark, sf_dir, "part").select("p_partkey", similarity.edit_distance(F.concat("p_name", F.lit("-é")), F.col("p_type")).alias("lev"))
+
+
 @query(f"SELECT text, round(jaro, 6) AS jaro FROM (SELECT text, {sql_scores('Lisence')} FROM {IDENTIFIERS})")
 def jaro_scores(spark, sf_dir):
     return document_identifiers(spark, sf_dir).select("text", F.round(similarity.jaro(F.lit("Lisence"), F.col("text")), 6).alias("jaro"))
@@ -379,6 +462,20 @@ def git_changed_search(spark, sf_dir):
     return lines.find_matches(history.restrict(part_files(spark, sf_dir), changed), compile_pattern("green"), strip_cr=True)
 
 
+@query(f"SELECT path AS file_path, 1 AS line_number, p_name AS line_content, 'widget' AS match_text FROM {CHANGED} JOIN part ON path = p_partkey::VARCHAR WHERE contains(p_name, 'widget')")
+def git_changed_search_widgets(spark, sf_dir):
+    """Parts with widgets in their names among those that recent orders touched."""
+    changed = history.changed_files(recent_commits(spark, sf_dir), line_commit_files(spark, sf_dir))
+    return lines.find_matches(history.restrict(part_files(spark, sf_dir), changed), compile_pattern("widget"), strip_cr=True)
+
+
+@query(f"SELECT hash FROM {COMMITS} WHERE author_when >= TIMESTAMP '1997-03-03 12:00:00'")
+def git_since_relative(spark, sf_dir):
+    """Commits since a month before 31 March 1997, noon: February's missing days run over into March."""
+    since = text.time_ago("1 month ago", datetime(1997, 3, 31, 12))
+    return history.filter_commits(order_commits(spark, sf_dir), since).select("hash")
+
+
 @query(f"SELECT substring(hash, 1, 8) AS file_path, 0 AS line_number, trim(message) AS line_content, regexp_extract(message, '[0-9]-[A-Z]+', 0) AS match_text FROM {RECENT} WHERE regexp_matches(message, '[0-9]-[A-Z]+')")
 def git_commit_message(spark, sf_dir):
     return lines.find_in_messages(recent_commits(spark, sf_dir), compile_pattern("[0-9]-[A-Z]+", True))
@@ -397,25 +494,42 @@ def git_range(spark, sf_dir):
 # --- symbols ----------------------------------------------------------------------------------------
 
 
-def sql_symbols(rules, where: str) -> str:
-    """Symbols by a table of rules, as rows; RE2 patterns as they are."""
+#: Fixed values in RE2 syntax, for SQL only: type ('' for group 1), pattern, group of the name, signature, further condition.
+SQL_RULES = {
+    "go": [
+        ("function", r"^func\s+(\w+)\s*(\([^)]*\))?\s*(\([^)]*\))?\s*\{", 1, "trim({2})", ""),
+        ("method", r"^func\s+\([^)]+\)\s+(\w+)\s*(\([^)]*\))?\s*(\([^)]*\))?\s*\{", 1, "trim({2})", ""),
+        ("struct", r"^type\s+(\w+)\s+struct\s*\{", 1, "''", ""),
+        ("interface", r"^type\s+(\w+)\s+interface\s*\{", 1, "''", ""),
+        ("type", r"^type\s+(\w+)\s+\w+", 1, "''", r" AND NOT regexp_matches(line, '^type\s+(\w+)\s+(struct|interface)\s*\{')"),
+        ("", r"^(var|const)\s+(\w+)\s*", 2, "''", ""),
+        ("field", r"^\s+(\w+)\s+\w+", 1, "''", ""),
+    ],
+    "python": [
+        ("function", r"^def\s+(\w+)\s*\(([^)]*)\)", 1, "'(' || {2} || ')'", ""),
+        ("class", r"^class\s+(\w+)\s*\(?\s*\w*\s*\)?", 1, "''", ""),
+        ("variable", r"^(\w+)\s*=\s*", 1, "''", " AND NOT starts_with(line, '_')"),
+    ],
+    "js": [
+        ("function", r"(?:function|const|let|var)\s+(\w+)\s*=?\s*(?:function)?\s*\(([^)]*)\)", 1, "'(' || {2} || ')'", ""),
+        ("function", r"(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*=>", 1, "'(' || {2} || ')'", ""),
+        ("class", r"(?:export\s+)?(?:class|interface)\s+(\w+)", 1, "''", ""),
+        ("type", r"(?:type|interface)\s+(\w+)\s*(?:=|\{)", 1, "''", ""),
+    ],
+    "generic": [("function", r"(?:(?:public|private|protected)\s+)?(?:static\s+)?(?:\w+\s+)+(\w+)\s*\(([^)]*)\)", 1, "'(' || {2} || ')'", "")],
+}
+
+
+def sql_symbols(language: str, where: str) -> str:
     parts = []
-    for rule in rules:
-        p = rule.pattern.replace(symbols.S, r"\s").replace("'", "''")
-        kind = f"'{rule.kind}'" if rule.kind else f"regexp_extract(line, '{p}', 1)"
-        sig = f"regexp_extract(line, '{p}', {rule.signature})" if rule.signature else "''"
-        sig = f"'(' || {sig} || ')'" if rule.wrapped else f"trim({sig})"
-        more = ""
-        if rules is symbols.GO and rule.kind == "type":
-            more = r" AND NOT regexp_matches(line, '^type\s+(\w+)\s+(struct|interface)\s*\{')"
-        if rules is symbols.PYTHON and rule.kind == "variable":
-            more = " AND NOT starts_with(line, '_')"
-        parts.append(f"SELECT regexp_extract(line, '{p}', {rule.name}) AS name, {kind} AS type, path AS file, line_number AS line, 0 AS \"column\", {sig} AS signature FROM {CODE_LINES} WHERE {where} AND regexp_matches(line, '{p}'){more}")
+    for kind, p, name, signature, more in SQL_RULES[language]:
+        group = lambda n, p=p: f"regexp_extract(line, '{p}', {n})"
+        parts.append(f"SELECT {group(name)} AS name, {f"'{kind}'" if kind else group(1)} AS type, path AS file, line_number AS line, 0 AS \"column\", {signature.replace('{2}', group(2))} AS signature FROM {CODE_LINES} WHERE {where} AND regexp_matches(line, '{p}'){more}")
     return " UNION ALL ".join(parts)
 
 
-LANGUAGES = {"go": (symbols.GO, ".go"), "python": (symbols.PYTHON, ".py"), "js": (symbols.JAVASCRIPT, ".ts"), "generic": (symbols.GENERIC, ".java")}
-SYMBOLS = "(" + " UNION ALL ".join(sql_symbols(rules, f"ends_with(path, '{end}')") for rules, end in LANGUAGES.values()) + ")"
+LANGUAGES = {"go": ".go", "python": ".py", "js": ".ts", "generic": ".java"}
+SYMBOLS = "(" + " UNION ALL ".join(sql_symbols(language, f"ends_with(path, '{end}')") for language, end in LANGUAGES.items()) + ")"
 
 
 def code_lines(spark, sf_dir):
@@ -429,15 +543,15 @@ def code_symbols(spark, sf_dir):
 
 def of_language(language: str):
     def run(spark, sf_dir):
-        kept = code_files(spark, sf_dir).where(F.col("path").endswith(LANGUAGES[language][1]))
+        kept = code_files(spark, sf_dir).where(F.col("path").endswith(LANGUAGES[language]))
         return symbols.extract_symbols(lines.to_lines(kept.select("path", "content"), strip_cr=True))
 
     return run
 
 
-for _language, (_rules, _end) in LANGUAGES.items():
+for _language, _end in LANGUAGES.items():
     QUERIES[f"symbols_{_language}"] = of_language(_language)
-    ORACLE[f"symbols_{_language}"] = sql_symbols(_rules, f"ends_with(path, '{_end}')")
+    ORACLE[f"symbols_{_language}"] = sql_symbols(_language, f"ends_with(path, '{_end}')")
 
 
 @query(f"SELECT regexp_extract(line, '\\w\\s+(\\w+)\\s*\\(([^)]*)\\)', 1) AS name, path AS file, line_number AS line FROM {DOC_LINES} WHERE regexp_matches(line, '\\w\\s+(\\w+)\\s*\\(([^)]*)\\)')")
@@ -447,6 +561,16 @@ def symbols_generic_documents(spark, sf_dir):
     return found.select("name", "file", "line")
 
 
+CALLS = sql_lines(f"(SELECT {DOC_PATH} AS path, replace(text, ', ', ' (a, b) ') AS content FROM documents)")
+
+
+@query(f"SELECT regexp_extract(line, '(?:\\w+\\s+)+(\\w+)\\s*\\(([^)]*)\\)', 1) AS name, path AS file, line_number AS line FROM {CALLS} WHERE regexp_matches(line, '(?:\\w+\\s+)+(\\w+)\\s*\\(([^)]*)\\)')")
+def symbols_generic_calls(spark, sf_dir):
+    """The generic rule over prose whose commas are written as parameter lists."""
+    calls = document_files(spark, sf_dir).select("path", F.replace("content", F.lit(", "), F.lit(" (a, b) ")).alias("content"))
+    return symbols.extract_symbols(lines.to_lines(calls), symbols.GENERIC).select("name", "file", "line")
+
+
 @query(f"SELECT * FROM {SYMBOLS} WHERE contains(lower(name), 'brand')")
 def find_symbol(spark, sf_dir):
     return symbols.find_symbol(code_symbols(spark, sf_dir), "BRAND")
@@ -494,13 +618,9 @@ def remote_items_flatten(spark, sf_dir):
 @query(sql_matches(DOC_LINES, "contains(line, 'License')", "'License'"))
 def search_stream(spark, sf_dir):
     """The stream of document files, run to its end into a table of the shared folder."""
-    import tempfile
-    import uuid
-
     from quarry.streaming.files import deliver, stream_matches, stream_table
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{folder}/stream-{uuid.uuid4().hex}"
+    at = new_folder(spark, "stream")
     stored = table(spark, sf_dir, "documents")
     given = stream_table(spark, f"{sf_dir}/documents.parquet*", stored.schema)
     path = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))

@@ -63,10 +63,10 @@ def commit_files_of(repo: str) -> Iterator[tuple]:
             yield repo, h, path
 
 
-def range_paths(repo: str, span: str) -> list[str]:
+def range_paths(repo: str, span: str) -> Iterator[str]:
     """Paths that differ between the two ends of A..B, or between R and HEAD."""
     first, _, last = span.partition("..")
-    return [p for p in git(repo, "-c", "core.quotepath=off", "diff", "--name-only", "--no-renames", first, last or "HEAD") if p]
+    return (p for p in git(repo, "-c", "core.quotepath=off", "diff", "--name-only", "--no-renames", first, last or "HEAD") if p)
 
 
 class Repository(InputPartition):
@@ -76,24 +76,27 @@ class Repository(InputPartition):
 
 class HistoryReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.repos, self.files = options["repos"].split("\n"), options.get("table", "commits") == "files"
+        self.repos, self.table, self.span = options["repos"].split("\n"), options.get("table", "commits"), options.get("span", "")
 
     def partitions(self) -> list[Repository]:
         return [Repository(r) for r in self.repos]
 
     def read(self, partition: Repository) -> Iterator[tuple]:
-        return commit_files_of(partition.repo) if self.files else commits_of(partition.repo)
+        if self.table == "range":
+            return ((partition.repo, None, p) for p in range_paths(partition.repo, self.span))
+        return commit_files_of(partition.repo) if self.table == "files" else commits_of(partition.repo)
 
 
 class HistorySource(DataSource):
-    """spark.read.format("gitlog").option("repos", newline-separated folders).option("table", "commits" or "files")."""
+    """spark.read.format("gitlog").option("repos", newline-separated folders).option("table", "commits", "files" or,
+    with option span, "range"): what differs between two commits, with null hashes."""
 
     @classmethod
     def name(cls) -> str:
         return "gitlog"
 
     def schema(self) -> str:
-        return COMMIT_FILE if self.options.get("table") == "files" else COMMIT
+        return COMMIT if self.options.get("table", "commits") == "commits" else COMMIT_FILE
 
     def reader(self, schema) -> HistoryReader:
         return HistoryReader(self.options)
@@ -104,3 +107,9 @@ def read_history(spark: SparkSession, *repos: str) -> tuple[DataFrame, DataFrame
     spark.dataSource.register(HistorySource)
     reader = spark.read.format("gitlog").option("repos", "\n".join(repos))
     return reader.load(), reader.option("table", "files").load()
+
+
+def read_range(spark: SparkSession, repo: str, span: str) -> DataFrame:
+    """repo, hash (null), path: what differs between two commits."""
+    spark.dataSource.register(HistorySource)
+    return spark.read.format("gitlog").option("repos", repo).option("table", "range").option("span", span).load()

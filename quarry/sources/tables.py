@@ -17,9 +17,10 @@ def as_files(df: DataFrame, path, content) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source/doc_N.lang"""
-    path = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
-    return as_files(table(spark, sf_dir, "documents"), path, F.col("text"))
+    """source/doc_N.lang; what is null in a name is left empty, null texts are empty files."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    path = F.concat(named("source"), F.lit("/doc_"), named("doc_id"), F.lit("."), named("lang"))
+    return as_files(table(spark, sf_dir, "documents"), path, F.coalesce("text", F.lit("")))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,29 +2,44 @@
 
 Spark's own file formats hide such files and empty ones. Here the driver lists the tree top down, so
 that skipped and ignored directories are never entered, and executors read what is left, dealt into
-partitions of about equal bytes. Roots must be on a file system that all executors mount.
+partitions of about equal bytes; files that extensions or globs leave out are never opened. Roots must be on a file system that all executors mount.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarry.functions.paths import ignore_rules, ignored_by, skips_directory
+from quarry.functions.paths import has_extension, ignore_rules, ignored_by, skips_directory, usable_globs
 
 SCHEMA = "root_ord int, path string, rel_path string, content string, is_binary boolean"
 
 
-def list_tree(root: str, skip: bool = True, use_ignore_file: bool = True, extensions: tuple[str, ...] = ()) -> Iterator[tuple[str, str, int]]:
+def path_test(extensions: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Callable[[str], bool]:
+    """Whether a path has one of the extensions and passes the globs, as for tables of files."""
+    ends = tuple(e.lower() for e in extensions)
+    wanted, unwanted = ([re.compile(g.replace(r"\z", r"\Z")) for g in usable_globs(globs)] for globs in (include, exclude))
+
+    def fits(path: str) -> bool:
+        if (ends and not path.lower().endswith(ends)) or any(g.search(path) for g in unwanted):
+            return False
+        return not include or any(g.search(path) for g in wanted)
+
+    return fits
+
+
+def list_tree(root: str, skip: bool = True, use_ignore_file: bool = True, extensions: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Iterator[tuple[str, str, int]]:
     """(path, path below the root, size) of the regular files under a root, or of the root if it is a file."""
     if not os.path.exists(root):
         raise FileNotFoundError(f"no such path: {root}")
-    wanted = tuple(e.lower() for e in extensions)
-    fits = lambda p: not wanted or p.lower().endswith(wanted)
+    fits = path_test(extensions, include, exclude)
     if os.path.isfile(root):
         if fits(root):
             yield root, os.path.basename(root), os.path.getsize(root)
@@ -42,7 +57,7 @@ def list_tree(root: str, skip: bool = True, use_ignore_file: bool = True, extens
                 if entry.is_dir(follow_symlinks=False):
                     if not (skip and skips_directory(entry.name)) and not ignored_by(rules, rel, True):
                         todo.append((rel + "/", entry.path))
-                elif entry.is_file(follow_symlinks=False) and fits(rel) and not ignored_by(rules, rel, False):
+                elif entry.is_file(follow_symlinks=False) and fits(entry.path) and not ignored_by(rules, rel, False):
                     yield entry.path, rel, entry.stat(follow_symlinks=False).st_size
 
 
@@ -51,6 +66,16 @@ class Share(InputPartition):
     files: list[tuple[int, str, str]]
 
 
+def read_file(path: str) -> tuple[str, bool] | None:
+    """Content and whether it is binary; None for what can't be read."""
+    try:
+        with open(path, "rb") as f:
+            data = f.read()
+    except OSError:
+        return None
+    return data.decode("utf-8", "replace"), b"\0" in data[:512]
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -59,9 +84,10 @@ class TreeReader(DataSourceReader):
         o = self.options
         on = lambda key: str(o.get(key, "true")).lower() == "true"
         extensions = tuple(e for e in o.get("extensions", "").split(",") if e)
+        include, exclude = (tuple(g for g in o.get(key, "").split("\n") if g) for key in ("include", "exclude"))
         limit, shares, size = int(o.get("partition_bytes", 64 << 20)), [Share([])], 0
         for k, root in enumerate(o["paths"].split("\n")):
-            for path, rel, n in list_tree(root, on("skip"), on("ignore_file"), extensions):
+            for path, rel, n in list_tree(root, on("skip"), on("ignore_file"), extensions, include, exclude):
                 if shares[-1].files and size + n > limit:
                     shares.append(Share([]))
                     size = 0
@@ -71,16 +97,12 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition: Share) -> Iterator[tuple]:
         for k, path, rel in partition.files:
-            try:
-                with open(path, "rb") as f:
-                    data = f.read()
-            except OSError:
-                continue
-            yield k, path, rel, data.decode("utf-8", "replace"), b"\0" in data[:512]
+            if found := read_file(path):
+                yield k, path, rel, *found
 
 
 class TreeSource(DataSource):
-    """spark.read.format("tree").option("paths", newline-separated roots); options skip, ignore_file, extensions, partition_bytes."""
+    """spark.read.format("tree").option("paths", newline-separated roots); options skip, ignore_file, extensions, include and exclude (newline-separated globs of paths), partition_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -93,11 +115,47 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, *roots: str, skip: bool = True, ignore_file: bool = True, extensions: tuple[str, ...] = ()) -> DataFrame:
+def read_tree(spark: SparkSession, *roots: str, skip: bool = True, ignore_file: bool = True, extensions: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """Files of all roots, in argument order; what lies under two roots comes twice."""
     for root in roots:
         if not os.path.exists(root):
             raise FileNotFoundError(f"no such path: {root}")
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("tree").option("paths", "\n".join(roots)).option("extensions", ",".join(extensions))
+    reader = reader.option("include", "\n".join(include)).option("exclude", "\n".join(exclude))
     return reader.option("skip", str(skip).lower()).option("ignore_file", str(ignore_file).lower()).load()
+
+
+def read_named(named: DataFrame, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """The regular files below root that the paths (relative to it) name, each once; paths without one drop out.
+    Nothing else is listed or opened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = os.path.realpath(root)
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                path = os.path.join(root, rel)
+                plain = os.path.isfile(path) and os.path.realpath(path) == os.path.join(top, rel)
+                if plain and (found := read_file(path)):
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([path]), pa.array([rel]), pa.array([found[0]]), pa.array([found[1]])], names=["root_ord", "path", "rel_path", "content", "is_binary"])
+
+    return named.select("path").where(F.col("path").isNotNull() & has_extension(F.col("path"), extensions)).distinct().mapInArrow(run, SCHEMA)
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write rows (path, content) as files below root, a mounted folder, where the rows are; returns their number.
+    A path that comes twice is written twice, and the last writer wins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = os.path.join(root, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                draft = f"{at}.{os.getpid()}~"
+                with open(draft, "w", encoding="utf-8", newline="") as out:
+                    out.write(content)
+                os.replace(draft, at)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    rows = files.select("path", "content").where(F.col("path").isNotNull() & F.col("content").isNotNull())
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

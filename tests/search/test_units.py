@@ -73,6 +73,83 @@ def test_keywords_are_plain_text(spark, query, line):
     assert value(spark, compile_pattern(query, ignore_case=True).matches(F.lit(line))) == (query.lower() in line.lower())
 
 
+def test_prefixes_stop_at_alternatives(spark):
+    cases = [(r"a\\|b", ""), (r"a\|b", "a|b"), (r"f(a|b)", "f"), (r"x[|]y|z", ""), (r"\Qa|b\E", ""), (r"x\Qa|b\E", "x"), (r"a[]|]b", "a"), (r"q[[:alpha:]|]", "q"), ("ab|", ""), (r"a\\\|b", "a\\|b")]
+    for pattern, want in cases:
+        assert literal_prefix(pattern) == want, pattern
+    rows = spark.createDataFrame([("p", "only b here\na\\ there")], "path string, content string")
+    assert lines.find_matches(rows, compile_pattern(r"a\\|b", True)).count() == 2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", r"\\", r"\|", "|", "[a|b]", "[|]", "(a|b)", r"\Q|\E", "a+", "b*", ".", r"\."]), max_size=6), st.text("ab|\\.", max_size=8))
+def test_prefixes_begin_every_match(parts, line):
+    pattern = "".join(parts)
+    hit, found = duckdb.execute("SELECT regexp_matches(?, ?), regexp_extract(?, ?, 0)", [line, pattern, line, pattern]).fetchone()
+    assert not hit or found.startswith(literal_prefix(pattern))
+
+
+LONG = [(r"(?i)(?:x\w)+", "xé", "zz"), (r"(?:é\s)+b", "é b", "é\x0bb"), (r"(?i)(?:k\b.)*K", "K", "j"), (r"(?:[[:^alpha:]]\d)+", "a 1", "ab"), (r"([^\W]x)+$", "ax", "éx"), (r"(?:a\pL){2,}", "aéaz", "a1a2")]
+
+
+def test_one_answer_for_short_and_long_lines(spark):
+    """Patterns that repeat groups give RE2's answer, whatever the length of the line."""
+    for pattern, *hits in LONG:
+        p = compile_pattern(pattern, True)
+        assert p.python is not None
+        for line in hits:
+            want = duckdb.execute("SELECT regexp_matches(?, ?)", [line, pattern]).fetchone()[0]
+            rows = spark.createDataFrame([(0, line), (1, ", " * 5_000 + line)], "n int, line string")
+            assert sorted(r["n"] for r in p.matching(rows, "line").collect()) == ([0, 1] if want else []), (pattern, line)
+    rows = spark.createDataFrame([("p", "no\nabab\nend")], "path string, content string")
+    found = lines.find_matches(rows, compile_pattern("(?:ab)+", True), 1).collect()
+    assert [(r["line_number"], r["line_content"], r["match_text"]) for r in found] == [(2, "  no\n> abab\n  end", "abab")]
+
+
+def jaro_by_hand(a, b):
+    if not a or not b:
+        return 0.0
+    reach, free, first, second = max(0, max(len(a), len(b)) // 2 - 1), [True] * len(b), [], []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
+        if j is not None:
+            free[j] = False
+            first.append(c)
+            second.append(j)
+    m = len(first)
+    t = sum(c != b[j] for c, j in zip(first, sorted(second))) // 2
+    return (m / len(a) + m / len(b) + (m - t) / m) / 3 if m else 0.0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abcd", max_size=20), st.text("abcd", max_size=20)), min_size=1, max_size=8))
+def test_jaro_of_a_batch(pairs):
+    found = similarity.jaro_of([a.encode() for a, _ in pairs], [b.encode() for _, b in pairs], 32)
+    assert found.tolist() == pytest.approx([jaro_by_hand(a, b) for a, b in pairs], abs=1e-12)
+
+
+def test_scores_run_once(spark):
+    plan = fuzzy.fuzzy_find_all("func", spark.createDataFrame([("function",)], "text string"), 0.4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_tree_opens_only_what_is_searched(spark, folder, monkeypatch, tmp_path):
+    reader = tree.TreeReader({"paths": str(folder), "include": "*.go\n*.md", "exclude": "*tools*"})
+    assert sorted(rel for share in reader.partitions() for _, _, rel in share.files) == ["_d/x.go", "app.go", "empty.go", "notes.md"]
+    named = spark.createDataFrame([("app.go",), ("app.go",), ("gone.go",), ("link.go",), ("pkg",), ("notes.md",), (None,), ("../x",)], "path string")
+    assert sorted(r["rel_path"] for r in tree.read_named(named, str(folder), (".go",)).collect()) == ["app.go"]
+    rows = spark.createDataFrame([("a/b.txt", "x\r\n"), ("c", ""), (None, "x"), ("d", None)], "path string, content string")
+    assert tree.write_tree(rows, str(tmp_path)) == 2 and (tmp_path / "a/b.txt").read_bytes() == b"x\r\n"
+
+
+def test_shared_folder_must_be_shared(spark, monkeypatch):
+    from quarry.sources import shared
+
+    assert shared.mounted("file:///a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        shared.mounted("hdfs://x/y")
+
+
 def test_repeated_groups_on_long_lines(spark):
     line = "word " * 12_000
     rows = spark.createDataFrame([("p", line + "end(x)"), ("q", "a b end(y)"), ("r", line)], "path string, content string")
@@ -84,10 +161,10 @@ def test_repeated_groups_on_long_lines(spark):
 
 
 def test_extensions_globs_and_folders(spark):
-    ext = [("file.GO", (".go",), True), ("file.goo", (".go",), False), ("a.py", (), True), ("cargo", ("go",), True)]
+    ext = [("clip.MP3", (".mp3",), True), ("clip.mp33", (".mp3",), False), ("x.rs", (), True), ("cargo", ("go",), True)]
     for path, extensions, kept in ext:
         assert value(spark, paths.has_extension(F.lit(path), extensions)) is kept
-    globs = [("lib/main.go", ["src/*"], [], False), ("src/test_main.go", ["src/**"], ["**/test_*"], False), ("src/a/b.go", ["src/*.go"], [], True), ("a.txt", [], ["?.txt"], False), ("b.c", ["[!a].c"], [], True), ("x.md", ["*.{md,txt}"], [], True), ("x", ["[bad"], [], False), ("x", [], ["[bad"], True)]
+    globs = [("docs/plan.md", ["api/*"], [], False), ("api/old_plan.md", ["api/**"], ["**/old_*"], False), ("api/v2/b.md", ["api/*.md"], [], True), ("q.csv", [], ["?.csv"], False), ("b.h", ["[!a].h"], [], True), ("x.rst", ["*.{rst,adoc}"], [], True), ("x", ["[bad"], [], False), ("x", [], ["[bad"], True)]
     for path, include, exclude, kept in globs:
         assert value(spark, paths.passes_globs(F.lit(path), include, exclude)) is kept, path
     for path, skipped in (("a/.git/x", True), ("node_modules/x", True), (".env", False), ("a/vendor/b/c", True), ("vendored/x", False)):
@@ -95,11 +172,11 @@ def test_extensions_globs_and_folders(spark):
 
 
 def test_ignore_rules(spark):
-    rules = paths.ignore_rules("*.exe\nbuild/\n# comment\n!important.exe\n/top\nx/y\n[bad\n")
-    cases = [("foo.exe", False, True), ("important.exe", False, False), ("build", True, True), ("build", False, False), ("main.go", False, False), ("a/top", False, True), ("x/y", False, True), ("z/x/y", False, False)]
+    rules = paths.ignore_rules("*.tmp\ncache/\n# notes\n!keep.tmp\n/top\nx/y\n[bad\n")
+    cases = [("z.tmp", False, True), ("keep.tmp", False, False), ("cache", True, True), ("cache", False, False), ("lib.rs", False, False), ("a/top", False, True), ("x/y", False, True), ("z/x/y", False, False)]
     for path, folder, want in cases:
         assert value(spark, paths.is_ignored(F.lit(path), rules, folder)) is want and paths.ignored_by(rules, path, folder) is want
-    assert value(spark, paths.below_ignored(F.lit("a/build/important.exe"), rules)) is True
+    assert value(spark, paths.below_ignored(F.lit("a/cache/keep.tmp"), rules)) is True
     assert value(spark, paths.below_ignored(F.lit("a"), [])) is False
 
 
@@ -188,32 +265,32 @@ def test_symbols(spark):
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
-    put(root, **{"main.go": 'package main\n\nfunc main() {\n\tfmt.Println("hello")\n}\n', "utils.go": "package main\n\nfunc helper() error {\n\treturn nil\n}\n", "readme.md": "# Hello World\nThis is a test.\n"})
+    put(root, **{"app.go": 'package app\n\n// serve starts it\nfunc serve() {\n\tlog.Print("up")\n}\n', "tools.go": "package app\n\nfunc pick(n int) error {\n\treturn nil\n}\n", "notes.md": "# Notes for readers\nNothing here yet.\n"})
     put(root, **{"pkg/__init__.py": "def func():\n", ".env": "func=1", "_d/x.go": "func x() {\r\n", "empty.go": b"", ".hidden/y.go": "func y() {", "node_modules/z.js": "func", "b.bin": b"\0func", "bad.txt": b"f\xfffunc", "skip.log": "func", "out/a.go": "func"})
     put(root, **{".gitignore": "*.log\nout/\n"})
-    os.symlink(root / "main.go", root / "link.go")
+    os.symlink(root / "app.go", root / "link.go")
     return root
 
 
 def test_tree(spark, folder):
     found = {r["rel_path"]: r for r in tree.read_tree(spark, str(folder)).collect()}
-    assert set(found) == {"main.go", "utils.go", "readme.md", "pkg/__init__.py", ".env", "_d/x.go", "empty.go", "b.bin", "bad.txt", ".gitignore"}
-    assert found["b.bin"]["is_binary"] and not found["main.go"]["is_binary"]
-    twice = tree.read_tree(spark, str(folder), str(folder / "main.go"), extensions=(".GO",)).collect()
-    assert sorted((r["root_ord"], r["rel_path"]) for r in twice) == [(0, "_d/x.go"), (0, "empty.go"), (0, "main.go"), (0, "utils.go"), (1, "main.go")]
+    assert set(found) == {"app.go", "tools.go", "notes.md", "pkg/__init__.py", ".env", "_d/x.go", "empty.go", "b.bin", "bad.txt", ".gitignore"}
+    assert found["b.bin"]["is_binary"] and not found["app.go"]["is_binary"]
+    twice = tree.read_tree(spark, str(folder), str(folder / "app.go"), extensions=(".GO",)).collect()
+    assert sorted((r["root_ord"], r["rel_path"]) for r in twice) == [(0, "_d/x.go"), (0, "app.go"), (0, "empty.go"), (0, "tools.go"), (1, "app.go")]
     with pytest.raises(FileNotFoundError):
         tree.read_tree(spark, str(folder / "none"))
 
 
 def test_search_of_a_tree(spark, folder):
     rows = plans.search(spark, SearchConfig("func", (str(folder),), extensions=(".go", ".md", ".py"))).collect()
-    assert sorted((os.path.relpath(r["file_path"], folder), r["line_number"]) for r in rows) == [("_d/x.go", 1), ("main.go", 3), ("pkg/__init__.py", 1), ("utils.go", 3)]
+    assert sorted((os.path.relpath(r["file_path"], folder), r["line_number"]) for r in rows) == [("_d/x.go", 1), ("app.go", 4), ("pkg/__init__.py", 1), ("tools.go", 3)]
     assert any(r["line_content"].endswith("\r") for r in rows)
-    both = plans.fuzzy_search(spark, SearchConfig("helpr", (str(folder),), extensions=(".go",))).collect()
-    assert ("", 0, "helper") in {(r["file_path"], r["line_number"], r["match_text"]) for r in both}
-    found = symbols.find_symbol(plans.tree_symbols(spark, (str(folder),)), "MAIN").collect()
-    assert [(r["name"], r["type"]) for r in found] == [("main", "function")]
-    assert plans.tree_references(spark, "main", (str(folder),)).count() == 3
+    both = plans.fuzzy_search(spark, SearchConfig("pikc", (str(folder),), extensions=(".go",))).collect()
+    assert ("", 0, "pick") in {(r["file_path"], r["line_number"], r["match_text"]) for r in both}
+    found = symbols.find_symbol(plans.tree_symbols(spark, (str(folder),)), "SERVE").collect()
+    assert [(r["name"], r["type"]) for r in found] == [("serve", "function")]
+    assert plans.tree_references(spark, "serve", (str(folder),)).count() == 2
 
 
 @pytest.fixture(scope="module")
@@ -245,7 +322,7 @@ def test_history(spark, repository):
     for r in commits.join(changed, ["repo", "hash"]).collect():
         by_message.setdefault(r["message"].split("\n")[0], set()).add(r["path"])
     assert by_message == {"first": {"a.go", "sub/b.go"}, "side work": {"side.go"}, "second": {"sub/b.go", "é.go"}, "join": {"side.go"}, "move": {"a.go", "moved.go"}}
-    assert sorted(gitlog.range_paths(str(repository), "HEAD~1")) == ["a.go", "moved.go"]
+    assert sorted(r["path"] for r in gitlog.read_range(spark, str(repository), "HEAD~1").collect()) == ["a.go", "moved.go"]
     run = lambda **k: sorted((r["file_path"], r["line_number"]) for r in plans.search(spark, HistoryConfig("func", (str(repository / "sub"),), **k)).collect())
     assert run(author="BOB") == [("moved.go", 1), ("side.go", 1)]
     assert run(since=datetime(2024, 3, 1)) == [("moved.go", 1), ("side.go", 1), ("sub/b.go", 1), ("sub/b.go", 2), ("é.go", 1)]
@@ -300,12 +377,12 @@ def test_remote_search(spark):
 
 
 def test_exports(spark, tmp_path):
-    rows = spark.createDataFrame([("main.go", 10, 'func "main", x', "func"), ("utils.go", 5, " func <a> ", "func")], MATCH)
+    rows = spark.createDataFrame([("x/one.go", 12, 'func "main", x', "func"), ("two.go", 7, " func <a> ", "func")], MATCH)
     assert sinks.write_json(rows, str(tmp_path / "a.json"), "func") == 2
     read = json.loads((tmp_path / "a.json").read_text())
     assert read["total_count"] == 2 and read["query"] == "func" and read["matches"][0]["line_content"] == 'func "main", x'
     assert sinks.write_csv(rows, str(tmp_path / "a.csv")) == 2
-    assert (tmp_path / "a.csv").read_text() == 'file_path,line_number,line_content,match_text\nmain.go,10,"func ""main"", x",func\nutils.go,5, func <a> ,func\n'
+    assert (tmp_path / "a.csv").read_text() == 'file_path,line_number,line_content,match_text\nx/one.go,12,"func ""main"", x",func\ntwo.go,7, func <a> ,func\n'
     none = rows.where("false")
     assert sinks.write_json(none, str(tmp_path / "b.json")) == 0 and json.loads((tmp_path / "b.json").read_text())["matches"] == []
     assert sinks.write_csv(none, str(tmp_path / "b.csv")) == 0 and (tmp_path / "b.csv").read_text().count("\n") == 1
@@ -315,14 +392,14 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "many")).count() == 2
     assert list(sinks.printed(none, "q")) == ["No matches found."]
     shown = list(sinks.printed(rows.coalesce(1), "func", colour=False))
-    assert shown[:2] == ["main.go", '  10 │ func "main", x'] and shown[-2] == 'Found 2 matches for "func"'
+    assert shown[:2] == ["x/one.go", '  12 │ func "main", x'] and shown[-2] == 'Found 2 matches for "func"'
     assert sinks.envelope(none).first()["total_count"] == 0
 
 
 def test_command_line(spark, folder, capsys, tmp_path):
     assert cli.main(["search", "func", str(folder), "--extensions", ".go", "--json", str(tmp_path / "o.json")]) == 0
     assert json.loads((tmp_path / "o.json").read_text())["total_count"] == 3
-    for args, said in ((["search", "Hello", str(folder)], "Found 1 matches"), (["search", "(", str(folder), "--regex"], "error"), (["find-symbol", "nothing", str(folder)], "No symbols found"), (["find-definition", "main", str(folder)], "[function] main"), (["find-references", "helper", str(folder)], "[def]"), (["search", "helpr", str(folder), "--suggest"], "1. helper")):
+    for args, said in ((["search", "readers", str(folder)], "Found 1 matches"), (["search", "(", str(folder), "--regex"], "error"), (["find-symbol", "nothing", str(folder)], "No symbols found"), (["find-definition", "serve", str(folder)], "[function] serve"), (["find-references", "pick", str(folder)], "[def]"), (["search", "pikc", str(folder), "--suggest"], "1. pick")):
         cli.main(args)
         out = capsys.readouterr()
         assert said in out.out + out.err
