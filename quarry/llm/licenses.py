@@ -1,10 +1,11 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then directory inheritance.
 
 DataFrame operations only. Every line of a file is a possible header; a licence file is also compared
-as a whole, with the same sentences and with full licence texts. Terms are present or not; a term's
-weight falls with the number of templates that have it, and terms of no template weigh most. A line can only reach the threshold if the terms it shares with
-the templates outweigh its others enough; that exact bound leaves few lines to be exploded and joined
-with the sparse template vectors, a table of fixed size.
+as a whole, with the same sentences and with full licence texts. A term that stands n times counts
+1 + ln n, times a weight that falls with the number of templates that have it; terms of no template weigh
+most. A line can only reach the threshold if the terms it shares with the templates outweigh its others
+enough; that exact bound leaves few lines to be exploded and joined with the sparse template vectors, a
+table of fixed size.
 
 A file without a licence of its own gets that of the nearest ancestor directory whose licence file has
 one: distinct directories are joined with the licensed ones on each of their ancestor paths, so a
@@ -50,24 +51,23 @@ def full_texts() -> dict[str, list[str]]:
 
 
 def template_terms(templates: dict[str, list[str]]) -> tuple[list[tuple[str, int, str, float, float]], float]:
-    """(licence, template, term, unit weight, weight) and the weight of a term in no template."""
+    """(licence, template, term, share of the unit vector, weight) and the weight of a term in no template."""
     import re
+    from collections import Counter
 
-    bags = [(name, k, sorted({t.strip(".") for t in re.split(SPLIT, text.lower())} - {""})) for name, texts in templates.items() for k, text in enumerate(texts)]
-    held: dict[str, int] = {}
-    for _, _, bag in bags:
-        for term in bag:
-            held[term] = held.get(term, 0) + 1
+    bags = [(name, k, Counter(t for t in (t.strip(".") for t in re.split(SPLIT, text.lower())) if t)) for name, texts in templates.items() for k, text in enumerate(texts)]
+    held = Counter(term for _, _, bag in bags for term in bag)
     weight = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in held.items()}
     rows = []
     for name, k, bag in bags:
-        norm = math.sqrt(sum(weight[t] ** 2 for t in bag))
-        rows += [(name, k, t, weight[t] / norm, weight[t]) for t in bag]
+        parts = {t: weight[t] * (1 + math.log(n)) for t, n in sorted(bag.items())}
+        norm = math.sqrt(sum(x * x for x in parts.values()))
+        rows += [(name, k, t, x / norm, weight[t]) for t, x in parts.items()]
     return rows, math.log(1 + len(bags)) + 1
 
 
-def terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(text), SPLIT), lambda t: F.regexp_replace(t, r"^\.+|\.+$", "")), lambda t: t != ""))
+def tokens(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.lower(text), SPLIT), lambda t: F.regexp_replace(t, r"^\.+|\.+$", "")), lambda t: t != "")
 
 
 def own_licences(files: DataFrame, path: str, text: str, templates: dict[str, list[str]], threshold: float) -> DataFrame:
@@ -91,17 +91,20 @@ def stated(lines: DataFrame, templates: dict[str, list[str]], threshold: float)
     values = ", ".join(f"('{name}', {k}, '{term}', {share!r}D, {weight!r}D)" for name, k, term, share, weight in rows)
     vectors = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, template, term, share, weight)")
     vocabulary = F.array(*[F.lit(t) for t in sorted({r[2] for r in rows})])
-    found = lines.where(F.regexp_like("line", F.lit("(?i)[a-z0-9]"))).select("path", terms(F.col("line")).alias("terms"))
+    found = lines.where(F.regexp_like("line", F.lit("(?i)[a-z0-9]"))).select("path", tokens(F.col("line")).alias("tokens")).withColumn("terms", F.array_distinct("tokens"))
     found = found.withColumn("shared", F.size(F.array_intersect("terms", vocabulary)))
-    # Other terms weigh most, shared ones less: with more others than this, the cosine stays below the threshold.
-    found = found.where((F.col("shared") > 0) & (F.size("terms") - F.col("shared") <= F.col("shared") * (1 / threshold**2 - 1)))
-    found = found.select("path", "terms").distinct().withColumn("others", F.size(F.array_except("terms", vocabulary)))
-    weights = vectors.select("term", "weight").distinct()
-    listed = found.select("path", "terms", "others", F.explode("terms").alias("term"))
-    norms = listed.join(F.broadcast(weights), "term").groupBy("path", "terms", "others").agg(F.sum(F.col("weight") * F.col("weight")).alias("known"))
-    norms = norms.select("path", "terms", F.sqrt(F.col("known") + F.col("others") * F.lit(unknown * unknown)).alias("norm"), F.explode("terms").alias("term"))
-    dots = norms.join(F.broadcast(vectors), "term").groupBy("path", "terms", "license", "template").agg(F.round(F.sum(F.col("share") * F.col("weight")) / F.first("norm"), 6).alias("score"))
-    return dots.where(F.col("score") >= threshold).select("path", "license", "score")
+    # A term's part of the squared length is at most 2 n - 1 times its squared weight, and other terms weigh most:
+    # with more others than this, the cosine stays below the threshold.
+    most = (F.col("shared") + 2 * (F.size("tokens") - F.size("terms"))) * (1 / threshold**2 - 1)
+    found = found.where((F.col("shared") > 0) & (F.size("terms") - F.col("shared") <= most))
+    found = found.select("path", F.md5(F.array_join("tokens", " ").cast("binary")).alias("passage"), "tokens").dropDuplicates(["path", "passage"])
+    by = ["path", "passage"]
+    counted = found.select(*by, F.explode("tokens").alias("term")).groupBy(*by, "term").agg((1 + F.log(F.count(F.lit(1)))).alias("often"))
+    weighed = counted.join(F.broadcast(vectors.select("term", "weight").distinct()), "term", "left").withColumn("part", F.col("often") * F.coalesce("weight", F.lit(unknown)))
+    norms = weighed.groupBy(*by).agg(F.sqrt(F.sum(F.col("part") * F.col("part"))).alias("norm"))
+    dots = weighed.join(F.broadcast(vectors.select("license", "template", "term", "share")), "term").groupBy(*by, "license", "template").agg(F.sum(F.col("share") * F.col("part")).alias("dot"))
+    scores = dots.join(norms, by).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return scores.where(F.col("score") >= threshold)
 
 
 def rank_down(templates: dict[str, list[str]]) -> Column:
