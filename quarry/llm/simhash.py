@@ -83,7 +83,7 @@ def one_bit_at(diff: Column, bit: Column) -> Column:
 def similar_pairs(fps: DataFrame) -> DataFrame:
     """fps: distinct fp -> pairs (a, b), a < b, that differ in one to three bits; each pair once."""
     variants = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    dealt = fps.repartition(partitions(fps.sparkSession), "fp")  # each row becomes 64: small partitions won't do
+    dealt = fps.repartition(partitions(fps.sparkSession), F.xxhash64("fp"))  # each row becomes 64; by a key of its own, or the planner drops the step
     index = dealt.select("fp", variants.alias("v")).withColumn("bit", F.col("v") % 32).withColumn("upper", F.col("v") >= 32)
     index = index.select("fp", "v", without_bit(half(F.col("fp"), F.col("upper")), F.col("bit")).alias("key"))
     crowd = index.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
