@@ -386,6 +386,46 @@ def test_licences(spark):
     }
 
 
+def cosines_by_hand(passage, templates):
+    """Cosine of a passage to each template, from counts."""
+    import math
+    from collections import Counter
+
+    bag_of = lambda text: Counter(t.strip(".") for t in re.split("[^a-z0-9.]+", text.lower()) if t.strip("."))
+    bags = {(name, k): bag_of(text) for name, texts in templates.items() for k, text in enumerate(texts)}
+    weight = lambda t: math.log((1 + len(bags)) / (1 + sum(t in b for b in bags.values()))) + 1
+    vector = lambda bag: {t: weight(t) * (1 + math.log(n)) for t, n in bag.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    own = vector(bag_of(passage))
+    return {name: sum(own.get(t, 0) * x for t, x in v.items()) / (norm(own) * norm(v)) for name, v in ((n, vector(b)) for n, b in bags.items())} if own else {}
+
+
+def test_licence_scores_equal_cosines(spark):
+    """Scores of whole files against cosines from counts, near the threshold, with repeated terms and without."""
+    rnd = random.Random(9)
+    passages = []
+    for text in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        for _ in range(4):
+            words = [w for w in text.split() if rnd.random() < 0.8]
+            passages.append(" ".join(words + rnd.choices(["the", "of", "whatever", "code", "licensed"], k=rnd.randrange(5)) + rnd.choices(words or ["x"], k=rnd.randrange(4))))
+    rows = [(f"d{k}/x.py", p) for k, p in enumerate(passages)]
+    found = {r["path"]: (r["license"], r["score"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    near = 0
+    for k, p in enumerate(passages):
+        best = max(((round(c, 6), name) for (name, _), c in cosines_by_hand(p, licenses.TEMPLATES).items()), default=(0, None))
+        near += 0.6 < best[0] < 0.8
+        assert found[f"d{k}/x.py"][1] == (pytest.approx(best[0], abs=2e-6) if best[0] >= licenses.THRESHOLD else None), p
+    assert near > 5
+
+
+def test_op2_over_a_table(spark):
+    tokens = [base64.b64decode(line.split()[0]) for line in open(PATH, "rb")]
+    initial, inner = {t[1:] for t in tokens if t[:1] == b" " and len(t) > 1 and b" " not in t[1:]}, {t for t in tokens if t == t.strip()}
+    found = {r["doc_id"]: r["n_tokens"] for r in queries.op2_token_counts(spark, SMALL).collect()}
+    for row in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        assert found[row["doc_id"]] == sum(greedy(w, initial if any(w[:n] in initial for n in range(1, len(w) + 1)) else inner, inner) for w in (row["text"] or "").encode().split())
+
+
 def test_planted_licence_lines(spark):
     rows = queries.virtual_files(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     found = {r["path"]: r for r in queries.op4_license_scans(spark, "/root/testdata/sf0.01").collect()}
