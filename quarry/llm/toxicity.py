@@ -134,7 +134,7 @@ def chosen_clear(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior
     if min(len(positive), len(unlabelled)) < 8:
         return CLEAR[len(CLEAR) // 2]
     learned, kept = ([[r for k, r in enumerate(rows) if (k % 4 == 0) == want] for rows in (positive, unlabelled)] for want in (False, True))
-    return min(CLEAR, key=lambda clear: risk(fit_nnpu(*learned, prior, clear), *kept, prior))
+    return min(CLEAR, key=lambda clear: risk(fit_nnpu(*learned, prior, clear, steps=150), *kept, prior))
 
 
 class Toxicity:
