@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quarry.functions import paths, similarity, text
 from quarry.functions.patterns import compile_pattern
 from quarry.operators import files, fuzzy, history, lines, symbols
-from quarry.schemas import MATCH
-from quarry.sources import codehost, sinks, tree
+from quarry.plans import search as plans
+from quarry.schemas import MATCH, HistoryConfig
+from quarry.sources import codehost, gitlog, sinks, tree
 from quarry.sources.shared import mounted, new_folder
 from quarry.sources.tables import as_files, chat_files, document_files, line_commit_files, order_commits, page_files, part_files, table
 
@@ -489,6 +490,42 @@ def git_range(spark, sf_dir):
     return history.snapshot_changes(state(datetime(1995, 1, 1)), state(datetime(1995, 3, 1)))
 
 
+SALES = "(SELECT (c_custkey // 500)::VARCHAR AS repo, c_custkey, c_name, lower(c_mktsegment) AS segment, lower(c_mktsegment) || '/' || c_custkey || '.txt' AS path FROM customer)"
+
+
+def customer_repositories(spark, sf_dir) -> list[str]:
+    """Git repositories of 500 customers each, one commit and one file for each customer."""
+    c = table(spark, sf_dir, "customer").withColumn("segment", F.lower("c_mktsegment"))
+    key = F.col("c_custkey").cast("string")
+    made = c.select(
+        F.floor(F.col("c_custkey") / 500).cast("string").alias("repo"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("author_name"), F.concat("segment", F.lit("@example.com")).alias("author_email"),
+        F.timestamp_seconds(F.col("c_custkey") * 3600 + 800_000_000).alias("author_when"), F.concat(F.lit("add "), "segment", F.lit("\n\nfor "), "c_name").alias("message"),
+        F.concat("segment", F.lit("/"), key, F.lit(".txt")).alias("path"), F.concat(F.lit("name\n"), "c_name", F.lit("\r\n")).alias("content"),
+    )
+    return gitlog.write_repositories(made, mounted(new_folder(spark, "git")))
+
+
+@query(f"SELECT repo, c_name AS author_name, segment || '@example.com' AS author_email, c_custkey * 3600 + 800000000 AS seconds, 'add ' || segment AS subject, path FROM {SALES}")
+def git_source_log(spark, sf_dir):
+    """Commits and the files they changed, read from git repositories made of the customers."""
+    commits, changed = gitlog.read_history(spark, *customer_repositories(spark, sf_dir))
+    both = commits.join(changed, ["repo", "hash"])
+    return both.select(F.element_at(F.split("repo", "/"), -1).alias("repo"), "author_name", "author_email", F.unix_timestamp("author_when").alias("seconds"), F.element_at(F.split("message", "\n"), 1).alias("subject"), "path")
+
+
+@query(f"SELECT path AS file_path, 2 AS line_number, c_name AS line_content, 'Customer#0' AS match_text FROM {SALES} WHERE segment = 'building'")
+def git_source_search(spark, sf_dir):
+    """A search of the files that one author's commits changed, in the repositories' working trees."""
+    return plans.search(spark, HistoryConfig("Customer#0", tuple(customer_repositories(spark, sf_dir)), author="BUILDING@"))
+
+
+@query(f"SELECT 0 AS line_number, 'for ' || c_name AS line_content, 'for C' AS match_text FROM {SALES} WHERE segment = 'machinery'")
+def git_source_messages(spark, sf_dir):
+    """A search of commit messages by date and author."""
+    found = plans.search(spark, HistoryConfig("for C", tuple(customer_repositories(spark, sf_dir)), author="machinery", since=datetime(1995, 1, 1), commit_message=True))
+    return found.select("line_number", "line_content", "match_text")
+
+
 # --- symbols ----------------------------------------------------------------------------------------
 
 

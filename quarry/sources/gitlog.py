@@ -11,7 +11,9 @@ import subprocess
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.schemas import COMMIT, COMMIT_FILE
@@ -113,3 +115,26 @@ def read_range(spark: SparkSession, repo: str, span: str) -> DataFrame:
     """repo, hash (null), path: what differs between two commits."""
     spark.dataSource.register(HistorySource)
     return spark.read.format("gitlog").option("repos", repo).option("table", "range").option("span", span).load()
+
+
+def write_repositories(commits: DataFrame, root: str) -> list[str]:
+    """Make a git repository below root, a mounted folder, of each value of repo, where its rows are.
+
+    commits: repo, seq (order), author_name, author_email, author_when, message, path, content: each row is a
+    commit of one file. A repository's history must fit in a task. Returns the folders."""
+
+    def made(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq").to_pylist()
+        folder = os.path.join(root, rows[0]["repo"])
+        os.makedirs(folder)
+        stream = []
+        for r in rows:
+            who = f"{r['author_name']} <{r['author_email']}> {r['at']} +0000"
+            message, content = r["message"].encode(), r["content"].encode()
+            stream += [f"commit refs/heads/main\nauthor {who}\ncommitter {who}\ndata {len(message)}\n".encode(), message, f"\nM 100644 inline {r['path']}\ndata {len(content)}\n".encode(), content, b"\n"]
+        for args, given in ((("init", "-q"), b""), (("fast-import", "--quiet"), b"".join(stream)), (("symbolic-ref", "HEAD", "refs/heads/main"), b""), (("reset", "-q", "--hard"), b"")):
+            subprocess.run(["git", "-C", folder, *args], input=given, check=True, capture_output=True)
+        return pa.table({"folder": [folder]})
+
+    timed = commits.withColumn("at", F.unix_timestamp("author_when"))
+    return sorted(r["folder"] for r in timed.groupBy("repo").applyInArrow(made, "folder string").collect())

@@ -1,8 +1,9 @@
 """A directory tree as a table of files, including files whose names begin with a dot or underscore.
 
-Spark's own file formats hide such files and empty ones. Here the driver lists the tree top down, so
-that skipped and ignored directories are never entered, and executors read what is left, dealt into
-partitions of about equal bytes; files that extensions or globs leave out are never opened. Roots must be on a file system that all executors mount.
+Spark's own file formats hide such files and empty ones. Here trees are listed top down, so that skipped and
+ignored directories are never entered: by the driver until SPREAD directories are waiting, which it deals
+out to tasks that list and read them. Files that the driver has met are dealt into partitions of about
+equal bytes; files that extensions or globs leave out are never opened. Roots must be on a file system that all executors mount.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarry.functions.paths import has_extension, ignore_rules, ignored_by, skips_directory, usable_globs
+from quarry.functions.paths import IgnoreRule, has_extension, ignore_rules, ignored_by, skips_directory, usable_globs
 
 SCHEMA = "root_ord int, path string, rel_path string, content string, is_binary boolean"
 
@@ -35,35 +37,51 @@ def path_test(extensions: tuple[str, ...] = (), include: tuple[str, ...] = (), e
     return fits
 
 
-def list_tree(root: str, skip: bool = True, use_ignore_file: bool = True, extensions: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Iterator[tuple[str, str, int]]:
-    """(path, path below the root, size) of the regular files under a root, or of the root if it is a file."""
-    if not os.path.exists(root):
-        raise FileNotFoundError(f"no such path: {root}")
-    fits = path_test(extensions, include, exclude)
-    if os.path.isfile(root):
-        if fits(root):
-            yield root, os.path.basename(root), os.path.getsize(root)
-        return
+#: With so many directories known, the rest of a tree is listed by tasks.
+SPREAD = 256
+
+
+@dataclass
+class Walk:
+    """How a tree is listed: below root, without what the settings leave out."""
+
+    root: str
+    skip: bool
+    rules: list[IgnoreRule]
+    extensions: tuple[str, ...]
+    include: tuple[str, ...]
+    exclude: tuple[str, ...]
+
+    def files(self, todo: list[str], most: int | None = None) -> Iterator[tuple[str, str, int]]:
+        """(path, path below the root, size) of the regular files below the directories of todo ('' or a path that
+        ends in a slash), breadth first. With most, listing stops once so many directories are waiting; todo then holds them."""
+        fits = path_test(self.extensions, self.include, self.exclude)
+        while todo and (most is None or len(todo) < most):
+            below = todo.pop(0)
+            with os.scandir(os.path.join(self.root, below)) as entries:
+                for entry in sorted(entries, key=lambda e: e.name):
+                    rel = below + entry.name
+                    if entry.is_dir(follow_symlinks=False):
+                        if not (self.skip and skips_directory(entry.name)) and not ignored_by(self.rules, rel, True):
+                            todo.append(rel + "/")
+                    elif entry.is_file(follow_symlinks=False) and fits(entry.path) and not ignored_by(self.rules, rel, False):
+                        yield entry.path, rel, entry.stat(follow_symlinks=False).st_size
+
+
+def walk_of(root: str, skip: bool = True, use_ignore_file: bool = True, extensions: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Walk:
     rules = []
     if use_ignore_file and os.path.isfile(at := os.path.join(root, ".gitignore")):
         with open(at, encoding="utf-8", errors="replace") as f:
             rules = ignore_rules(f.read())
-    todo = [("", root)]
-    while todo:
-        below, folder = todo.pop()
-        with os.scandir(folder) as entries:
-            for entry in sorted(entries, key=lambda e: e.name):
-                rel = below + entry.name
-                if entry.is_dir(follow_symlinks=False):
-                    if not (skip and skips_directory(entry.name)) and not ignored_by(rules, rel, True):
-                        todo.append((rel + "/", entry.path))
-                elif entry.is_file(follow_symlinks=False) and fits(entry.path) and not ignored_by(rules, rel, False):
-                    yield entry.path, rel, entry.stat(follow_symlinks=False).st_size
+    return Walk(root, skip, rules, extensions, include, exclude)
 
 
 @dataclass
 class Share(InputPartition):
+    """Files to read, and directories to list and read: (root's place, walk, directory)."""
+
     files: list[tuple[int, str, str]]
+    folders: list[tuple[int, Walk, str]]
 
 
 def read_file(path: str) -> tuple[str, bool] | None:
@@ -85,24 +103,34 @@ class TreeReader(DataSourceReader):
         on = lambda key: str(o.get(key, "true")).lower() == "true"
         extensions = tuple(e for e in o.get("extensions", "").split(",") if e)
         include, exclude = (tuple(g for g in o.get(key, "").split("\n") if g) for key in ("include", "exclude"))
-        limit, shares, size = int(o.get("partition_bytes", 64 << 20)), [Share([])], 0
+        limit, shares, size, spread = int(o.get("partition_bytes", 64 << 20)), [Share([], [])], 0, int(o.get("spread", SPREAD))
         for k, root in enumerate(o["paths"].split("\n")):
-            for path, rel, n in list_tree(root, on("skip"), on("ignore_file"), extensions, include, exclude):
+            if not os.path.exists(root):
+                raise FileNotFoundError(f"no such path: {root}")
+            walk, todo = walk_of(root, on("skip"), on("ignore_file"), extensions, include, exclude), [""]
+            if os.path.isfile(root):
+                met = [(root, os.path.basename(root), os.path.getsize(root))] if path_test(extensions, include, exclude)(root) else []
+                todo = []
+            else:
+                met = walk.files(todo, spread)
+            for path, rel, n in met:
                 if shares[-1].files and size + n > limit:
-                    shares.append(Share([]))
+                    shares.append(Share([], []))
                     size = 0
                 shares[-1].files.append((k, path, rel))
                 size += n + 4096
+            shares = [Share([], [(k, walk, below)]) for below in todo] + shares
         return shares
 
     def read(self, partition: Share) -> Iterator[tuple]:
-        for k, path, rel in partition.files:
+        listed = ((k, path, rel) for k, walk, below in partition.folders for path, rel, _ in walk.files([below]))
+        for k, path, rel in chain(partition.files, listed):
             if found := read_file(path):
                 yield k, path, rel, *found
 
 
 class TreeSource(DataSource):
-    """spark.read.format("tree").option("paths", newline-separated roots); options skip, ignore_file, extensions, include and exclude (newline-separated globs of paths), partition_bytes."""
+    """spark.read.format("tree").option("paths", newline-separated roots); options skip, ignore_file, extensions, include and exclude (newline-separated globs of paths), partition_bytes, spread."""
 
     @classmethod
     def name(cls) -> str:

@@ -136,6 +136,9 @@ def test_scores_run_once(spark):
 def test_tree_opens_only_what_is_searched(spark, folder, monkeypatch, tmp_path):
     reader = tree.TreeReader({"paths": str(folder), "include": "*.go\n*.md", "exclude": "*tools*"})
     assert sorted(rel for share in reader.partitions() for _, _, rel in share.files) == ["_d/x.go", "app.go", "empty.go", "notes.md"]
+    spread = tree.TreeReader({"paths": str(folder), "spread": "2"})
+    shares = spread.partitions()
+    assert any(s.folders for s in shares) and sorted(r[2] for s in shares for r in spread.read(s)) == sorted(r["rel_path"] for r in tree.read_tree(spark, str(folder)).collect())
     named = spark.createDataFrame([("app.go",), ("app.go",), ("gone.go",), ("link.go",), ("pkg",), ("notes.md",), (None,), ("../x",)], "path string")
     assert sorted(r["rel_path"] for r in tree.read_named(named, str(folder), (".go",)).collect()) == ["app.go"]
     rows = spark.createDataFrame([("a/b.txt", "x\r\n"), ("c", ""), (None, "x"), ("d", None)], "path string, content string")
