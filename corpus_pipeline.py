@@ -41,14 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without words of repeated passages; those that nothing is left of go."""
-    kept = substring.remove_repeats(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(substring.NO_ID)).alias("__id"), F.col("k1").alias("__k1"), "kept_text", "n_words", "n_removed")
-    kept = kept.dropDuplicates(["__id", "__k1"])
-    rows = docs.withColumn("__id0", F.coalesce("doc_id", F.lit(substring.NO_ID))).withColumn("__k0", F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 16), 16, -10).cast("long"))
-    met = rows.join(kept, (F.col("__id0") == F.col("__id")) & (F.col("__k0") == F.col("__k1")), "left")
-    changed = F.col("n_removed").isNotNull()
-    met = met.where(~changed | (F.col("n_removed") < F.col("n_words")))
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    kept = substring.remove_repeats(docs, also=[c for c in docs.columns if c not in ("doc_id", "text")], as_is=True)
+    kept = kept.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

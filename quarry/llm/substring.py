@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import release, stored
@@ -169,11 +169,11 @@ def pieces(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBatc
         yield batch.slice(at)
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def keyed(docs: DataFrame, key: str, text: str, *others: Column) -> DataFrame:
     """text, and what tells rows apart: the id (a number of its own for null) and 128 bits of the text's md5."""
     m = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     half = lambda at: F.conv(F.substring(m, at, 16), 16, -10).cast("long")
-    return docs.select(F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), half(1).alias("k1"), half(17).alias("k2"))
+    return docs.select(F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), half(1).alias("k1"), half(17).alias("k2"), *others)
 
 
 NO_ID = -(1 << 63)
@@ -247,13 +247,15 @@ def third_level(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("text", "k1", "seeds").mapInArrow(run, "a long, b int, k1 long, place int, open boolean")
 
 
-def cut(rows: DataFrame, length: int) -> DataFrame:
-    """id, kept_text, n_words, n_removed. rows: text, id, seeds, places (of repeated windows), all (copies exist)."""
+def cut(rows: DataFrame, length: int, as_is: bool) -> DataFrame:
+    """id, kept_text, n_words, n_removed, k1, also. rows: text, id, seeds, places (of repeated windows), all (copies
+    exist), k1, also. With as_is, a text that loses nothing stays as it is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                words = Words(part.column(0).to_pylist())
+                texts = part.column(0).to_pylist()
+                words = Words(texts)
                 seeds = [s.values.to_numpy() if s.is_valid else None for s in part.column(2)]
                 edge = np.zeros(len(words.hash) + 1, np.int64)
                 if any(s is not None for s in seeds):
@@ -271,17 +273,19 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
                 for k, whole in enumerate(part.column(4).to_pylist()):
                     if whole and sizes[k] >= length:
                         gone[words.bounds[k] : words.bounds[k + 1]] = True
+                upto = np.concatenate([[0], np.cumsum(gone)])
+                lost = upto[words.bounds[1:]] - upto[words.bounds[:-1]]
                 kept = []
-                for a, b in zip(words.bounds, words.bounds[1:], strict=False):
+                for text, a, b, n in zip(texts, words.bounds, words.bounds[1:], lost.tolist(), strict=False):
+                    if as_is and not n:
+                        kept.append(text)
+                        continue
                     at = np.flatnonzero(~gone[a:b]) + a
                     kept.append(b" ".join([words.data[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]).decode())
-                lost = np.concatenate([[0], np.cumsum(gone)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array(kept, pa.string()), pa.array(sizes), pa.array(lost[words.bounds[1:]] - lost[words.bounds[:-1]]), part.column(5)],
-                    names=["id", "kept_text", "n_words", "n_removed", "k1"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(kept, pa.string()), pa.array(sizes), pa.array(lost), part.column(5), part.column(6)], names=["id", "kept_text", "n_words", "n_removed", "k1", "also"])
 
-    return rows.select("text", "id", "seeds", "places", "all", "k1").mapInArrow(run, "id long, kept_text string, n_words long, n_removed long, k1 long")
+    kind = rows.schema["also"].dataType.simpleString()
+    return rows.select("text", "id", "seeds", "places", "all", "k1", "also").mapInArrow(run, f"id long, kept_text string, n_words long, n_removed long, k1 long, also {kind}")
 
 
 def unplaced(df: DataFrame, *keys: str) -> DataFrame:
@@ -290,10 +294,13 @@ def unplaced(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*[F.col(c).bitwiseXOR(F.lit(0)).alias(c) if c in keys else F.col(c) for c in df.columns])
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, kept_text (kept words joined by one space), n_words, n_removed, k1 (64 bits of the text's md5):
-    every word that a window of length words covers, which starts anywhere else too, is removed."""
+def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text: str = "text", also: list[str] | None = None, as_is: bool = False) -> DataFrame:
+    """doc_id, kept_text (kept words joined by one space), n_words, n_removed, and the columns named in also (not doc_id):
+    every word that a window of length words covers, which starts anywhere else too, is removed.
+
+    With as_is, the text of a row that loses no word is the one given, white space included."""
     spark = docs.sparkSession
+    carried = docs.select("*", F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(also or [])]).alias("__also"))
     rows = keyed(docs, key, text)
     texts, _ = stored(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     spans, spans_at = stored(first_level(rows, length))
@@ -318,4 +325,5 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
     single = texts.where("copies = 1").join(seeds, "k1").join(places, "k1", "left").select(*by, "seeds", "places", F.lit(False).alias("all"))
     several = rows.select(*by).join(texts.where("copies > 1").select("k1", "k2"), ["k1", "k2"]).distinct()
     known = single.unionByName(several.select(*by, F.lit(None).cast("array<bigint>").alias("seeds"), F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("all")))
-    return cut(rows.join(known, by, "left"), length).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "kept_text", "n_words", "n_removed", "k1")
+    done = cut(keyed(carried, key, text, F.col("__also").alias("also")).join(known, by, "left"), length, as_is)
+    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "kept_text", "n_words", "n_removed", *[F.col(f"also.c{k}").alias(c) for k, c in enumerate(also or [])])

@@ -263,6 +263,25 @@ def test_substring_dedup_of_random_overlaps(spark):
         assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(rows, 9).collect()) == want
 
 
+def test_very_long_texts(spark):
+    """A text of 2 MB beside short ones, for every operator on texts."""
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(9000)}" for _ in range(60_000)]
+    long = " ".join(words + ["lang" * 50_000] + words[100:160] + ["x" * 1_300_000])
+    rows = spark.createDataFrame([(1, long, "en", "a"), (2, " ".join(words[200:240]), "en", "a"), (3, "short", "fr", "b")], "doc_id long, text string, lang string, source string")
+    want = sorted((k + 1, *x) for k, x in enumerate(without_repeats([r["text"] for r in sorted(rows.collect())], 35)))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(rows).collect()) == want
+    assert want[0][2] >= 60 and want[1][2] == 40
+    marks = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in simhash.near_duplicates(rows).collect()}
+    assert marks == {r["doc_id"]: simhash_by_hand(r["text"]) for r in rows.collect()}
+    assert {r["lang_pred"] for r in langid.identify(rows, langid.fit(rows)).collect()} <= {"en", "fr"}
+    some = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_documents(rows, toxicity.fit(rows, some)).collect())
+    coded = bpe.round_trip(rows, PATH, public_tokenizers.PATTERN, spaced=True).collect()
+    assert all(bytes(r["decoded"]).decode() == r["text"] for r in coded)
+    assert {r["size"] for r in mixing.mix(rows).collect()} == {60_062, 40, 1}
+
+
 def test_toxicity_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
