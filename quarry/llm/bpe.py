@@ -30,6 +30,8 @@ from quarry.llm.common import map_texts
 
 #: Words of which a worker keeps the ids, in each of two generations; results don't depend on it.
 WORDS = 200_000
+#: Texts that are worked on together.
+STEP = 128
 #: Pair tests that a worker keeps: two to the power of this.
 PAIR_BITS = 20
 #: Pieces of more bytes are worked on alone.
@@ -63,30 +65,27 @@ class ByteBPE:
         self.pair_valid = np.zeros(1 << PAIR_BITS, bool)
         self.words: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
-        self.child, self.entry = self.trie()
+        self.edges, self.child, self.entry = self.trie()
 
-    def trie(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each node that has any, its children by byte (0: none); for each node its token or -1. Leaves come last."""
-        below: list[dict[int, int]] = [{}]
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vocabulary's trie: its edges as sorted numbers 256 * node + byte, the node each leads to, and each node's token or -1."""
+        edges: dict[int, int] = {}
         entry = [-1]
         for token, rank in self.ranks.items():
             node = 0
             for byte in token:
-                if byte not in below[node]:
-                    below[node][byte] = len(below)
-                    below.append({})
+                node = edges.setdefault(node << 8 | byte, len(entry))
+                if node == len(entry):
                     entry.append(-1)
-                node = below[node][byte]
             entry[node] = rank
-        inner = [k for k, kids in enumerate(below) if kids]
-        place = np.zeros(len(below), np.int32)
-        place[inner + [k for k, kids in enumerate(below) if not kids]] = np.arange(len(below))
-        child = np.zeros((len(inner), 256), np.int32)
-        for k in inner:
-            child[place[k], list(below[k])] = place[list(below[k].values())]
-        entries = np.empty(len(below), np.int32)
-        entries[place] = entry
-        return child, entries
+        order = np.sort(np.fromiter(edges, np.int32, len(edges)))
+        return order, np.fromiter(map(edges.__getitem__, order.tolist()), np.int32, len(order)), np.array(entry, np.int32)
+
+    def below(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that edges lead to; 0 where there is none."""
+        edge = node << 8 | byte
+        at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+        return np.where(self.edges[at] == edge, self.child[at], 0)
 
     def merged(self, data: bytes, least: int = 1) -> list[int]:
         """The plain merging procedure, until `least` parts are left; for short strings."""
@@ -186,7 +185,7 @@ class ByteBPE:
             rows = np.arange(np.searchsorted(sizes, first, "right"), len(pieces))
             node = np.zeros(len(rows), np.int32)
             for end in range(first + 1, width + 1):
-                node = self.child[node, data[rows, end - 1]]
+                node = self.below(node, data[rows, end - 1])
                 on = (node > 0) & (sizes[rows] >= end)
                 rows, node = rows[on], node[on]
                 token = self.entry[node]
@@ -194,8 +193,6 @@ class ByteBPE:
                 if len(some):
                     fits = some[self.all_follow(last[rows[some], first], token[some])]
                     last[rows[fits], end] = token[fits]
-                deeper = node < len(self.child)
-                rows, node = rows[deeper], node[deeper]
                 if not len(rows):
                     break
         return last[:, 1:], sizes
@@ -375,7 +372,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
         return work
 
-    return map_texts(docs.drop(ids), text, f"{ids} array<int>", make)
+    return map_texts(docs.drop(ids), text, f"{ids} array<int>", make, STEP)
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -384,7 +381,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", data: str = "
     def make():
         return lambda rows: [decoder(path).decode(*joined([np.array(r or [], np.int32) for r in rows]))]
 
-    return map_texts(docs.drop(data), ids, f"{data} binary", make)
+    return map_texts(docs.drop(data), ids, f"{data} binary", make, STEP)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded", spaced: bool = False) -> DataFrame:
@@ -399,4 +396,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
 
         return work
 
-    return map_texts(docs.drop(ids, data), text, f"{ids} array<int>, {data} binary", make)
+    return map_texts(docs.drop(ids, data), text, f"{ids} array<int>, {data} binary", make, STEP)

@@ -42,11 +42,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[list], list[pa.Array]]], step: int = 512) -> DataFrame:
     """Append columns computed from df[text], a batch at a time.
 
     make() runs once in each task and returns a function from a list of texts (None for null) to
-    one Arrow array per new column. The other columns of df pass through unchanged.
+    one Arrow array per new column; it gets step texts at a time. The other columns of df pass through unchanged.
     """
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     source = df.columns.index(text)
@@ -54,11 +54,11 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            step = 512
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 made = work(part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+            pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, {schema}")

@@ -172,7 +172,7 @@ def pieces(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBatc
 def keyed(docs: DataFrame, key: str, text: str, *others: Column) -> DataFrame:
     """text, and what tells rows apart: the id (a number of its own for null) and 128 bits of the text's md5."""
     m = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    half = lambda at: F.conv(F.substring(m, at, 16), 16, -10).cast("long")
+    half = lambda at: F.coalesce(F.conv(F.substring(m, at, 16), 16, -10).cast("long"), F.lit(0).cast("long"))  # noqa: E731  (never null, and known not to be)
     return docs.select(F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), half(1).alias("k1"), half(17).alias("k2"), *others)
 
 
@@ -244,7 +244,8 @@ def third_level(rows: DataFrame, length: int) -> DataFrame:
                     names=["a", "b", "k1", "place", "open"],
                 )
 
-    return rows.select("text", "k1", "seeds").mapInArrow(run, "a long, b int, k1 long, place int, open boolean")
+    # also is asked for so that the texts lie ready for cut() as they do here, shuffled once.
+    return rows.select("text", "k1", "seeds", "id", "k2", "also").mapInArrow(run, "a long, b int, k1 long, place int, open boolean")
 
 
 def cut(rows: DataFrame, length: int, as_is: bool) -> DataFrame:
@@ -301,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
     With as_is, the text of a row that loses no word is the one given, white space included."""
     spark = docs.sparkSession
     carried = docs.select("*", F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(also or [])]).alias("__also"))
-    rows = keyed(docs, key, text)
+    rows = keyed(carried, key, text, F.col("__also").alias("also"))
     texts, _ = stored(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     spans, spans_at = stored(first_level(rows, length))
     met = spans.join(unplaced(repeated_longs(spans, "h"), "h"), "h")
@@ -325,5 +326,5 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
     single = texts.where("copies = 1").join(seeds, "k1").join(places, "k1", "left").select(*by, "seeds", "places", F.lit(False).alias("all"))
     several = rows.select(*by).join(texts.where("copies > 1").select("k1", "k2"), ["k1", "k2"]).distinct()
     known = single.unionByName(several.select(*by, F.lit(None).cast("array<bigint>").alias("seeds"), F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("all")))
-    done = cut(keyed(carried, key, text, F.col("__also").alias("also")).join(known, by, "left"), length, as_is)
+    done = cut(rows.join(known, by, "left"), length, as_is)
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "kept_text", "n_words", "n_removed", *[F.col(f"also.c{k}").alias(c) for k, c in enumerate(also or [])])
