@@ -12,7 +12,7 @@ def line_array(content: Column, strip_cr: bool = False) -> Column:
     """Lines of a text, split at newlines only; a final newline begins no further line. strip_cr drops one carriage return at each end of line."""
     body = F.when(content.endswith("\n"), F.left(content, F.length(content) - 1)).otherwise(content)
     lines = F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
-    return F.transform(lines, lambda x: F.regexp_replace(x, r"\r\z", "")) if strip_cr else lines
+    return F.transform(lines, lambda x: F.when(x.endswith("\r"), F.left(x, F.length(x) - 1)).otherwise(x)) if strip_cr else lines
 
 
 def to_lines(files: DataFrame, strip_cr: bool = False, within: Column | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quarry.functions.text import trim_space
 from quarry.schemas import CODE_PAGE
 
+#: The public address of the code search, and how far it is read.
 ADDRESS = "https://api.github.com/search/code"
 PAGES, PER_PAGE, TIMEOUT = 5, 30, 30
 
