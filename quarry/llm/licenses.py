@@ -92,11 +92,11 @@ def stated(lines: DataFrame, templates: dict[str, list[str]], threshold: float)
     vectors = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, template, term, share, weight)")
     vocabulary = sorted({r[2] for r in rows})
     found = lines.where(F.regexp_like("line", F.lit("(?i)[a-z0-9]"))).select("path", tokens(F.col("line")).alias("tokens"))
-    found = found.withColumn("known", F.filter("tokens", lambda t: t.isin(vocabulary))).where(F.size("known") > 0)
-    found = found.withColumn("shared", F.size(F.array_distinct("known"))).withColumn("others", F.size(F.array_distinct("tokens")) - F.col("shared"))
+    found = found.withColumn("terms", F.array_distinct("tokens")).withColumn("shared", F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary])))).where(F.col("shared") > 0)
+    found = found.withColumn("others", F.size("terms") - F.col("shared"))
     # (1 + ln n) squared is concave, so that the known terms' squared length is at most that of evenly spread counts, and
-    # other terms weigh most: with more others than this, the cosine stays below the threshold.
-    spread = 1 + F.log(F.greatest(F.size("known"), F.lit(1)) / F.greatest(F.col("shared"), F.lit(1)))
+    # other terms, which stand once at least, weigh most: with more others than this, the cosine stays below the threshold.
+    spread = 1 + F.log((F.size("tokens") - F.col("others")) / F.greatest(F.col("shared"), F.lit(1)))
     found = found.where(F.col("others") <= F.col("shared") * spread * spread * (1 / threshold**2 - 1) + 1e-6)
     found = found.select("path", F.md5(F.array_join("tokens", " ").cast("binary")).alias("passage"), "tokens").dropDuplicates(["path", "passage"])
     by = ["path", "passage"]
