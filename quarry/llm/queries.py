@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, licenses, mixing, nearest, simhash, substring, toxicity, vector_dedup, wordpiece
+from quarry.llm import bpe, chat, fim, langid, licenses, mixing, nearest, negatives, simhash, substring, toxicity, vector_dedup, wordpiece
 from quarry.llm.common import bucket_of
 
 #: The vocabulary's file name among the public tokenizers.
@@ -91,6 +91,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    whole = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(chat.ADDED, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(rows))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -110,9 +130,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_chat_formatting": op13_chat_formatting,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op11_fill_in_middle": fim.FIM_SQL, "op12_hard_negatives": negatives.NEGATIVES_SQL, "op13_chat_formatting": chat.CHAT_SQL}
