@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     s = commands.add_parser("search")
     s.add_argument("query")
     s.add_argument("paths", nargs="+")
-    for flag in ("regex", "ignore-case", "github", "commit-message", "fuzzy", "suggest"):
+    for flag in ("regex", "ignore-case", "github", "commit-message", "fuzzy", "suggest", "split"):
         s.add_argument(f"--{flag}", action="store_true")
     for flag in ("github-token", "json", "csv", "extensions", "exclude", "include", "since", "author", "changed-in"):
         s.add_argument(f"--{flag}", default="")
@@ -42,7 +42,7 @@ def listed(text: str) -> tuple[str, ...]:
 def run_search(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     config = HistoryConfig(
         a.query, tuple(a.paths), a.regex, a.ignore_case, a.context, listed(a.extensions), listed(a.include), listed(a.exclude), a.github, a.github_token,
-        since=time_ago(a.since) if a.since else None, author=a.author, changed_in=a.changed_in, commit_message=a.commit_message,
+        since=time_ago(a.since) if a.since else None, author=a.author, changed_in=a.changed_in, commit_message=a.commit_message, split=a.split,
     )
     if a.suggest:
         rows = plans.suggest(spark, a.query, config.paths, config.extensions).select("text", two_digits(F.col("score")).alias("score"), "context").collect()

@@ -1,33 +1,28 @@
-"""Search patterns as columns: RE2 syntax translated to Java's, literal prefixes, line and text tests.
+"""Search patterns as columns: RE2 regexes, literal prefixes, line and text tests.
 
 Keywords become substring tests. A regex that begins with literal text also gets a substring test on
 that text, on lines and on whole files before they are split, which the optimizer doesn't derive.
 
-The JVM's matcher recurses once for each turn of a repeated group, so that long lines exhaust its stack.
-Patterns with such groups meet all lines, short or long, in a batched Python function instead.
+Regexes, and keywords whose case is ignored, meet texts in Arrow's RE2 kernels, a batch at a time: first whole
+files, then the lines of those that match anywhere. Time grows with the texts alone, whatever the pattern; the
+JVM's matcher, which tries one way after another, was slower on all patterns but those with a literal prefix,
+and no faster on these.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-#: RE2's word boundary looks at ASCII word characters only, its white space leaves out the vertical tab.
+#: RE2's word boundary, for the JVM's regexes: it looks at ASCII word characters only.
 EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 NO_EDGE = r"(?:(?<![0-9A-Za-z_])(?![0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-SPACE = r"\t\n\f\r "
-WORD = "0-9A-Za-z_"
-#: The named classes, as ASCII ranges for use inside brackets.
-POSIX = {
-    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~",
-    "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-\~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": WORD, "xdigit": "0-9A-Fa-f",
-}
 META = set("\\.+*?()|[]{}^$")
 
 
@@ -35,161 +30,27 @@ class PatternError(ValueError):
     """The pattern isn't valid RE2 syntax."""
 
 
-def translate(pattern: str, python: bool = False) -> tuple[str, bool]:
-    """An equivalent pattern for java.util.regex, or for Python's regex, and whether it repeats a group;
-    PatternError for what RE2 rejects."""
-    out: list[str] = ["(?V1)" if python else "(?d)"]
-    repeats = grouped = False
-    multiline = [False]
-    at, quantified = 0, True  # quantified: nothing to repeat here
-    n = len(pattern)
-
-    def code(point: int) -> str:
-        return f"\\U{point:08x}" if python else f"\\x{{{point:x}}}"
-
-    def escape(at: int, inside: bool) -> tuple[str, int]:
-        if at + 1 >= n:
-            raise PatternError("trailing backslash")
-        c = pattern[at + 1]
-        if c in "dDwW":
-            kind = "0-9" if c in "dD" else WORD
-            if python and inside:
-                return (kind if c in "dw" else f"[^{kind}]"), at + 2
-            return ((f"[{kind}]" if c in "dw" else f"[^{kind}]") if python else "\\" + c), at + 2
-        if c == "s":
-            return (SPACE if inside else f"[{SPACE}]"), at + 2
-        if c == "S":
-            return f"[^{SPACE}]", at + 2
-        if c in "pP":
-            if at + 2 < n and pattern[at + 2] == "{":
-                end = pattern.find("}", at)
-                if end < 0:
-                    raise PatternError("unclosed \\p{")
-                name = pattern[at + 3 : end]
-                negated = (c == "P") != name.startswith("^")
-                name = name.lstrip("^")
-                return f"\\{'P' if negated else 'p'}{{{name if python or len(name) <= 2 else 'Is' + name}}}", end + 1
-            if at + 2 >= n:
-                raise PatternError("incomplete \\p")
-            return f"\\{c}{{{pattern[at + 2]}}}", at + 3
-        if c in "afnrt":
-            return {"a": r"\x07"}.get(c, "\\" + c), at + 2
-        if c == "v":
-            return r"\x0B", at + 2
-        if c == "x":
-            if m := re.compile(r"\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2})").match(pattern, at + 2):
-                return code(int(m[1] or m[2], 16)), m.end()
-            raise PatternError("bad \\x")
-        if m := re.compile(r"0[0-7]{0,2}|[1-7][0-7]{1,2}").match(pattern, at + 1):
-            return code(int(m[0], 8)), m.end()
-        if not inside:
-            if c == "b":
-                return EDGE, at + 2
-            if c == "B":
-                return NO_EDGE, at + 2
-            if c in "Az":
-                return r"\Z" if python and c == "z" else "\\" + c, at + 2
-        if c.isascii() and c.isalnum():
-            raise PatternError(f"invalid escape \\{c}")
-        return "\\" + c, at + 2
-
-    def bracket(at: int) -> tuple[str, int]:
-        made, at, first = ["["], at + 1, True
-        if pattern[at : at + 1] == "^":
-            made.append("^")
-            at += 1
-        while True:
-            if at >= n:
-                raise PatternError("missing ]")
-            c = pattern[at]
-            if c == "]" and not first:
-                return "".join(made) + "]", at + 1
-            first = False
-            if m := re.compile(r"\[:(\^?)(\w+):\]").match(pattern, at):
-                if m[2] not in POSIX:
-                    raise PatternError(f"unknown class {m[0]}")
-                made.append(f"[^{POSIX[m[2]]}]" if m[1] else POSIX[m[2]])
-                at = m.end()
-            elif c == "\\":
-                text, at = escape(at, True)
-                made.append(text)
-            else:
-                made.append("\\" + c if c in "[]&~^#|" else c)
-                at += 1
-
-    while at < n:
-        c = pattern[at]
-        if c == "\\":
-            if pattern.startswith("\\Q", at):
-                end = pattern.find("\\E", at)
-                text = pattern[at + 2 : end if end >= 0 else n]
-                out.append(quote(text))
-                at, quantified = (end + 2 if end >= 0 else n), not text
-                continue
-            text, at = escape(at, False)
-            out.append(text)
-            quantified = False
-        elif c == "[":
-            text, at = bracket(at)
-            out.append(text)
-            quantified = False
-        elif c == "(":
-            if m := re.compile(r"\(\?P?<(\w+)>").match(pattern, at):
-                out.append("(")
-                multiline.append(multiline[-1])
-                at = m.end()
-            elif m := re.compile(r"\(\?([imsU]*)(-[imsU]+)?([:)])").match(pattern, at):
-                on, off = m[1], (m[2] or "")[1:]
-                if "U" in on + off:
-                    raise PatternError("ungreedy mode is not supported")
-                if python:  # f: one character never equals two
-                    flags = on + ("-" + off + "f" * ("i" in on) if off or "i" in on else "")
-                else:
-                    flags = on.replace("i", "iu") + ("-" + off.replace("i", "iu") if off else "")
-                state = (multiline[-1] or "m" in on) and "m" not in off
-                if m[3] == ":":
-                    multiline.append(state)
-                else:
-                    multiline[-1] = state
-                out.append(f"(?{flags}{m[3]}")
-                at = m.end()
-            elif pattern.startswith("(?", at):
-                raise PatternError("look-around and special groups are not supported")
-            else:
-                out.append("(")
-                multiline.append(multiline[-1])
-                at += 1
-            quantified = True
-        elif c == ")":
-            if len(multiline) == 1:
-                raise PatternError("unexpected )")
-            multiline.pop()
-            out.append(")")
-            at, quantified, grouped = at + 1, False, True
-            continue
-        elif (m := re.compile(r"[*+?]|\{\d+(?:,\d*)?\}").match(pattern, at)) is not None:
-            if quantified:
-                raise PatternError(f"nothing to repeat before {m[0]}")
-            if max(map(int, re.findall(r"\d+", m[0])), default=0) > 1000:
-                raise PatternError("repeat count over 1000")
-            at = m.end()
-            repeats |= grouped and m[0] != "?"
-            lazy = pattern[at : at + 1] == "?"
-            out.append(m[0] + "?" * lazy)
-            at, quantified = at + lazy, True
-        else:
-            if c == "$":
-                out.append("$" if multiline[-1] else r"\Z" if python else r"\z")
-            elif c in "{}]":
-                out.append("\\" + c)
-            else:
-                out.append(c)
-            quantified = c in "|^"
-            at += 1
-        grouped = False
-    if len(multiline) > 1:
-        raise PatternError("missing )")
-    return "".join(out), repeats
+#: What is read as one piece: quoted stretches, escapes, classes, capturing groups' openings.
+PIECE = re.compile(r"(?s)(\\Q.*?(?:\\E|\Z))|(\\.)|(\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\])|(\(\?P?<\w+>|\((?!\?))")
+
+
+def uncaptured(pattern: str) -> str:
+    """The same RE2 pattern without capturing groups; PatternError if it isn't one."""
+
+    def plain(m: re.Match) -> str:
+        if m[1]:
+            return quote(m[1][2:].removesuffix("\\E"))
+        if m[2] == r"\C":
+            raise PatternError("single bytes aren't supported")
+        return "(?:" if m[4] else m[0]
+
+    out = PIECE.sub(plain, pattern)
+    for tried in (pattern, out):
+        try:
+            pc.match_substring_regex(pa.array([""]), tried)
+        except pa.ArrowInvalid as problem:
+            raise PatternError(str(problem)) from None
+    return out
 
 
 def quote(text: str) -> str:
@@ -243,80 +104,73 @@ def literal_prefix(pattern: str) -> str:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A compiled query. java is None for case-sensitive keywords; literal is text that any match contains;
-    python is set for patterns that repeat a group."""
+    """A compiled query. re2 is None for case-sensitive keywords; literal is text that any match contains."""
 
     query: str
-    java: str | None
+    re2: str | None
     literal: str
-    python: str | None = None
 
     @property
     def is_keyword(self) -> bool:
-        return self.java is None
+        return self.re2 is None
 
     def within(self, text: Column) -> Column:
         """A cheap necessary test for a line or a whole text."""
         return F.contains(text, F.lit(self.literal)) if self.literal else F.lit(True)
 
-    def matches(self, line: Column) -> Column:
-        if self.java is None:
-            return F.contains(line, F.lit(self.query))
-        if self.python is not None:
-            return self.within(line) & first_match(self.python)(line).isNotNull()
-        return self.within(line) & line.rlike(self.java) if self.literal else line.rlike(self.java)
+    def match(self, line: Column) -> Column:
+        """The first match in the line, null if there is none."""
+        return F.when(F.contains(line, F.lit(self.query)), F.lit(self.query)) if self.is_keyword else first_match(self.re2)(line)
 
-    def match_text(self, line: Column) -> Column:
-        if self.java is None:
-            return F.lit(self.query)
-        return first_match(self.python)(line) if self.python is not None else F.regexp_extract(line, self.java, 0)
+    def matches(self, line: Column) -> Column:
+        return F.contains(line, F.lit(self.query)) if self.is_keyword else self.match(line).isNotNull()
 
     def matching(self, rows: DataFrame, line: str) -> DataFrame:
-        """Rows whose line matches, with match_text. A pattern that needs Python runs once for each row."""
-        if self.python is None:
-            return rows.where(self.matches(F.col(line))).withColumn("match_text", self.match_text(F.col(line)))
-        found = first_match(self.python).asNondeterministic()(F.col(line))
+        """Rows whose line matches, with match_text. Regexes run once for each row."""
+        if self.is_keyword:
+            return rows.where(self.matches(F.col(line))).withColumn("match_text", F.lit(self.query))
+        found = first_match(self.re2).asNondeterministic()(F.col(line))
         return rows.where(self.within(F.col(line))).withColumn("match_text", found).where(F.col("match_text").isNotNull())
 
     def matches_of(self, lines: Column) -> Column:
         """For each line of an array its match, null if it has none."""
-        if self.python is not None:
-            return first_matches(self.python).asNondeterministic()(lines)
-        return F.transform(lines, lambda x: F.when(self.matches(x), self.match_text(x)))
+        return F.transform(lines, self.match) if self.is_keyword else first_matches(self.re2).asNondeterministic()(lines)
+
+    @property
+    def anywhere(self) -> str | None:
+        """A pattern that any text matches one of whose lines does; None where the ends of a line can't be told inside a text."""
+        return None if self.is_keyword or re.search(r"\\[Az]|-[imsU]*m", self.re2) else f"(?m:{self.re2})"
+
+
+def found_in(lines: pa.Array, pattern: str) -> pa.Array:
+    """The first match in each line, null for none, in time that grows with the lines alone."""
+    hits = pc.fill_null(pc.match_substring_regex(lines, pattern), False)
+    groups = pc.extract_regex(lines.filter(hits), f"(?P<match>{pattern})")
+    return pc.replace_with_mask(pa.nulls(len(lines), pa.string()), hits, pc.struct_field(groups, "match").cast(pa.string()))
 
 
 def first_match(pattern: str):
     """The first match in each line; null for none."""
 
-    @F.pandas_udf(StringType())
-    def found(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import regex
+    def found(lines: pa.Array) -> pa.Array:
+        return found_in(lines, pattern)
 
-        search = regex.compile(pattern).search
-        for batch in lines:
-            yield batch.map(lambda x: m[0] if x is not None and (m := search(x)) else None)
-
-    return found
+    return F.arrow_udf(found, StringType())
 
 
 def first_matches(pattern: str):
     """The same for each line of arrays of lines."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def found(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import regex
-
-        search = regex.compile(pattern).search
-        for batch in arrays:
-            yield batch.map(lambda lines: None if lines is None else [m[0] if (m := search(x)) else None for x in lines])
+    def found(arrays: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(arrays), 0)
+        ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+        return pa.ListArray.from_arrays(ends, found_in(arrays.flatten(), pattern), mask=arrays.is_null())
 
-    return found
+    return F.arrow_udf(found, ArrayType(StringType()))
 
 
 def compile_pattern(query: str, is_regex: bool = False, ignore_case: bool = False) -> Pattern:
     """PatternError for an invalid regex. An empty keyword matches every line."""
     if not is_regex:
-        return Pattern(query, "(?iu)" + quote(query), "") if ignore_case else Pattern(query, None, query)
-    whole = ("(?i)" if ignore_case else "") + query
-    java, repeats = translate(whole)
-    return Pattern(query, java, "" if ignore_case else literal_prefix(query), translate(whole, python=True)[0] if repeats else None)
+        return Pattern(query, "(?i)" + quote(query), "") if ignore_case else Pattern(query, None, query)
+    return Pattern(query, uncaptured(("(?i)" if ignore_case else "") + query), "" if ignore_case else literal_prefix(query))

@@ -20,9 +20,13 @@ def search(spark: SparkSession, config: SearchConfig) -> DataFrame:
     if config.remote:
         return codehost.search_remote(spark, config.query, config.paths, config.ignore_case, config.is_regex, config.token)
     pattern = compile_pattern(config.query, config.is_regex, config.ignore_case)
-    found = tree.read_tree(spark, *config.paths, extensions=config.extensions, include=config.include, exclude=config.exclude)
+    settings = {"extensions": config.extensions, "include": config.include, "exclude": config.exclude, "piece_bytes": config.piece_bytes}
+    found = tree.read_tree(spark, *config.paths, split=config.split, around=config.context, **settings)
     kept = files.select_files(found, skip_directories=False)
-    return lines.find_matches(kept, pattern, config.context)
+    if not config.split:
+        return lines.find_matches(kept, pattern, config.context)
+    matches = lines.find_matches(kept, pattern, config.context, keep=("root_ord", "part.piece"))
+    return lines.with_offsets(matches, tree.line_offsets(spark, *config.paths, **settings))
 
 
 def search_history(spark: SparkSession, config: HistoryConfig, strict: bool = False) -> DataFrame:
@@ -61,7 +65,7 @@ def tree_lines(spark: SparkSession, roots: tuple[str, ...], extensions: tuple[st
     from quarry.functions.paths import SUPPORTED
 
     found = tree.read_tree(spark, *roots, ignore_file=False, extensions=extensions or (SUPPORTED if supported_only else ()))
-    return lines.to_lines(found.select("root_ord", "path", "content"), strip_cr=True)
+    return lines.to_lines(found.select("root_ord", "path", "content", "part"), strip_cr=True)
 
 
 def suggest(spark: SparkSession, query: str, roots: tuple[str, ...], extensions: tuple[str, ...] = ()) -> DataFrame:

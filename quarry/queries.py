@@ -12,7 +12,7 @@ from quarry.functions import paths, similarity, text
 from quarry.functions.patterns import compile_pattern
 from quarry.operators import files, fuzzy, history, lines, symbols
 from quarry.plans import search as plans
-from quarry.schemas import MATCH, HistoryConfig
+from quarry.schemas import MATCH, HistoryConfig, SearchConfig
 from quarry.sources import codehost, gitlog, sinks, tree
 from quarry.sources.shared import mounted, new_folder
 from quarry.sources.tables import as_files, chat_files, document_files, line_commit_files, order_commits, page_files, part_files, table
@@ -272,7 +272,7 @@ def search_regex_repeated_groups(spark, sf_dir):
     return lines.find_matches(docs.unionByName(long), compile_pattern(r"(?i)\b(?:the |of |la |Les? ){2,}", True))
 
 
-#: Patterns that RE2 and Java read differently unless translated.
+#: Patterns that regex engines read differently.
 DIALECT = {
     "negated_posix": r"[[:^alpha:]]{6}", "posix_in_class": r"[[:digit:]x-z]{3}", "quoted": r"\Q|\E \w", "hex": r"\x{41}\x6e", "octal": r"\101n", "named": r"(?P<first>[A-Z]\w+) de\b",
     "one_letter_class": r"\pL{18}", "script": r"\p{Latin}{18}", "negated_class": r"[^\S]é", "no_edge": r"\Bß", "scoped_flag": r"(?i:LICENSE)d", "late_flag": r"ense(?i)D U", "braces": r"x{,3}|d{2,}", "end": r"\.$", "bracket_first": r"[]|]", "vertical_tab": r"\v|\|", "dot_all": r"(?s)L.cense", "lazy": r"L\w+?d",
@@ -283,9 +283,9 @@ DIALECT = {
 def regex_dialect(spark, sf_dir):
     """How many lines each pattern matches, the first file and the smallest match."""
     rows = lines.to_lines(document_files(spark, sf_dir).select("path", "content"))
-    tests = [F.struct(F.lit(name).alias("pattern"), compile_pattern(p, True).matches(F.col("line")).alias("hit"), compile_pattern(p, True).match_text(F.col("line")).alias("match")) for name, p in DIALECT.items()]
-    met = rows.select("path", F.inline(F.array(*tests))).groupBy("pattern").agg(F.count(F.when(F.col("hit"), 1)).alias("n"), F.min(F.when(F.col("hit"), F.col("path"))).alias("first_file"), F.min(F.when(F.col("hit"), F.col("match"))).alias("least_match"))
-    return met
+    tests = [F.struct(F.lit(name).alias("pattern"), compile_pattern(p, True).match(F.col("line")).alias("match")) for name, p in DIALECT.items()]
+    met = rows.select("path", F.inline(F.array(*tests))).groupBy("pattern")
+    return met.agg(F.count("match").alias("n"), F.min(F.when(F.col("match").isNotNull(), F.col("path"))).alias("first_file"), F.min("match").alias("least_match"))
 
 
 @query(f"SELECT path AS file_path, line_number, line AS line_content, 'License' AS match_text FROM {DOC_LINES} WHERE contains(line, 'License') AND NOT ends_with(path, '.de') AND regexp_matches(path, '(^|/)src[0-9]')")
@@ -299,6 +299,25 @@ def tree_search(spark, sf_dir):
     return matches.select("file_path", "line_number", "line_content", "match_text")
 
 
+@query(sql_matches(DOC_LINES, "contains(path, 'doc_1') AND NOT ends_with(path, '.fr') AND contains(line, 'the')", "'the'"))
+def tree_pushed(spark, sf_dir):
+    """Plain conditions on a tree's paths and contents, which its reader decides: other files aren't opened, or not decoded."""
+    root = mounted(new_folder(spark, "tree"))
+    tree.write_tree(document_files(spark, sf_dir), root)
+    found = tree.read_tree(spark, root)
+    kept = found.where(F.contains("rel_path", F.lit("doc_1")) & ~F.col("rel_path").endswith(".fr") & ~F.col("is_binary"))
+    return lines.find_matches(kept.withColumn("path", F.col("rel_path")), compile_pattern("the"))
+
+
+@query(sql_matches(DOC_LINES, "contains(line, 'the')", "'the'"))
+def tree_split_files(spark, sf_dir):
+    """A tree whose files of more than 4 KB are read in pieces, by several tasks, with the lines before each piece counted apart."""
+    root = mounted(new_folder(spark, "tree"))
+    tree.write_tree(document_files(spark, sf_dir), root)
+    found = plans.search(spark, SearchConfig("the", (root,), split=True, piece_bytes=4096))
+    return found.withColumn("file_path", F.substr("file_path", F.lit(len(root) + 2)))
+
+
 @query(sql_matches(DOC_LINES, "contains(line, 'License')", "'License'"))
 def tree_named_files(spark, sf_dir):
     """The same tree, of which only files that a table names are opened."""

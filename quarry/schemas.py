@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-FILES = "root_ord int, path string, rel_path string, content string, is_binary boolean"
 MATCH = "file_path string, line_number int, line_content string, match_text string"
 SYMBOL = "name string, type string, file string, line int, column int, signature string"
 REFERENCE = "name string, file string, line int, column int, content string, category string"
@@ -29,6 +28,9 @@ class SearchConfig:
     exclude: tuple[str, ...] = ()
     remote: bool = False
     token: str = ""
+    #: Files of more than piece_bytes are read in pieces of whole lines, by several tasks with split.
+    split: bool = False
+    piece_bytes: int = 64 << 20
 
 
 @dataclass(frozen=True)

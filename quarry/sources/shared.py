@@ -22,8 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """The address of a folder of our own in the shared one, not made yet."""
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    """The address of a folder of our own in the shared one, not made yet. It is removed when the session's JVM ends."""
+    at = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    files.delete(place, True)
+    return at
 
 
 def mounted(address: str) -> str:
