@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.similarity import fuzzy_score
+from quarry.functions.similarity import query_scores
 from quarry.functions.text import two_digits
 
 #: Words that are never identifiers.
@@ -16,6 +21,7 @@ KEYWORDS = (
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 #: Functions and methods with their parameter lists.
 FUNCTIONS = (r"func[\t\n\f\r ]+(\w+)[\t\n\f\r ]*(\([^)]*\))", r"func[\t\n\f\r ]+\([^)]+\)[\t\n\f\r ]+(\w+)[\t\n\f\r ]*(\([^)]*\))")
+COMPILED = tuple(re.compile(p.encode()) for p in FUNCTIONS)
 IDENTIFIER_LEAST, FUNCTION_LEAST, FUNCTION_SHARE, PER_ROOT = 0.5, 0.4, 0.9, 10
 
 
@@ -23,41 +29,81 @@ def is_keyword(word: Column) -> Column:
     return F.lower(word).isin(*KEYWORDS)
 
 
-def identifiers(lines: DataFrame, *by: str) -> DataFrame:
-    """The distinct identifiers of three characters or more that aren't keywords, for each value of by."""
-    words = lines.select(*by, F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(IDENTIFIER), F.lit(0)))).alias("text"))
-    return words.where((F.length("text") > 2) & ~is_keyword(F.col("text"))).distinct()
+#: Bytes of identifiers stay, all others part words.
+PARTED = bytes(b if chr(b) in "_0123456789" or chr(b).isalpha() and b < 128 else 32 for b in range(256))
+
+
+def words_of(content: bytes) -> set[bytes]:
+    """The distinct identifiers of a text: a word's leading digits don't belong to it."""
+    found = set(content.translate(PARTED).split())
+    return {w.lstrip(b"0123456789") for w in found}
+
+
+def functions_of(content: bytes) -> Iterator[tuple[str, str]]:
+    """Name and parameters of functions and methods, for each line and pattern that fits it."""
+    if b"func" in content:
+        for line in content.split(b"\n"):
+            if b"func" in line:
+                for pattern in COMPILED:
+                    if m := pattern.search(line):
+                        yield m[1].decode(), m[2].decode("utf-8", "replace")
+
+
+def names(files: DataFrame, *by: str, called: bool = True) -> DataFrame:
+    """by, kind (0: identifier, 1: function), text, details (parameters), n: the distinct names in files (content), with n of the times
+    that a function stands there (1 for identifiers). Contents are looked at once, and a batch's names leave it once."""
+    fields = files.select(*by).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: dict[tuple, set[bytes]] = {}
+            functions: Counter[tuple] = Counter()
+            keys = list(zip(*[batch.column(k).to_pylist() for k in range(len(by))], strict=True)) if by else [()] * len(batch)
+            for key, content in zip(keys, batch.column(len(by)).cast(pa.binary()).to_pylist(), strict=True):
+                if content:
+                    words.setdefault(key, set()).update(words_of(content))
+                    if called:
+                        functions.update((key, *f) for f in functions_of(content))
+            rows = [(*key, 0, t, "", 1) for key, some in words.items() for w in some if len(w) > 2 and (t := w.decode()).lower() not in KEYWORDS]
+            rows += [(*key, 1, name, details, n) for (key, name, details), n in functions.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * (len(by) + 4)
+            kinds = [*batch.schema.types[: len(by)], pa.int32(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*by, "kind", "text", "details", "n"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    met = files.select(*by, "content").mapInArrow(run, f"{kinds}kind int, text string, details string, n long")
+    key = [*by, "kind", "text", "details"]
+    return met.groupBy(*key).agg(F.when(F.col("kind") == 0, 1).otherwise(F.sum("n")).cast("long").alias("n"))
 
 
-def functions(lines: DataFrame, *by: str) -> DataFrame:
-    """name and context (parameters) of functions and methods, one row for each pattern that fits a line."""
-    found = [F.when(F.col("line").rlike(p), F.struct(F.regexp_extract("line", p, 1).alias("name"), F.regexp_extract("line", p, 2).alias("context"))) for p in FUNCTIONS]
-    kept = lines.where(F.contains("line", F.lit("func")))
-    return kept.select(*by, F.inline(F.array_compact(F.array(*found))))
+def identifiers(files: DataFrame, *by: str) -> DataFrame:
+    """The distinct identifiers of three characters or more that aren't keywords, for each value of by, of files (content)."""
+    return names(files, *by, called=False).select(*by, "text")
 
 
 def fuzzy_find_all(query: str, candidates: DataFrame, threshold: float) -> DataFrame:
-    """text, score of candidates (text) at the threshold or above, best first."""
-    scored = candidates.select("text", fuzzy_score(F.lit(query), F.col("text")).alias("score"))
-    return scored.where(F.col("score") >= threshold).orderBy(F.desc(F.round("score", 12)), "text")
+    """text, score of candidates (text) at the threshold or above, best first. What can't reach it isn't scored."""
+    scored = candidates.select("text", query_scores(query, F.col("text"), F.lit(threshold)).alias("score"))
+    kept = scored.where(F.col("score").isNotNull()).repartition("text")  # a range sort looks at its input twice: not at the scoring
+    return kept.orderBy(F.desc(F.round("score", 12)), "text")
 
 
-def suggest(query: str, lines: DataFrame) -> DataFrame:
-    """Ranked suggestions from lines (root_ord, line): the ten best of each root, then the first of each text.
+def suggest(query: str, files: DataFrame) -> DataFrame:
+    """Ranked suggestions from files (root_ord, content): the ten best of each root, then the first of each text.
 
-    Distinct names are scored, each once. Ties: identifiers before functions, then by text and details.
+    Distinct names are scored, each once, and only where they may be among the ten. Ties: identifiers before
+    functions, then by text and details.
     """
-    named = identifiers(lines, "root_ord").select("root_ord", "text", F.lit(0).alias("kind"), F.lit("").alias("details"), F.lit(1).alias("n"))
-    called = functions(lines, "root_ord").groupBy("root_ord", "name", "context").agg(F.least(F.count(F.lit(1)), F.lit(PER_ROOT)).cast("int").alias("n"))
-    called = called.select("root_ord", F.col("name").alias("text"), F.lit(1).alias("kind"), F.col("context").alias("details"), "n")
-    both = named.unionByName(called).withColumn("raw", fuzzy_score(F.lit(query), F.col("text")))
-    both = both.where(F.when(F.col("kind") == 0, F.col("raw") >= IDENTIFIER_LEAST).otherwise(F.col("raw") >= FUNCTION_LEAST))
-    both = both.withColumn("score", F.when(F.col("kind") == 0, F.col("raw")).otherwise(F.col("raw") * FUNCTION_SHARE))
+    least = F.when(F.col("kind") == 0, IDENTIFIER_LEAST).otherwise(FUNCTION_LEAST)
+    share = F.when(F.col("kind") == 0, 1.0).otherwise(FUNCTION_SHARE)
+    found = names(files, "root_ord").withColumn("n", F.least("n", F.lit(PER_ROOT)).cast("int"))
+    scored = found.withColumn("raw", query_scores(query, F.col("text"), least, share, F.col("root_ord"), PER_ROOT)).where(F.col("raw").isNotNull())
+    both = scored.withColumn("score", F.when(F.col("kind") == 0, F.col("raw")).otherwise(F.col("raw") * FUNCTION_SHARE))
     repeated = both.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n"))))  # a function found often takes as many places
     best = Window.partitionBy("root_ord").orderBy(F.desc(F.round("score", 12)), "kind", "text", "details")
     top = repeated.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PER_ROOT)
-    first = Window.partitionBy("text").orderBy("root_ord", "rank")
-    kept = top.withColumn("n", F.row_number().over(first)).where("n = 1").orderBy("root_ord", "rank")
+    earliest = Window.partitionBy("text").orderBy("root_ord", "rank")
+    kept = top.withColumn("n", F.row_number().over(earliest)).where("n = 1").orderBy("root_ord", "rank")
     return kept.select("text", "score", F.when(F.col("kind") == 0, F.lit("identifier")).otherwise(F.lit("function")).alias("context"), "details")
 
 

@@ -69,7 +69,7 @@ def tree_lines(spark: SparkSession, roots: tuple[str, ...], extensions: tuple[st
 
 
 def suggest(spark: SparkSession, query: str, roots: tuple[str, ...], extensions: tuple[str, ...] = ()) -> DataFrame:
-    return fuzzy.suggest(query, tree_lines(spark, roots, extensions))
+    return fuzzy.suggest(query, tree.read_tree(spark, *roots, ignore_file=False, extensions=extensions))
 
 
 def fuzzy_search(spark: SparkSession, config: SearchConfig) -> DataFrame:

@@ -15,7 +15,7 @@ from quarry.plans import search as plans
 from quarry.schemas import MATCH, HistoryConfig, SearchConfig
 from quarry.sources import codehost, gitlog, sinks, tree
 from quarry.sources.shared import mounted, new_folder
-from quarry.sources.tables import as_files, chat_files, document_files, line_commit_files, order_commits, page_files, part_files, table
+from quarry.sources.tables import as_files, chat_files, document_files, line_commit_files, order_commits, page_files, part_files, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -368,7 +368,7 @@ def sql_scores(q: str) -> str:
 
 
 def document_identifiers(spark, sf_dir):
-    return fuzzy.identifiers(lines.to_lines(document_files(spark, sf_dir).select("path", "content"), strip_cr=True))
+    return fuzzy.identifiers(spread(document_files(spark, sf_dir).select("content")))
 
 
 @query(f"SELECT text FROM {IDENTIFIERS}")
@@ -432,8 +432,8 @@ SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY text ORDER BY root_ord,
 
 
 def suggestions(spark, sf_dir):
-    both = files.union_roots(document_files(spark, sf_dir), code_files(spark, sf_dir))
-    return fuzzy.suggest("goldnrod", lines.to_lines(both.select("root_ord", "path", "content"), strip_cr=True))
+    both = files.union_roots(*[spread(f.select("content")) for f in (document_files(spark, sf_dir), code_files(spark, sf_dir))])
+    return fuzzy.suggest("goldnrod", both)
 
 
 @query(f"SELECT text, round(score, 6) AS score, CASE kind WHEN 0 THEN 'identifier' ELSE 'function' END AS context, details FROM {SUGGESTED}")

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Rows that a scan gives to fewer tasks than there are cores, for work that costs more than a shuffle of them, are dealt out
+    first; larger scans are left as they are."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.select(F.lit(1)).rdd.getNumPartitions() < cores else files
+
+
 def as_files(df: DataFrame, path, content) -> DataFrame:
     return df.select(path.alias("path"), path.alias("rel_path"), content.alias("content"), is_binary(content.cast("binary")).alias("is_binary"))
 

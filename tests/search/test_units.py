@@ -7,6 +7,7 @@ import subprocess
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,9 +222,51 @@ def test_similarity(spark):
 
 
 def test_suggestions_keep_the_first_of_each_text(spark):
-    rows = [(0, "func handle(a int) {"), (0, "handle handler"), (1, "handler handle func handle(b)"), (1, "if return")]
-    found = fuzzy.suggest("handle", spark.createDataFrame(rows, "root_ord int, line string")).collect()
+    rows = [(0, "func handle(a int) {\nhandle handler"), (1, "handler handle func handle(b)\r\nif return"), (1, None), (1, "")]
+    found = fuzzy.suggest("handle", spark.createDataFrame(rows, "root_ord int, content string")).collect()
     assert [(r["text"], r["context"]) for r in found] == [("handle", "identifier"), ("handler", "identifier")]
+    many = [(0, "\n".join(f"func hand{k}le(x) {{" for k in range(40)) + "\nfunc handle()\n" * 15)]
+    found = fuzzy.suggest("handle", spark.createDataFrame(many, "root_ord int, content string")).collect()
+    assert [(r["text"], r["context"]) for r in found][:1] == [("handle", "identifier")] and len(found) == 10  # hand0le ... as identifiers
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("abAB_é1", max_size=9), st.lists(st.text("abAB_é1c", max_size=12), min_size=1, max_size=12), st.sampled_from([0.0, 0.4, 0.7]))
+def test_scores_of_a_query(spark, query, texts, least):
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select(similarity.fuzzy_score(F.lit(query), F.col("text")).alias("s"), similarity.query_scores(query, F.col("text"), F.lit(least)).alias("q")).collect()
+    assert all(r["q"] == (r["s"] if r["s"] >= least else None) for r in found)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc", min_size=1, max_size=8), st.lists(st.tuples(st.text("abcd", max_size=10), st.integers(0, 2), st.booleans()), min_size=1, max_size=60))
+def test_the_best_of_each_group_are_scored(query, rows):
+    texts, groups = [t.encode() for t, _, _ in rows], [g for _, g, _ in rows]
+    least, share = np.array([0.5 if f else 0.4 for *_, f in rows]), np.array([1.0 if f else 0.9 for *_, f in rows])
+    whole = similarity.Scorer(query).scores(texts, least)
+    some = similarity.Scorer(query, 3).scores(texts, least, share, groups)
+    for g in set(groups):
+        mine = [k for k in range(len(rows)) if groups[k] == g and not np.isnan(whole[k])]
+        third = sorted((whole[k] * share[k] for k in mine), reverse=True)[:3][-1] if mine else 0
+        assert all(some[k] == whole[k] for k in mine if whole[k] * share[k] >= third)
+
+
+def test_few_names_are_scored(spark):
+    from quarry.sources.tables import document_files
+
+    named = [r["text"].lower().encode() for r in fuzzy.identifiers(document_files(spark, "/root/testdata/sf0.01")).collect()]
+    for query, least, most, share in (("Lisence", 0.6, 0, 0.2), ("goldnrod", 0.5, 10, 0.1)):
+        scorer = similarity.Scorer(query, most)
+        for at in range(0, len(named), 10_000):
+            part = named[at : at + 10_000]
+            scorer.scores(part, np.full(len(part), least))
+        assert 0 < scorer.scored < share * len(named)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab_19 é\n.-", max_size=20))
+def test_words_are_identifiers(content):
+    assert {w.decode() for w in fuzzy.words_of(content.encode())} - {""} == set(re.findall(fuzzy.IDENTIFIER, content))
 
 
 def test_text_functions(spark):
