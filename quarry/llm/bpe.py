@@ -30,6 +30,8 @@ from quarry.llm.common import map_texts
 
 #: Words of which a worker keeps the ids, in each of two generations; results don't depend on it.
 WORDS = 200_000
+#: Words of more characters are known for one batch only, so that what is kept is bounded in bytes too.
+LONGEST = 64
 #: Texts that are worked on together.
 STEP = 128
 #: Pair tests that a worker keeps: two to the power of this.
@@ -65,6 +67,7 @@ class ByteBPE:
         self.pair_valid = np.zeros(1 << PAIR_BITS, bool)
         self.words: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.long: list[str] = []
         self.edges, self.child, self.entry = self.trie()
 
     def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,6 +243,7 @@ class ByteBPE:
         if len(self.words) + len(words) > WORDS:
             self.words, self.older = {w: self.words[w] for w in words & self.words.keys()}, self.words
         new, split, pieces = words - self.words.keys(), {}, set()
+        self.long = [w for w in new if len(w) > LONGEST]
         for word in new:
             if word in self.older:
                 self.words[word] = self.older[word]
@@ -270,6 +274,9 @@ class ByteBPE:
         open_ = [k for k, p in enumerate(packed) if p is None]
         for k, ids in zip(open_, self.encode_whole([texts[k] or "" for k in open_]), strict=True):
             packed[k] = ids
+        for word in self.long:
+            del self.words[word]
+        self.long = []
         return [np.frombuffer(p, np.int32) for p in packed]
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:

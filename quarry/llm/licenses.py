@@ -1,10 +1,13 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then directory inheritance.
 
 DataFrame operations only. Every line of a file is a possible header; a licence file is also compared
-as a whole, with the same sentences and with full licence texts. Terms are present or not; a term's
-weight falls with the number of templates that have it, and terms of no template weigh most. A line can only reach the threshold if the terms it shares with
-the templates outweigh its others enough; that exact bound leaves few lines to be exploded and joined
-with the sparse template vectors, a table of fixed size.
+as a whole, with the same sentences and with full licence texts. A term that stands n times counts 1 + ln n
+times its weight, which falls with the number of templates that have it; terms of no template weigh most.
+
+The terms that a text shares with a template bound their cosine: without any of the template's heaviest
+terms, as many as make the rest too light, it stays below the threshold however often the others stand. One
+look for the heavy terms of all templates, first in whole texts, then in lines, therefore leaves few lines; only
+those are taken apart, a row for each term, and joined with the sparse template vectors, a table of fixed size.
 
 A file without a licence of its own gets that of the nearest ancestor directory whose licence file has
 one: distinct directories are joined with the licensed ones on each of their ancestor paths, so a
@@ -12,14 +15,18 @@ directory with very many files counts once.
 
 Edge cases: null and empty texts have no licence of their own but may inherit; null paths neither own a
 directory nor inherit; equal scores go to the smaller template name, several licence files in one
-directory to the best score and then the smaller name; repeated rows with one path share the best
-score among them; texts are scanned whole; extra columns aren't read.
+directory to the best score, then the smaller name, then the smaller path; repeated rows with one path
+share the best score among them; texts are scanned whole; extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -50,58 +57,73 @@ def full_texts() -> dict[str, list[str]]:
 
 
 def template_terms(templates: dict[str, list[str]]) -> tuple[list[tuple[str, int, str, float, float]], float]:
-    """(licence, template, term, unit weight, weight) and the weight of a term in no template."""
-    import re
-
-    bags = [(name, k, sorted({t.strip(".") for t in re.split(SPLIT, text.lower())} - {""})) for name, texts in templates.items() for k, text in enumerate(texts)]
-    held: dict[str, int] = {}
-    for _, _, bag in bags:
-        for term in bag:
-            held[term] = held.get(term, 0) + 1
+    """(licence, template, term, its share of the unit vector, weight) and the weight of a term in no template."""
+    split = lambda text: [t for t in (t.strip(".") for t in re.split(SPLIT, text.lower())) if t]
+    bags = [(name, k, Counter(split(text))) for name, texts in templates.items() for k, text in enumerate(texts)]
+    held = Counter(term for _, _, bag in bags for term in bag)
     weight = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in held.items()}
     rows = []
     for name, k, bag in bags:
-        norm = math.sqrt(sum(weight[t] ** 2 for t in bag))
-        rows += [(name, k, t, weight[t] / norm, weight[t]) for t in bag]
+        size = {t: weight[t] * (1 + math.log(n)) for t, n in bag.items()}
+        norm = math.sqrt(sum(x * x for x in size.values()))
+        rows += [(name, k, t, x / norm, weight[t]) for t, x in sorted(size.items())]
     return rows, math.log(1 + len(bags)) + 1
 
 
+def heavy_terms(rows: list[tuple[str, int, str, float, float]], threshold: float) -> set[str]:
+    """Terms one of which a text must have to come up to the threshold with any template."""
+    heavy = set()
+    for _, own in groupby(rows, key=lambda r: r[:2]):
+        shares = sorted(((share, term) for _, _, term, share, _ in own), reverse=True)
+        rest = 1.0
+        for share, term in shares:
+            if rest < (threshold - 1e-5) ** 2:
+                break
+            heavy.add(term)
+            rest -= share * share
+    return heavy
+
+
+def has_any(text: Column, terms: set[str]) -> Column:
+    """Whether a lower-case text may have one of the terms."""
+    return F.regexp_like(text, F.lit("(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in sorted(terms)) + ")(?![a-z0-9])"))
+
+
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(text), SPLIT), lambda t: F.regexp_replace(t, r"^\.+|\.+$", "")), lambda t: t != ""))
+    """The terms of a lower-case text, with repeats."""
+    return F.filter(F.transform(F.split(text, SPLIT), lambda t: F.btrim(t, F.lit("."))), lambda t: t != "")
 
 
 def own_licences(files: DataFrame, path: str, text: str, templates: dict[str, list[str]], threshold: float) -> DataFrame:
     """path, license, score (6 digits) of files that state a licence."""
     whole = F.regexp_like(F.element_at(F.split(path, "/"), -1), F.lit(FILES))
-    named = files.where(F.col(path).isNotNull())
-    lines = F.split(text, "\n")
-    passages = named.select(F.col(path).alias("path"), F.explode(F.when(whole, F.concat(lines, F.array(text))).otherwise(lines)).alias("line"))
+    named = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.lower(text).alias("text"), whole.alias("whole"))
+    lines = F.split("text", "\n")
+    passages = lambda kept: kept.select("path", F.explode(F.when(F.col("whole"), F.concat(lines, F.array("text"))).otherwise(lines)).alias("line"))
+    scores = stated(named, passages, templates, threshold)
     texts = {name: kept for name, kept in full_texts().items() if name in templates}
-    scores = stated(passages, templates, threshold)
     if texts:
-        scores = scores.unionByName(stated(named.where(whole).select(F.col(path).alias("path"), F.col(text).alias("line")), texts, threshold))
+        scores = scores.unionByName(stated(named.where("whole"), lambda kept: kept.select("path", F.col("text").alias("line")), texts, threshold))
     best = scores.groupBy("path").agg(F.max(F.struct("score", rank_down(templates).alias("r"), "license")).alias("m"))
     return best.select("path", F.col("m.license").alias("license"), F.col("m.score").alias("score"))
 
 
-def stated(lines: DataFrame, templates: dict[str, list[str]], threshold: float) -> DataFrame:
-    """path, license, score of lines (path, line) that reach the threshold."""
-    spark = lines.sparkSession
+def stated(files: DataFrame, passages: Callable[[DataFrame], DataFrame], templates: dict[str, list[str]], threshold: float) -> DataFrame:
+    """path, license, score of passages (path, line) of files (path, text in lower case) that reach the threshold."""
+    spark = files.sparkSession
     rows, unknown = template_terms(templates)
     values = ", ".join(f"('{name}', {k}, '{term}', {share!r}D, {weight!r}D)" for name, k, term, share, weight in rows)
     vectors = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, template, term, share, weight)")
-    vocabulary = F.array(*[F.lit(t) for t in sorted({r[2] for r in rows})])
-    found = lines.where(F.regexp_like("line", F.lit("(?i)[a-z0-9]"))).select("path", terms(F.col("line")).alias("terms"))
-    found = found.withColumn("shared", F.size(F.array_intersect("terms", vocabulary)))
-    # Other terms weigh most, shared ones less: with more others than this, the cosine stays below the threshold.
-    found = found.where((F.col("shared") > 0) & (F.size("terms") - F.col("shared") <= F.col("shared") * (1 / threshold**2 - 1)))
-    found = found.select("path", "terms").distinct().withColumn("others", F.size(F.array_except("terms", vocabulary)))
+    heavy = heavy_terms(rows, threshold)
+    lines = passages(files.where(has_any(F.col("text"), heavy))).where(has_any(F.col("line"), heavy))
+    found = lines.withColumn("at", F.md5("line")).dropDuplicates(["path", "at"])  # a line that is repeated scores alike
+    counted = found.select("path", "at", F.explode(terms(F.col("line"))).alias("term")).groupBy("path", "at", "term").agg(F.count(F.lit(1)).alias("n"))
     weights = vectors.select("term", "weight").distinct()
-    listed = found.select("path", "terms", "others", F.explode("terms").alias("term"))
-    norms = listed.join(F.broadcast(weights), "term").groupBy("path", "terms", "others").agg(F.sum(F.col("weight") * F.col("weight")).alias("known"))
-    norms = norms.select("path", "terms", F.sqrt(F.col("known") + F.col("others") * F.lit(unknown * unknown)).alias("norm"), F.explode("terms").alias("term"))
-    dots = norms.join(F.broadcast(vectors), "term").groupBy("path", "terms", "license", "template").agg(F.round(F.sum(F.col("share") * F.col("weight")) / F.first("norm"), 6).alias("score"))
-    return dots.where(F.col("score") >= threshold).select("path", "license", "score")
+    weighed = counted.join(F.broadcast(weights), "term", "left").withColumn("w", (1 + F.log("n")) * F.coalesce("weight", F.lit(unknown)))
+    norms = weighed.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.select("path", "at", "term", "w").join(F.broadcast(vectors), "term").groupBy("path", "at", "license", "template").agg(F.sum(F.col("share") * F.col("w")).alias("dot"))
+    scores = dots.join(norms, ["path", "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    return scores.where(F.col("score") >= threshold).select("path", "license", "score")
 
 
 def rank_down(templates: dict[str, list[str]]) -> Column:
@@ -124,12 +146,13 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", temp
     name = F.element_at(F.split("path", "/"), -1)
     order = rank_down(templates)
     given = own.where(F.regexp_like(name, F.lit(FILES))).select(parent(F.col("path")).alias("dir"), "path", "license", "score")
-    given = given.groupBy("dir").agg(F.max(F.struct("score", order.alias("r"), "license")).alias("g"), F.min("path").alias("license_path"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), (-order).alias("r"), "path", "license")).alias("g")
+    given = given.groupBy("dir").agg(best).select("dir", "g.license", F.col("g.path").alias("license_path"))
     rows = files.select(F.col(path).alias("path")).withColumn("dir", parent(F.col("path")))
     steps = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     climbs = rows.select("dir").where("dir is not null").distinct().select("dir", F.explode(F.array_distinct(ancestors)).alias("up"))
-    nearest = climbs.join(given.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("g.license", "license_path"), F.length("up")).alias("n"))
+    nearest = climbs.join(given.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("license", "license_path"), F.length("up")).alias("n"))
     out = rows.join(own, "path", "left").join(nearest, "dir", "left")
     mine = F.col("license").isNotNull()
     return out.select(

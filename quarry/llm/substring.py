@@ -82,10 +82,24 @@ class Words:
         sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[a] * powers(STEP, size)[: len(a)])])
         back = powers(pow(STEP, -1, 1 << 64), size)
         self.hash = stirred((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(U))
+        self.second = self.second_hash()
         ends = np.cumsum([len(r) + 1 for r in raw])
         self.bounds = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
 
 
+    def second_hash(self) -> np.ndarray:
+        """Hashes of the words that tell nothing of the first: eight bytes at a time, each mixed with its place in the word."""
+        size = self.end - self.start
+        count = (size + 7) >> 3
+        first = np.cumsum(count) - count
+        step = np.arange(int(count.sum())) - np.repeat(first, count)
+        eight = np.ndarray(len(self.data) + 1, "<u8", self.data + b"\0" * 8, strides=(1,))
+        left = np.minimum(np.repeat(size, count) - 8 * step, 8).astype(U)
+        part = eight[np.repeat(self.start, count) + 8 * step] & (~U(0) >> (U(64) - U(8) * left))
+        mixed = stirred(stirred(part ^ U(0xC2B2AE3D27D4EB4F)) + stirred(step.astype(U) + U(0x165667B19E3779F9)))
+        return stirred(np.add.reduceat(mixed, first) + size.astype(U)) if len(size) else np.empty(0, U)
+
+
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all windows of length words, by doubling."""
     n, now = 1, words
@@ -113,9 +127,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def second_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all windows that tell nothing of window_hashes()."""
-    return window_hashes(stirred(words ^ U(0xA5A5A5A55A5A5A5A)), length)
+def second_hashes(words: Words, length: int) -> np.ndarray:
+    """Hashes of all windows from the second ones of their words: equal by chance apart from the first."""
+    return window_hashes(words.second, length)
 
 
 class Spans:
@@ -189,7 +203,7 @@ def first_level(rows: DataFrame, length: int) -> DataFrame:
                 spans = Spans(words, length)
                 k1 = part.column(1).to_numpy()[spans.text]
                 place = (spans.first - words.bounds[spans.text]).astype(np.int32)
-                other = spans.joined_ends(second_hashes(words.hash, length))
+                other = spans.joined_ends(second_hashes(words, length))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(spans.short[spans.at])), *spans.doubled(), pa.array(signed(spans.whole)), pa.array(signed(other)), pa.array(k1), pa.array(place)], names=["h", "before", "after", "g", "g2", "k1", "place"]
                 )
@@ -237,7 +251,7 @@ def third_level(rows: DataFrame, length: int) -> DataFrame:
                 many = spans.last[pick] - spans.first[pick] + 1
                 where = np.repeat(spans.first[pick] - np.cumsum(many) + many, many) + np.arange(many.sum())
                 span = np.repeat(pick, many)
-                other = second_hashes(words.hash, length)[where]
+                other = second_hashes(words, length)[where]
                 text = spans.text[span]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(spans.full[where])), pa.array((other >> U(33)).astype(np.int32)), pa.array(part.column(1).to_numpy()[text]), pa.array((where - words.bounds[text]).astype(np.int32)), pa.array(status[span] == OPEN)],
@@ -301,8 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
 
     With as_is, the text of a row that loses no word is the one given, white space included."""
     spark = docs.sparkSession
-    carried = docs.select("*", F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(also or [])]).alias("__also"))
-    rows = keyed(carried, key, text, F.col("__also").alias("also"))
+    rows = keyed(docs, key, text, F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(also or [])]).alias("also"))
     texts, _ = stored(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     spans, spans_at = stored(first_level(rows, length))
     met = spans.join(unplaced(repeated_longs(spans, "h"), "h"), "h")

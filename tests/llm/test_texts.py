@@ -406,14 +406,14 @@ def test_licences(spark):
 
 
 def cosines_by_hand(passage, templates):
-    """Cosine of a passage to each template, from sets of terms."""
+    """Cosine of a passage to each template, from counts of terms."""
     import math
     from collections import Counter
 
     bag_of = lambda text: Counter(t.strip(".") for t in re.split("[^a-z0-9.]+", text.lower()) if t.strip("."))
     bags = {(name, k): bag_of(text) for name, texts in templates.items() for k, text in enumerate(texts)}
     weight = lambda t: math.log((1 + len(bags)) / (1 + sum(t in b for b in bags.values()))) + 1
-    vector = lambda bag: {t: weight(t) for t in bag}  # noqa: E731  (present or not)
+    vector = lambda bag: {t: weight(t) * (1 + math.log(n)) for t, n in bag.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     own = vector(bag_of(passage))
     return {name: sum(own.get(t, 0) * x for t, x in v.items()) / (norm(own) * norm(v)) for name, v in ((n, vector(b)) for n, b in bags.items())} if own else {}
@@ -437,6 +437,73 @@ def test_licence_scores_equal_cosines(spark):
     assert near > 5
 
 
+def test_several_licence_files_in_one_directory(spark):
+    rows = [
+        ("b/COPYING", "Released under the MIT License anyway"), ("b/LICENSE", "Licensed under the Apache License, Version 2.0"), ("b/x.py", "code"),
+        ("c/LICENSE", "Released under the MIT License"), ("c/COPYING", "Released under the MIT License"), ("c/d/x.py", None), ("c/license.txt", "SPDX-License-Identifier: MPL-2.0"),
+    ]
+    found = {r["path"]: (r["license"], r["license_path"], r["score"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert 0.7 <= found["b/COPYING"][2] < found["b/LICENSE"][2]
+    assert found["b/x.py"][:2] == ("Apache-2.0", "b/LICENSE") and found["c/d/x.py"][:2] == ("MIT", "c/COPYING")
+
+
+def test_heavy_terms_bound_the_cosine():
+    for templates in (licenses.TEMPLATES, licenses.full_texts()):
+        rows, _ = licenses.template_terms(templates)
+        heavy = licenses.heavy_terms(rows, licenses.THRESHOLD)
+        rest = {}
+        for name, k, term, share, _ in rows:
+            rest[name, k] = rest.get((name, k), 0) + share**2 * (term not in heavy)
+        assert all(x < licenses.THRESHOLD**2 for x in rest.values()) and len(heavy) < len({r[2] for r in rows})
+
+
+def test_inheritance_of_the_registered_query(spark):
+    """Origin, licence and path of every row of op4 against a walk up its directories."""
+    found = [tuple(r) for r in queries.op4_license_scans(spark, "/root/testdata/sf0.1").select("path", "license", "score", "origin", "license_path").collect()]
+    files = {}
+    for path, name, score, origin, at in found:
+        if origin == "own":
+            assert at == path
+            folder, _, last = path.rpartition("/")
+            if re.match(licenses.FILES, last):
+                files[folder] = min(files.get(folder, (0, "~", "~")), (-score, name, path))
+    inherited = 0
+    for path, name, score, origin, at in found:
+        if origin != "own":
+            folder = path.rpartition("/")[0]
+            while folder and folder not in files:
+                folder = folder.rpartition("/")[0]
+            _, want, given = files.get(folder, (0, None, None))
+            assert (name, at, score, origin) == (want, given, None, "inherited" if want else None)
+            inherited += want is not None
+    assert inherited
+
+
+def test_words_that_one_polynomial_takes_for_equal(spark):
+    """Thue-Morse words and their complements agree in any polynomial hash of whole machine words."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{word} {tail}", "x"), (2, f"{other} {tail}", "y")], "doc_id long, text string, __also string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(docs).collect()) == [(1, 0), (2, 0)]
+    one = substring.Words([f"{word} {other} {word}", "", " x "])
+    assert one.second[0] == one.second[2] != one.second[1]
+    words = substring.Words(["a", "a\n", "abcdefgh abcdefghi hgfedcba", "éa a\0 a"])
+    assert len(words.second) == 8 and len(set(words.second.tolist())) == 6
+
+
+def test_long_words_are_not_kept():
+    rnd = random.Random(1)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.ByteBPE(PATH, public_tokenizers.PATTERN, True)
+    texts = ["x " + "".join(rnd.choice("abcdef0123") for _ in range(3000)) + f" short{k}" for k in range(40)]
+    known = [exact.encode_ordinary(t) for t in texts]
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == known
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == known
+    assert encoder.words and all(len(w) <= bpe.LONGEST for w in [*encoder.words, *encoder.older])
+
+
 def test_op2_over_a_table(spark):
     tokens = [base64.b64decode(line.split()[0]) for line in open(PATH, "rb")]
     initial, inner = {t[1:] for t in tokens if t[:1] == b" " and len(t) > 1 and b" " not in t[1:]}, {t for t in tokens if t == t.strip()}
