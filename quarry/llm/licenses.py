@@ -6,8 +6,9 @@ times its weight, which falls with the number of templates that have it; terms o
 
 The terms that a text shares with a template bound their cosine: without any of the template's heaviest
 terms, as many as make the rest too light, it stays below the threshold however often the others stand. One
-look for the heavy terms of all templates, first in whole texts, then in lines, therefore leaves few lines; only
-those are taken apart, a row for each term, and joined with the sparse template vectors, a table of fixed size.
+look for the heavy terms of all templates, first in whole texts, then in lines, and then the bound itself,
+therefore leave few lines; only those are taken apart, a row for each term, and joined with the sparse template
+vectors, a table of fixed size.
 
 A file without a licence of its own gets that of the nearest ancestor directory whose licence file has
 one: distinct directories are joined with the licensed ones on each of their ancestor paths, so a
@@ -29,9 +30,11 @@ from functools import lru_cache
 from itertools import groupby
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import stored
+
 #: How files state the common licences.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
@@ -49,6 +52,8 @@ FILES = r"(?i)^(licen[cs]e|copying|unlicense)(\.(txt|md|rst))?$"
 TEXTS = Path(__file__).parent / "license_texts"
 SPLIT = "[^a-z0-9.]+"
 THRESHOLD = 0.7
+#: Templates of so many terms in all are bounded term by term too, before a line is taken apart.
+FEW = 500
 
 
 @lru_cache(maxsize=1)
@@ -70,13 +75,17 @@ def template_terms(templates: dict[str, list[str]]) -> tuple[list[tuple[str, int
     return rows, math.log(1 + len(bags)) + 1
 
 
+#: Words that most texts have: looked for only where a template's other terms don't weigh enough.
+COMMON = {"a", "and", "be", "by", "can", "file", "found", "in", "is", "of", "or", "that", "the", "this", "to", "under", "use", "work"}
+
+
 def heavy_terms(rows: list[tuple[str, int, str, float, float]], threshold: float) -> set[str]:
     """Terms one of which a text must have to come up to the threshold with any template."""
     heavy = set()
     for _, own in groupby(rows, key=lambda r: r[:2]):
-        shares = sorted(((share, term) for _, _, term, share, _ in own), reverse=True)
+        shares = sorted((term in COMMON, -share, term) for _, _, term, share, _ in own)
         rest = 1.0
-        for share, term in shares:
+        for _, share, term in shares:
             if rest < (threshold - 1e-5) ** 2:
                 break
             heavy.add(term)
@@ -89,6 +98,12 @@ def has_any(text: Column, terms: set[str]) -> Column:
     return F.regexp_like(text, F.lit("(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in sorted(terms)) + ")(?![a-z0-9])"))
 
 
+def may_reach(text: Column, rows: list[tuple[str, int, str, float, float]], threshold: float) -> Column:
+    """Whether the terms that a text may have are heavy enough for some template: their shares bound the cosine."""
+    bounds = [sum((F.when(F.contains(text, F.lit(term)), share * share).otherwise(0.0) for _, _, term, share, _ in own), F.lit(1e-5)) for _, own in groupby(rows, key=lambda r: r[:2])]
+    return F.greatest(*bounds, F.lit(0.0)) >= threshold**2
+
+
 def terms(text: Column) -> Column:
     """The terms of a lower-case text, with repeats."""
     return F.filter(F.transform(F.split(text, SPLIT), lambda t: F.btrim(t, F.lit("."))), lambda t: t != "")
@@ -116,13 +131,15 @@ def stated(files: DataFrame, passages: Callable[[DataFrame], DataFrame], templat
     vectors = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, template, term, share, weight)")
     heavy = heavy_terms(rows, threshold)
     lines = passages(files.where(has_any(F.col("text"), heavy))).where(has_any(F.col("line"), heavy))
+    if len(rows) <= FEW:
+        lines = lines.where(may_reach(F.col("line"), rows, threshold))
     found = lines.withColumn("at", F.md5("line")).dropDuplicates(["path", "at"])  # a line that is repeated scores alike
     counted = found.select("path", "at", F.explode(terms(F.col("line"))).alias("term")).groupBy("path", "at", "term").agg(F.count(F.lit(1)).alias("n"))
     weights = vectors.select("term", "weight").distinct()
     weighed = counted.join(F.broadcast(weights), "term", "left").withColumn("w", (1 + F.log("n")) * F.coalesce("weight", F.lit(unknown)))
-    norms = weighed.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.select("path", "at", "term", "w").join(F.broadcast(vectors), "term").groupBy("path", "at", "license", "template").agg(F.sum(F.col("share") * F.col("w")).alias("dot"))
-    scores = dots.join(norms, ["path", "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    sized = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("path", "at"))))
+    dots = sized.join(F.broadcast(vectors.drop("weight")), "term").groupBy("path", "at", "license", "template")
+    scores = dots.agg(F.round(F.sum(F.col("share") * F.col("w")) / F.first("norm"), 6).alias("score"))
     return scores.where(F.col("score") >= threshold).select("path", "license", "score")
 
 
@@ -142,7 +159,7 @@ def parent(path: Column) -> Column:
 
 def scan_licences(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """path, license, score, origin ('own', 'inherited' or null), license_path: one row for each row of files."""
-    own = own_licences(files, path, text, templates, threshold)
+    own, _ = stored(own_licences(files, path, text, templates, threshold))  # joined twice, and small
     name = F.element_at(F.split("path", "/"), -1)
     order = rank_down(templates)
     given = own.where(F.regexp_like(name, F.lit(FILES))).select(parent(F.col("path")).alias("dir"), "path", "license", "score")
