@@ -45,7 +45,7 @@ def search_history(spark: SparkSession, config: HistoryConfig, strict: bool = Fa
             warnings.warn(f"{root} is in no repository; its history is ignored", stacklevel=2)
             part = search(spark, SearchConfig(config.query, (root,), config.is_regex, config.ignore_case, config.context, config.extensions, config.include, config.exclude))
         else:
-            commits, changed = gitlog.read_history(spark, repo)
+            commits, changed = gitlog.read_history(spark, repo, since=config.since, author=config.author)
             chosen = history.filter_commits(commits, config.since, config.author)
             if config.commit_message:
                 part = lines.find_in_messages(chosen, pattern)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -337,6 +340,25 @@ def export_csv_folder(spark, sf_dir):
     return spark.read.schema(MATCH).option("header", True).option("escape", '"').option("multiLine", True).csv(at)
 
 
+@query(sql_matches(CHAT_LINES, "contains(line, 'the')", "'the'"))
+def export_json_document(spark, sf_dir):
+    """Matches written as one JSON document by the tasks that have them, and read back."""
+    folder = mounted(new_folder(spark, "json"))
+    os.makedirs(folder)
+    sinks.write_json(lines.find_matches(chat_files(spark, sf_dir), compile_pattern("the")), f"{folder}/matches.json", "the")
+    read = spark.read.schema(f"matches array<struct<{MATCH}>>").option("multiLine", True).json(f"{folder}/matches.json")
+    return read.select(F.inline("matches"))
+
+
+@query(sql_matches(DOC_LINES, "contains(line, 'License')", "'License'"))
+def export_csv_document(spark, sf_dir):
+    """The same as one CSV file."""
+    folder = mounted(new_folder(spark, "csv"))
+    os.makedirs(folder)
+    sinks.write_csv(lines.find_matches(document_files(spark, sf_dir), compile_pattern("License")), f"{folder}/matches.csv")
+    return spark.read.schema(MATCH).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/matches.csv")
+
+
 @query(sql_matches(CHAT_LINES, "contains(line, 'the')", "'the'"))
 def export_json_folder(spark, sf_dir):
     """Matches written as JSON lines and read back."""
@@ -512,6 +534,29 @@ def git_range(spark, sf_dir):
 SALES = "(SELECT (c_custkey // 500)::VARCHAR AS repo, c_custkey, c_name, lower(c_mktsegment) AS segment, lower(c_mktsegment) || '/' || c_custkey || '.txt' AS path FROM customer)"
 
 
+def write_repositories(commits: DataFrame, root: str) -> list[str]:
+    """Make a git repository below root, a mounted folder, of each value of repo, where its rows are.
+
+    commits: repo, seq (order), author_name, author_email, author_when, message, path, content: each row is a
+    commit of one file. A repository's history must fit in a task. Returns the folders."""
+
+    def made(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq").to_pylist()
+        folder = os.path.join(root, rows[0]["repo"])
+        os.makedirs(folder)
+        stream = []
+        for r in rows:
+            who = f"{r['author_name']} <{r['author_email']}> {r['at']} +0000"
+            message, content = r["message"].encode(), r["content"].encode()
+            stream += [f"commit refs/heads/main\nauthor {who}\ncommitter {who}\ndata {len(message)}\n".encode(), message, f"\nM 100644 inline {r['path']}\ndata {len(content)}\n".encode(), content, b"\n"]
+        for args, given in ((("init", "-q"), b""), (("fast-import", "--quiet"), b"".join(stream)), (("symbolic-ref", "HEAD", "refs/heads/main"), b""), (("reset", "-q", "--hard"), b"")):
+            subprocess.run(["git", "-C", folder, *args], input=given, check=True, capture_output=True)
+        return pa.table({"folder": [folder]})
+
+    timed = commits.withColumn("at", F.unix_timestamp("author_when"))
+    return sorted(r["folder"] for r in timed.groupBy("repo").applyInArrow(made, "folder string").collect())
+
+
 def customer_repositories(spark, sf_dir) -> list[str]:
     """Git repositories of 500 customers each, one commit and one file for each customer."""
     c = table(spark, sf_dir, "customer").withColumn("segment", F.lower("c_mktsegment"))
@@ -521,7 +566,7 @@ def customer_repositories(spark, sf_dir) -> list[str]:
         F.timestamp_seconds(F.col("c_custkey") * 3600 + 800_000_000).alias("author_when"), F.concat(F.lit("add "), "segment", F.lit("\n\nfor "), "c_name").alias("message"),
         F.concat("segment", F.lit("/"), key, F.lit(".txt")).alias("path"), F.concat(F.lit("name\n"), "c_name", F.lit("\r\n")).alias("content"),
     )
-    return gitlog.write_repositories(made, mounted(new_folder(spark, "git")))
+    return write_repositories(made, mounted(new_folder(spark, "git")))
 
 
 @query(f"SELECT repo, c_name AS author_name, segment || '@example.com' AS author_email, c_custkey * 3600 + 800000000 AS seconds, 'add ' || segment AS subject, path FROM {SALES}")
@@ -532,6 +577,15 @@ def git_source_log(spark, sf_dir):
     return both.select(F.element_at(F.split("repo", "/"), -1).alias("repo"), "author_name", "author_email", F.unix_timestamp("author_when").alias("seconds"), F.element_at(F.split("message", "\n"), 1).alias("subject"), "path")
 
 
+@query(f"SELECT repo, c_name AS author_name, path FROM {SALES} WHERE segment = 'building' AND c_custkey * 3600 + 800000000 >= 800090000")
+def git_source_slices(spark, sf_dir):
+    """The same histories, each read by several tasks, for one author and since a time, both known to the source."""
+    since = datetime(1995, 5, 10, 9)
+    commits, changed = gitlog.read_history(spark, *customer_repositories(spark, sf_dir), since=since, author="building@", slice_size=50)
+    chosen = history.filter_commits(commits, F.timestamp_seconds(F.lit(800_090_000)), "building@")
+    return chosen.join(changed, ["repo", "hash"]).select(F.element_at(F.split("repo", "/"), -1).alias("repo"), "author_name", "path")
+
+
 @query(f"SELECT path AS file_path, 2 AS line_number, c_name AS line_content, 'Customer#0' AS match_text FROM {SALES} WHERE segment = 'building'")
 def git_source_search(spark, sf_dir):
     """A search of the files that one author's commits changed, in the repositories' working trees."""

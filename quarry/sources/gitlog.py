@@ -1,19 +1,22 @@
 """Commits of a git repository and the files they changed, as tables.
 
-Repositories are read by the git program, one partition for each repository (they must be reachable
-from the executors); output is streamed, not held.
+Repositories are read by the git program (they must be reachable from the executors); output is streamed,
+not held. The driver lists the hashes of a repository once, twenty bytes each, and cuts them into slices;
+every slice is a partition whose task asks for its commits, or for what they changed, by hash. One long
+history is so read by many tasks, and refs that move meanwhile change nothing. Conditions on date and
+author are applied to that list, so that the slices hold little else than commits that are asked for.
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
+import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.schemas import COMMIT, COMMIT_FILE
@@ -32,34 +35,54 @@ def find_repository(path: str) -> str | None:
     return at
 
 
-def git(repo: str, *args: str, end: str = "\n") -> Iterator[str]:
+def git(repo: str, *args: str, end: str = "\n", given: bytes = b"") -> Iterator[str]:
     """Records of a git command's output."""
-    with subprocess.Popen(["git", "-C", repo, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
-        rest = b""
-        while chunk := run.stdout.read(1 << 16):
-            *done, rest = (rest + chunk).split(end.encode())
-            for record in done:
-                yield record.decode("utf-8", "replace")
-        if rest:
-            yield rest.decode("utf-8", "replace")
-        if run.wait():
-            raise ValueError(f"git {args[0]} failed in {repo}: {run.stderr.read().decode(errors='replace').strip()}")
-
-
-def commits_of(repo: str) -> Iterator[tuple]:
-    """All refs' commits, with the author's date."""
+    with tempfile.TemporaryFile() as source:
+        source.write(given)
+        source.seek(0)
+        with subprocess.Popen(["git", "-C", repo, *args], stdin=source, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
+            rest = b""
+            while chunk := run.stdout.read(1 << 16):
+                *done, rest = (rest + chunk).split(end.encode())
+                for record in done:
+                    yield record.decode("utf-8", "replace")
+            if rest:
+                yield rest.decode("utf-8", "replace")
+            if run.wait():
+                raise ValueError(f"git {args[0]} failed in {repo}: {run.stderr.read().decode(errors='replace').strip()}")
+
+
+#: Commits of one partition.
+SLICE = 2000
+
+
+def hashes(repo: str, since: float | None = None, author: str = "") -> Iterator[bytes]:
+    """All refs' commits, each once, as raw hashes; with since (seconds) or author, those that fit, by the author's date and name or address."""
+    for record in git(repo, "log", "--all", f"--format=%H{UNIT}%at{UNIT}%an{UNIT}%ae"):
+        h, when, name, mail = record.split(UNIT)
+        if (since is None or int(when) >= since) and (not author or author.lower() in name.lower() or author.lower() in mail.lower()):
+            yield bytes.fromhex(h)
+
+
+def asked(chosen: bytes, width: int) -> bytes:
+    """Raw hashes of width bytes as lines for git."""
+    return b"".join(chosen[k : k + width].hex().encode() + b"\n" for k in range(0, len(chosen), width))
+
+
+def commits_of(repo: str, chosen: bytes) -> Iterator[tuple]:
+    """The commits named (lines of hashes), with the author's date."""
     form = UNIT.join(("%H", "%an", "%ae", "%at", "%P", "%B")) + END
-    for record in git(repo, "log", "--all", f"--format={form}", end=END):
+    for record in git(repo, "log", "--no-walk=unsorted", "--stdin", f"--format={form}", end=END, given=chosen):
         parts = record.lstrip("\n").split(UNIT)
         if len(parts) == 6:
             h, name, mail, when, parents, message = parts
             yield repo, h, name, mail, datetime.fromtimestamp(int(when), timezone.utc), message, parents.split(" ")[0] or None
 
 
-def commit_files_of(repo: str) -> Iterator[tuple]:
+def commit_files_of(repo: str, chosen: bytes) -> Iterator[tuple]:
     """(repo, hash, path): what each commit changed against its first parent; everything for a root commit."""
     form = f"--format={END}%H"
-    for record in git(repo, "-c", "core.quotepath=off", "log", "--all", "--root", "--no-renames", "--diff-merges=first-parent", "--name-only", form, end=END):
+    for record in git(repo, "-c", "core.quotepath=off", "log", "--no-walk=unsorted", "--stdin", "--root", "--no-renames", "--diff-merges=first-parent", "--name-only", form, end=END, given=chosen):
         h, *paths = record.strip("\n").split("\n")
         for path in filter(None, paths):
             yield repo, h, path
@@ -71,27 +94,46 @@ def range_paths(repo: str, span: str) -> Iterator[str]:
     return (p for p in git(repo, "-c", "core.quotepath=off", "diff", "--name-only", "--no-renames", first, last or "HEAD") if p)
 
 
-class Repository(InputPartition):
-    def __init__(self, repo: str):
-        self.repo = repo
+@dataclass
+class Slice(InputPartition):
+    """Commits of a repository, as raw hashes of width bytes."""
+
+    repo: str
+    chosen: bytes
+    width: int
 
 
 class HistoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.repos, self.table, self.span = options["repos"].split("\n"), options.get("table", "commits"), options.get("span", "")
+        self.since, self.author, self.size = options.get("since", ""), options.get("author", ""), int(options.get("slice", SLICE))
 
-    def partitions(self) -> list[Repository]:
-        return [Repository(r) for r in self.repos]
-
-    def read(self, partition: Repository) -> Iterator[tuple]:
+    def partitions(self) -> list[Slice]:
+        if self.table == "range":
+            return [Slice(r, b"", 0) for r in self.repos]
+        slices = []
+        for repo in self.repos:
+            some: list[bytes] = []
+            for h in hashes(repo, float(self.since) if self.since else None, self.author):
+                some.append(h)
+                if len(some) == self.size:
+                    slices.append(Slice(repo, b"".join(some), len(h)))
+                    some = []
+            if some:
+                slices.append(Slice(repo, b"".join(some), len(some[0])))
+        return slices or [Slice(self.repos[0], b"", 0)]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
         if self.table == "range":
             return ((partition.repo, None, p) for p in range_paths(partition.repo, self.span))
-        return commit_files_of(partition.repo) if self.table == "files" else commits_of(partition.repo)
+        if not partition.chosen:
+            return iter(())
+        return (commit_files_of if self.table == "files" else commits_of)(partition.repo, asked(partition.chosen, partition.width))
 
 
 class HistorySource(DataSource):
     """spark.read.format("gitlog").option("repos", newline-separated folders).option("table", "commits", "files" or,
-    with option span, "range"): what differs between two commits, with null hashes."""
+    with option span, "range"): what differs between two commits, with null hashes. Options since (seconds), author and slice (commits of a partition)."""
 
     @classmethod
     def name(cls) -> str:
@@ -104,10 +146,12 @@ class HistorySource(DataSource):
         return HistoryReader(self.options)
 
 
-def read_history(spark: SparkSession, *repos: str) -> tuple[DataFrame, DataFrame]:
-    """commits and commit_files of the repositories."""
+def read_history(spark: SparkSession, *repos: str, since: datetime | None = None, author: str = "", slice_size: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """commits and commit_files of the repositories. With since and author, only of commits that may fit them: the exact test
+    stays with filter_commits(), which knows the session's time zone."""
     spark.dataSource.register(HistorySource)
-    reader = spark.read.format("gitlog").option("repos", "\n".join(repos))
+    early = since.timestamp() - 2 * 86400 if since else ""
+    reader = spark.read.format("gitlog").options(repos="\n".join(repos), since=str(early), author=author if author.isascii() else "", slice=str(slice_size))
     return reader.load(), reader.option("table", "files").load()
 
 
@@ -115,26 +159,3 @@ def read_range(spark: SparkSession, repo: str, span: str) -> DataFrame:
     """repo, hash (null), path: what differs between two commits."""
     spark.dataSource.register(HistorySource)
     return spark.read.format("gitlog").option("repos", repo).option("table", "range").option("span", span).load()
-
-
-def write_repositories(commits: DataFrame, root: str) -> list[str]:
-    """Make a git repository below root, a mounted folder, of each value of repo, where its rows are.
-
-    commits: repo, seq (order), author_name, author_email, author_when, message, path, content: each row is a
-    commit of one file. A repository's history must fit in a task. Returns the folders."""
-
-    def made(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("seq").to_pylist()
-        folder = os.path.join(root, rows[0]["repo"])
-        os.makedirs(folder)
-        stream = []
-        for r in rows:
-            who = f"{r['author_name']} <{r['author_email']}> {r['at']} +0000"
-            message, content = r["message"].encode(), r["content"].encode()
-            stream += [f"commit refs/heads/main\nauthor {who}\ncommitter {who}\ndata {len(message)}\n".encode(), message, f"\nM 100644 inline {r['path']}\ndata {len(content)}\n".encode(), content, b"\n"]
-        for args, given in ((("init", "-q"), b""), (("fast-import", "--quiet"), b"".join(stream)), (("symbolic-ref", "HEAD", "refs/heads/main"), b""), (("reset", "-q", "--hard"), b"")):
-            subprocess.run(["git", "-C", folder, *args], input=given, check=True, capture_output=True)
-        return pa.table({"folder": [folder]})
-
-    timed = commits.withColumn("at", F.unix_timestamp("author_when"))
-    return sorted(r["folder"] for r in timed.groupBy("repo").applyInArrow(made, "folder string").collect())

@@ -373,6 +373,17 @@ def test_history(spark, repository):
     assert [(len(r["file_path"]), r["line_number"], r["line_content"], r["match_text"]) for r in message] == [(8, 0, "fix: func a", "func")]
 
 
+def test_a_history_is_cut_into_slices(spark, repository):
+    whole, changed = gitlog.read_history(spark, str(repository))
+    commits, files_ = gitlog.read_history(spark, str(repository), slice_size=2)
+    assert commits.rdd.getNumPartitions() == files_.rdd.getNumPartitions() == 3
+    assert sorted(map(str, commits.collect())) == sorted(map(str, whole.collect())) and sorted(map(str, files_.collect())) == sorted(map(str, changed.collect()))
+    some, theirs = gitlog.read_history(spark, str(repository), since=datetime(2024, 2, 20), author="ann")
+    assert sorted(r["message"].strip() for r in some.collect()) == ["join", "second"] and {r["path"] for r in theirs.collect()} == {"sub/b.go", "é.go", "side.go"}
+    none, nothing = gitlog.read_history(spark, str(repository), author="nobody")
+    assert none.count() == nothing.count() == 0
+
+
 def test_search_outside_a_repository(spark, folder):
     with pytest.warns(UserWarning):
         assert plans.search(spark, HistoryConfig("func", (str(folder),), author="x")).count() > 0
@@ -438,6 +449,36 @@ def test_exports(spark, tmp_path):
     assert sinks.envelope(none).first()["total_count"] == 0
 
 
+def lines_of_json(rows, query, is_regex):
+    body = ",".join("\n    " + json.dumps(r.asDict(), indent=2, ensure_ascii=False).replace("\n", "\n    ") for r in rows)
+    return f'{{\n  "matches": [{body}' + ("\n  " if rows else "") + f'],\n  "total_count": {len(rows)},\n  "query": {json.dumps(query)},\n  "is_regex": {json.dumps(is_regex)}\n}}\n'
+
+
+def test_tasks_write_one_document(spark, tmp_path):
+    made = spark.range(0, 1000, 1, 7).select(F.concat(F.lit("f"), F.col("id") % 3).alias("file_path"), F.col("id").cast("int").alias("line_number"), F.lit('é "x",\ty').alias("line_content"), F.when(F.col("id") % 2 == 0, "x").alias("match_text"))
+    rows = made.collect()
+    assert sinks.write_json(made.where("line_number < 150 or line_number > 900"), str(tmp_path / "a.json"), "q\n", True) == 249  # some parts are empty
+    assert (tmp_path / "a.json").read_text() == lines_of_json([r for r in rows if r["line_number"] < 150 or r["line_number"] > 900], "q\n", True)
+    assert sinks.write_csv(made, str(tmp_path / "a.csv")) == 1000
+    assert (tmp_path / "a.csv").read_text().count("\n") == 1001
+    failing = made.withColumn("line_number", F.when(F.col("line_number") == 900, F.raise_error(F.lit("stop"))).otherwise(F.col("line_number")))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_json(failing, str(tmp_path / "b.json"))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a.csv", "a.json"]
+
+
+def test_exports_run_the_plan_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", k, "x", "x") for k in range(10)], MATCH).mapInArrow(look, MATCH)
+    assert sinks.write_json(rows, str(tmp_path / "a.json")) == 10 and seen.value == 10
+
+
 def test_command_line(spark, folder, capsys, tmp_path):
     assert cli.main(["search", "func", str(folder), "--extensions", ".go", "--json", str(tmp_path / "o.json")]) == 0
     assert json.loads((tmp_path / "o.json").read_text())["total_count"] == 3
