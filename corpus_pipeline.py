@@ -16,13 +16,21 @@ from quarry.llm.common import bucket_of, release, stored
 from quarry.llm.queries import VOCABULARY
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of docs has."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters are rejected. Rows keep their lang, a
     null lang is filled with the prediction."""
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 3) == 1, F.lit(False))
     model = langid.fit(docs.where(~held_out))
-    known = langid.identify(docs, model, lang="__lang", score="__score").where(F.col("__lang") != langid.UNKNOWN)
-    return known.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    found, score = unused(docs, "found"), unused(docs, "score")
+    known = langid.identify(docs, model, lang=found, score=score).where(F.col(found) != langid.UNKNOWN)
+    return known.select(*[F.coalesce("lang", found).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash.near_duplicates(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2"))
     own = lambda column: F.coalesce(column, F.lit(substring.NO_ID))
-    kept = groups.groupBy("root").agg(least.alias("k")).select(own(F.col("k.doc_id")).alias("__i"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
+    i, a, b, n = by = [unused(docs, name) for name in ("i", "a", "b", "n")]
+    by = by[:3]
+    kept = groups.groupBy("root").agg(least.alias("k")).select(own(F.col("k.doc_id")).alias(i), F.col("k.t1").alias(a), F.col("k.t2").alias(b))
     t1, t2 = simhash.text_marks(F.col("text"))
-    by = ["__i", "__t1", "__t2"]
-    met = docs.withColumn("__i", own(F.col("doc_id"))).withColumn("__t1", t1).withColumn("__t2", t2).join(kept, by)
+    met = docs.withColumn(i, own(F.col("doc_id"))).withColumn(a, t1).withColumn(b, t2).join(kept, by)
     one = Window.partitionBy(*by).orderBy(*docs.columns)
-    return met.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    return met.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +64,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether decoding these gives back the text."""
     path = public_tokenizers.path(VOCABULARY)
-    plain = bpe.round_trip(docs, path, public_tokenizers.PATTERN, data="__decoded", spaced=True)
-    exact = F.col("__decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    plain = bpe.round_trip(docs, path, public_tokenizers.PATTERN, data=(held := unused(docs, "decoded")), spaced=True)
+    exact = F.col(held) == F.coalesce("text", F.lit("")).cast("binary")
     return plain.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"))
 
 

@@ -275,10 +275,20 @@ def search_regex_repeated_groups(spark, sf_dir):
     return lines.find_matches(docs.unionByName(long), compile_pattern(r"(?i)\b(?:the |of |la |Les? ){2,}", True))
 
 
+CR_LINES = sql_lines(f"(SELECT {DOC_PATH} AS path, replace(text, chr(10), chr(13) || chr(10)) AS content FROM documents)")
+
+
+@query(sql_regex(CR_LINES, r"[[.]e?.$"))
+def search_carriage_returns(spark, sf_dir):
+    """A dot matches a carriage return, and the end of a line lies behind it; a bracket stands for itself inside a class."""
+    docs = document_files(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\r\n")))
+    return lines.find_matches(docs, compile_pattern(r"[[.]e?.$", True))
+
+
 #: Patterns that regex engines read differently.
 DIALECT = {
     "negated_posix": r"[[:^alpha:]]{6}", "posix_in_class": r"[[:digit:]x-z]{3}", "quoted": r"\Q|\E \w", "hex": r"\x{41}\x6e", "octal": r"\101n", "named": r"(?P<first>[A-Z]\w+) de\b",
-    "one_letter_class": r"\pL{18}", "script": r"\p{Latin}{18}", "negated_class": r"[^\S]é", "no_edge": r"\Bß", "scoped_flag": r"(?i:LICENSE)d", "late_flag": r"ense(?i)D U", "braces": r"x{,3}|d{2,}", "end": r"\.$", "bracket_first": r"[]|]", "vertical_tab": r"\v|\|", "dot_all": r"(?s)L.cense", "lazy": r"L\w+?d",
+    "one_letter_class": r"\pL{18}", "script": r"\p{Latin}{18}", "negated_class": r"[^\S]é", "no_edge": r"\Bß", "scoped_flag": r"(?i:LICENSE)d", "late_flag": r"ense(?i)D U", "braces": r"x{,3}|d{2,}", "end": r"\.$", "bracket_first": r"[]|]", "vertical_tab": r"\v|\|", "dot_all": r"(?s)L.cense", "lazy": r"L\w+?d", "ampersands": r"[a&&e]{3}", "ungreedy": r"(?U)L\w+d",
 }
 
 
@@ -586,6 +596,13 @@ def git_source_slices(spark, sf_dir):
     return chosen.join(changed, ["repo", "hash"]).select(F.element_at(F.split("repo", "/"), -1).alias("repo"), "author_name", "path")
 
 
+@query(f"SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY c_custkey DESC) AS n FROM {SALES}) WHERE n <= 10 AND repo = '0'")
+def git_source_range(spark, sf_dir):
+    """What the last ten commits of a repository changed, by the git program's own comparison of two commits."""
+    repo = customer_repositories(spark, sf_dir)[0]
+    return gitlog.read_range(spark, repo, "HEAD~10").select(F.element_at(F.split("repo", "/"), -1).alias("repo"), "path")
+
+
 @query(f"SELECT path AS file_path, 2 AS line_number, c_name AS line_content, 'Customer#0' AS match_text FROM {SALES} WHERE segment = 'building'")
 def git_source_search(spark, sf_dir):
     """A search of the files that one author's commits changed, in the repositories' working trees."""
@@ -737,6 +754,21 @@ def search_stream(spark, sf_dir):
     return spark.read.schema(found.schema).option("basePath", f"{at}/out").parquet(f"{at}/out").select("file_path", "line_number", "line_content", "match_text")
 
 
+@query(sql_matches(DOC_LINES, "contains(line, 'License')", "'License'"))
+def search_tree_stream(spark, sf_dir):
+    """A directory tree as a stream: a search that ends, and goes on from its checkpoint when the other half of the documents has come."""
+    from quarry.streaming.files import deliver, stream_matches
+
+    root, at, docs = mounted(new_folder(spark, "tree")), new_folder(spark, "stream"), document_files(spark, sf_dir)
+    second = F.crc32(F.col("path").cast("binary")) % 2 == 1
+    for k, half in enumerate((docs.where(~second), docs.where(second))):
+        tree.write_tree(half, root)
+        found = stream_matches(tree.stream_tree(spark, root, settle_ms=0), compile_pattern("License"))
+        deliver(found, lambda batch, n, k=k: batch.write.mode("overwrite").parquet(f"{at}/out/batch={k}_{n}"), f"{at}/state").awaitTermination()
+    read = spark.read.schema(found.schema).option("basePath", f"{at}/out").parquet(f"{at}/out")
+    return read.select(F.substr("file_path", F.lit(len(root) + 2)).alias("file_path"), "line_number", "line_content", "match_text")
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events WHERE contains(props, 'a') OR contains(event_type, 'a') GROUP BY 1")
 def event_match_rate(spark, sf_dir):
     from quarry.streaming.files import event_rate

@@ -17,8 +17,10 @@ has the number of lines before each piece.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,7 +29,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, Not, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, IsNotNull, Not, StringContains, StringEndsWith, StringStartsWith
 
 from quarry.functions.paths import IgnoreRule, has_extension, ignore_rules, ignored_by, skips_directory, usable_globs
 
@@ -257,20 +259,24 @@ class TreeReader(DataSourceReader):
         may_hold = lambda below: all(can_lie_below(f, "rel_path", below) and can_lie_below(f, "path", os.path.join(walk.root, below)) for f in self.filters)
         return ((path, rel, n) for path, rel, n in walk.files(todo, most, may_hold) if self.fits("path", path) and self.fits("rel_path", rel))
 
+    def walks(self) -> Iterator[tuple[int, Walk]]:
+        """The roots that are asked for, with their places."""
+        extensions = tuple(e for e in self.options.get("extensions", "").split(",") if e)
+        include, exclude = (tuple(g for g in self.options.get(key, "").split("\n") if g) for key in ("include", "exclude"))
+        for k, root in enumerate(self.options["paths"].split("\n")):
+            if not os.path.exists(root):
+                raise FileNotFoundError(f"no such path: {root}")
+            if self.fits("root_ord", k):
+                yield k, walk_of(root, self.on("skip"), self.on("ignore_file"), extensions, include, exclude)
+
     def partitions(self) -> list[Share]:
         o = self.options
-        extensions = tuple(e for e in o.get("extensions", "").split(",") if e)
-        include, exclude = (tuple(g for g in o.get(key, "").split("\n") if g) for key in ("include", "exclude"))
         limit, shares, size, spread = int(o.get("partition_bytes", 64 << 20)), [Share([], [])], 0, int(o.get("spread", SPREAD))
-        for k, root in enumerate(o["paths"].split("\n")):
-            if not os.path.exists(root):
-                raise FileNotFoundError(f"no such path: {root}")
-            if not self.fits("root_ord", k):
-                continue
-            walk, todo = walk_of(root, self.on("skip"), self.on("ignore_file"), extensions, include, exclude), deque([""])
+        for k, walk in self.walks():
+            root, todo = walk.root, deque([""])
             if os.path.isfile(root):
                 name = os.path.basename(root)
-                fits = path_test(extensions, include, exclude)(root) and self.fits("path", root) and self.fits("rel_path", name)
+                fits = path_test(walk.extensions, walk.include, walk.exclude)(root) and self.fits("path", root) and self.fits("rel_path", name)
                 met, todo = [(root, name, os.path.getsize(root))] if fits else [], deque()
             else:
                 met = self.listed(walk, todo, spread)
@@ -343,9 +349,64 @@ class OffsetReader(TreeReader):
                 yield k, path, piece, Piece(path, os.path.getsize(path), self.piece, 0).starts(piece)
 
 
+class TreeStream(DataSourceStreamReader):
+    """Files of a tree as they appear or change, each version once, in the order of (time of change, path): that pair is the offset.
+
+    A source isn't told where a query stands that starts again, but for the batch that it repeats. With the option state, a
+    file's path, the offset of the last batch planned is kept there, and each batch takes max_files of the next files at
+    most; without it, one takes all there are until the first has been planned. Either way batches are dealt into
+    partitions by bytes, which bound a task. Files that changed less than settle_ms ago wait, so that none can slip in
+    behind an offset. The driver lists the tree for each batch."""
+
+    def __init__(self, options: dict):
+        self.reader, self.options, self.state = TreeReader(options), options, options.get("state", "")
+        self.most, self.settle = int(options.get("max_files", 1000)), int(options.get("settle_ms", 1000))
+        self.position = (-1, "") if self.state else None
+        if self.state and os.path.exists(self.state):
+            with open(self.state, encoding="utf-8") as f:
+                self.position = tuple(json.load(f))
+
+    def seen(self) -> list[tuple[int, str, int, str, int]]:
+        """(time of change in ns, path, root's place, path below the root, size) of the files there are, in order."""
+        now, found = time.time_ns() - self.settle * 1_000_000, []
+        for k, walk in self.reader.walks():
+            for path, rel, n in self.reader.listed(walk, deque([""])):
+                if (at := os.stat(path).st_mtime_ns) <= now:
+                    found.append((at, path, k, rel, n))
+        return sorted(found)
+
+    def initialOffset(self) -> dict:
+        return {"changed": -1, "path": ""}
+
+    def latestOffset(self) -> dict:
+        files = [f for f in self.seen() if self.position is None or f[:2] > self.position]
+        last = files[: self.most if self.position is not None else None][-1:]
+        at, path = last[0][:2] if last else self.position or (-1, "")
+        return {"changed": at, "path": path}
+
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        first, last = (start["changed"], start["path"]), (end["changed"], end["path"])
+        self.position = last
+        if self.state:
+            with open(self.state + "~", "w", encoding="utf-8") as f:
+                json.dump(last, f)
+            os.replace(self.state + "~", self.state)
+        limit, shares, size = int(self.options.get("partition_bytes", 64 << 20)), [], 0
+        for _, path, k, rel, n in (f for f in self.seen() if first < f[:2] <= last):
+            if not shares or size + n > limit:
+                shares.append(Share([], []))
+                size = 0
+            shares[-1].files.append((k, path, rel, -1))
+            size += n + 4096
+        return shares
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+
 class TreeSource(DataSource):
     """spark.read.format("tree").option("paths", newline-separated roots); options skip, ignore_file, extensions, include and exclude (newline-separated globs of paths), partition_bytes,
-    spread, piece_bytes, split (large files over several partitions), around (lines of context around pieces), table ("files" or "offsets")."""
+    spread, piece_bytes, max_files, settle_ms and state of streams, split (large files over several partitions), around (lines of context around pieces), table ("files" or "offsets")."""
 
     @classmethod
     def name(cls) -> str:
@@ -357,6 +418,9 @@ class TreeSource(DataSource):
     def reader(self, schema) -> TreeReader:
         return (OffsetReader if self.options.get("table") == "offsets" else TreeReader)(self.options)
 
+    def streamReader(self, schema) -> TreeStream:
+        return TreeStream(self.options)
+
 
 def tree_reader(spark: SparkSession, roots: tuple[str, ...], **options):
     for root in roots:
@@ -373,6 +437,13 @@ def read_tree(spark: SparkSession, *roots: str, skip: bool = True, ignore_file:
     return tree_reader(spark, roots, **options).load()
 
 
+def stream_tree(spark: SparkSession, *roots: str, max_files: int = 1000, settle_ms: int = 1000, state: str = "", **settings) -> DataFrame:
+    """Files of trees as they appear and change; see TreeStream. settings as for read_tree(); ignore files are read when a batch is listed."""
+    options = {k: v if not isinstance(v, tuple) else ("," if k == "extensions" else "\n").join(v) for k, v in settings.items()}
+    tree_reader(spark, roots)
+    return spark.readStream.format("tree").options(paths="\n".join(roots), max_files=str(max_files), settle_ms=str(settle_ms), state=state, **{k: str(v) for k, v in options.items()}).load()
+
+
 def line_offsets(spark: SparkSession, *roots: str, **settings) -> DataFrame:
     """root_ord, path, piece, lines_before: how many lines of a split file stand before each of its pieces. settings as for read_tree()."""
     options = {k: v if not isinstance(v, tuple) else ("," if k == "extensions" else "\n").join(v) for k, v in settings.items()}

@@ -202,3 +202,41 @@ def test_batches_find_what_single_lines_match(spark, strip):
         want = split.where(F.col("line").rlike(query.replace("$", r"\z"))).select("path", "line_number", "line").collect()
         assert sorted((r["file_path"], r["line_number"], r["line_content"]) for r in found) == sorted(map(tuple, want)), query
         assert all(r["extra"] == 7 for r in found)
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def test_a_tree_as_a_stream(spark, tmp_path):
+    root, got = tmp_path / "tree", []
+
+    def run(**options):
+        got.clear()
+        found = lines.find_matches(tree.stream_tree(spark, str(root), settle_ms=0, state=str(tmp_path / "position"), **options), compile_pattern("needle"))
+        take = lambda batch, n: got.append(sorted((os.path.relpath(r["file_path"], root), r["line_content"]) for r in batch.collect()))
+        query = found.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(x for batch in got for x in batch)
+
+    put(root, **{f"d/{k}.txt": f"needle {k}" for k in range(5)}, **{"x.bin": b"no", ".hidden/y": "needle"})
+    for k in range(5):
+        os.utime(root / f"d/{k}.txt", (100, 100 + k // 2))  # some change at one time
+    assert run(max_files=2) == [(f"d/{k}.txt", f"needle {k}") for k in range(5)]
+    assert [len(b) for b in got if b] == [2, 2, 1]
+    assert run() == []
+    put(root, **{"d/1.txt": "needle anew", "new/z.txt": "needle z"})
+    assert run(max_files=1) == [("d/1.txt", "needle anew"), ("new/z.txt", "needle z")]
+    assert [len(b) for b in got if b] == [1, 1]
+    put(root, **{"late.txt": "needle late"})
+    assert run() == [("late.txt", "needle late")]
+
+
+def test_recent_changes_wait(tmp_path):
+    put(tmp_path, **{"a": "x", "b": "y"})
+    os.utime(tmp_path / "a", (100, 100))
+    stream = tree.TreeStream({"paths": str(tmp_path), "settle_ms": "60000"})
+    start = stream.initialOffset()
+    assert stream.latestOffset() == {"changed": 100 * 10**9, "path": str(tmp_path / "a")}
+    assert [f[2] for s in stream.partitions(start, stream.latestOffset()) for f in s.files] == ["a"]
+    assert stream.latestOffset() == {"changed": 100 * 10**9, "path": str(tmp_path / "a")}
