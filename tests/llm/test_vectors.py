@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import nearest, vector_dedup
 from quarry.llm.components import components
@@ -83,7 +84,7 @@ def test_nearest_recall_and_ties(vectors):
 
 @pytest.mark.parametrize("kind", ["uniform", "clustered", "lengths"])
 def test_recall_with_small_cells(spark, kind):
-    """Cells of a few rows and few candidates: far fewer than all are compared, and clusters are found."""
+    """Cells of a few rows in blocks of fewer: neighbours are found whether vectors are spread, in clusters or of unequal lengths."""
     rnd = np.random.default_rng(12)
     x = rnd.standard_normal((3000, 8))
     if kind == "clustered":
@@ -92,7 +93,8 @@ def test_recall_with_small_cells(spark, kind):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
     given = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = {}
-    for r in nearest.nearest(given, given.where("vec_id % 20 = 0"), reach=9.0, leaf=32, block=40).collect():
+    few = {"clustered": {"reach": 1.0, "growth": 0.75}}.get(kind, {})
+    for r in nearest.nearest(given, given.where("vec_id % 20 = 0"), block=40, **few).collect():
         found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
     hit = 0
     for q in range(0, 3000, 20):
@@ -101,10 +103,43 @@ def test_recall_with_small_cells(spark, kind):
         hit += len(found[q].keys() & set(np.argsort(-score)[:20].tolist()))
         assert all(abs(s - score[i]) < 1e-12 for i, s in found[q].items()) and len(found[q]) == 20
     assert hit >= 0.9 * 20 * 150
-    held = np.array([[9, 0, 3, 2], [1, 5, 4, 4]])
-    for least in (1, 6, 14, 28, 99):
-        (way,) = nearest.ascent(np.array([[1.0, 0.2, 0.0]]), held, 2, 3, least)
-        assert held.ravel()[way].sum() >= min(least, 28) and held.ravel()[way[:-1]].sum() < least and 0 not in held.ravel()[way]
+
+
+def test_cells_are_cut_from_sorted_strings():
+    rnd = np.random.default_rng(5)
+    strings = np.sort(np.concatenate([rnd.integers(0, 1 << nearest.BITS, 3000), (7 << 40) + rnd.integers(0, 1 << 8, 500), np.full(90, 12345)]))
+    depth = nearest.cut(strings, 50, 0)
+    for s, d in zip(strings.tolist(), depth.tolist()):
+        shared = lambda n: int(((strings >> (nearest.BITS - n)) == s >> (nearest.BITS - n)).sum())
+        assert shared(d) <= 50 or d == nearest.BITS
+        assert d == 0 or shared(d - 1) > 50
+    ends = nearest.cut(strings[:60], 50, 6)
+    assert ends[0] >= 6 and ends[-1] >= 6
+
+
+def test_ascent_stops_once_enough_is_below(spark):
+    """Queries climb to prefixes of one length or the next, hold at least the goal, and less than it without one of their trees' last steps."""
+    rnd = np.random.default_rng(6)
+    rows = [(k, [float(c) for c in v], [k]) for k, v in enumerate(rnd.standard_normal((1500, 12)))]
+    plain = spark.createDataFrame(rows, "name long, vec array<double>, ids array<bigint>").select("vec", "ids", "name")
+    forest = nearest.grow(plain, 6, 5, 1.0, 0.75, 64, 3)
+    goal = forest.least
+    for (dims, band), want in goal.items():
+        n = forest.classes.where(f"band = {band}").count()
+        ways = nearest.climb(forest, plain.where("name % 50 = 0")).where(f"band = {band}").collect()
+        assert forest.rows.where(f"band = {band}").count() == 6 * n
+        for q in range(0, 1500, 50):
+            total = sum(r["n"] for r in ways if r["name"] == q)
+            assert min(want, 6 * n) <= total <= max(2.5 * want, 6 * n if want >= 3 * n else 0) or want < 64
+
+
+def test_the_forest_leaves_part_of_the_table_out(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("embedding").alias("vec"), F.array("vec_id").alias("ids"), F.col("vec_id").alias("name"))
+    n = given.count()
+    forest = nearest.grow(given, 24, 21, 3.7, 0.84, 16384, 3)
+    seen = nearest.climb(forest, given.where("name % 20 = 0")).withColumnRenamed("name", "q").join(forest.rows, nearest.CELL)
+    shares = [r["c"] / n for r in seen.groupBy("q").agg(F.countDistinct("name").alias("c")).collect()]
+    assert len(shares) == n // 20 and 0.1 < np.mean(shares) < 0.7 and max(shares) < 0.9
 
 
 def test_recall_on_the_table(spark):
