@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import paths, similarity, text
 from quarry.functions.patterns import compile_pattern
 from quarry.operators import files, fuzzy, history, lines, symbols
+from quarry.operators.name_index import NameIndex
 from quarry.plans import search as plans
 from quarry.schemas import MATCH, HistoryConfig, SearchConfig
 from quarry.sources import codehost, gitlog, sinks, tree
@@ -726,6 +727,34 @@ def reference_categories(spark, sf_dir):
     return symbols.find_references(code_lines(spark, sf_dir), "Brand_13").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def code_index(spark, sf_dir):
+    """A name index of the code files after an update: a third of them held other code before, and some files are gone."""
+    kept = code_files(spark, sf_dir).where(paths.is_supported(F.col("path"))).select("path", "content")
+    other = F.crc32(F.col("path").cast("binary")) % 3 == 0
+    before = kept.withColumn("content", F.when(other, F.replace("content", F.lit("Brand"), F.lit("Old_Brand"))).otherwise(F.col("content")))
+    before = before.unionByName(kept.where(other).withColumn("path", F.concat(F.lit("gone/"), "path")))
+    index = NameIndex(spark, new_folder(spark, "index"))
+    for state in (before, kept):
+        index.update(state.select("path", F.sha2("content", 256).alias("version")), lambda changed, state=state: state.join(changed, "path", "left_semi"))
+    return index, kept
+
+
+@query(f"SELECT * FROM {SYMBOLS} WHERE contains(lower(name), 'brand')")
+def name_index_find_symbol(spark, sf_dir):
+    return code_index(spark, sf_dir)[0].find_symbol("BRAND")
+
+
+@query(f"SELECT * FROM {SYMBOLS} WHERE name = 'v10'")
+def name_index_find_definition(spark, sf_dir):
+    return code_index(spark, sf_dir)[0].find_definition("v10")
+
+
+@query(f"SELECT * FROM {REFERENCES}")
+def name_index_references(spark, sf_dir):
+    index, kept = code_index(spark, sf_dir)
+    return index.find_references("Brand_13", lambda named: kept.join(named, "path", "left_semi"))
+
+
 # --- remote results, streams ------------------------------------------------------------------------
 
 
