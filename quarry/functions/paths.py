@@ -6,6 +6,7 @@ import re
 import warnings
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,19 +69,43 @@ def glob_regex(glob: str) -> str:
 
 
 def usable_globs(globs: tuple[str, ...] | list[str]) -> list[str]:
+    """The globs but malformed ones, with a warning for each of these."""
     out = []
     for glob in globs:
         try:
-            out.append(glob_regex(glob))
+            glob_regex(glob)
+            out.append(glob)
         except ValueError as problem:
             warnings.warn(str(problem), stacklevel=2)
     return out
 
 
+def matches_any(path: Column, globs: list[str], name: Column | None = None) -> Column:
+    """Whether one of the globs matches the whole path (or the name, if given).
+
+    Globs without wildcards and those like *.ext are looked up in sets, however many there are; the others are one
+    pattern. Malformed globs match nothing."""
+    tests = [path] if name is None else [path, name]
+    whole, ends, rest = [], [], []
+    for glob in globs:
+        if not set(glob) & set("*?[{\\"):
+            whole.append(glob)
+        elif re.fullmatch(r"\*+\.[^*?\[{\\./]+", glob):
+            ends.append(glob.lstrip("*"))
+        else:
+            rest.append(glob_regex(glob).removeprefix(r"\A").removesuffix(r"\z"))
+    found = [t.isin(whole) for t in tests] if whole else []
+    if ends:
+        found.append(F.concat(F.lit("."), F.substring_index(path, ".", -1)).isin(ends) & F.contains(path, F.lit(".")))
+    if rest:
+        found += [t.rlike(r"\A(?:" + "|".join(rest) + r")\z") for t in tests]
+    return any_of(found)
+
+
 def passes_globs(path: Column, include: tuple[str, ...] | list[str] = (), exclude: tuple[str, ...] | list[str] = ()) -> Column:
     """No exclude glob matches, and one of the include globs does if any are given (even if none is usable)."""
-    kept = ~any_of([path.rlike(g) for g in usable_globs(exclude)])
-    return kept & any_of([path.rlike(g) for g in usable_globs(include)]) if include else kept
+    kept = ~matches_any(path, usable_globs(exclude))
+    return kept & matches_any(path, usable_globs(include)) if include else kept
 
 
 def skips_directory(name: str) -> bool:
@@ -97,6 +122,7 @@ def in_skipped_directory(rel_path: Column) -> Column:
 class IgnoreRule:
     negated: bool
     directories_only: bool
+    globs: tuple[str, ...]
     regexes: tuple[str, ...]
 
 
@@ -113,24 +139,28 @@ def ignore_rules(text: str) -> list[IgnoreRule]:
         line = line[: len(line) - directories]
         plain = line.removeprefix("/")
         variants = [plain] if "/" in plain or plain != line else [plain, "**/" + plain]
-        regexes = []
+        globs, regexes = [], []
         for v in variants:
             try:
                 regexes.append(glob_regex(v))
+                globs.append(v)
             except ValueError:
                 continue
         if regexes:
-            rules.append(IgnoreRule(negated, directories, tuple(regexes)))
+            rules.append(IgnoreRule(negated, directories, tuple(globs), tuple(regexes)))
     return rules
 
 
 def is_ignored(rel_path: Column, rules: list[IgnoreRule], is_directory: bool = False) -> Column:
-    """The last rule that matches the path or its last part decides."""
+    """The last rule that matches the path or its last part decides. Rules in a row that say the same are tested together."""
     name = F.element_at(F.split(rel_path, "/"), -1)
+    fitting = [r for r in rules if is_directory or not r.directories_only]
     verdict = F.lit(False)
-    for rule in rules:
-        if is_directory or not rule.directories_only:
-            verdict = F.when(any_of([rel_path.rlike(r) | name.rlike(r) for r in rule.regexes]), F.lit(not rule.negated)).otherwise(verdict)
+    for negated, run in groupby(fitting, key=lambda r: r.negated):
+        globs = [g for r in run for g in r.globs]
+        # A name at any depth is found as the last part, *.ext as the path's end.
+        deeper = {f"**/{g}" for g in globs if re.fullmatch(r"[^*?\[{\\/]+|\*+\.[^*?\[{\\./]+", g)}
+        verdict = F.when(matches_any(rel_path, [g for g in globs if g not in deeper], name), F.lit(not negated)).otherwise(verdict)
     return verdict
 
 

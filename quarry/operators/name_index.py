@@ -54,9 +54,20 @@ class NameIndex:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
+    def place(self, name: str) -> tuple:
+        """The file system of a table's folder, and its path there."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
     def exists(self, name: str) -> bool:
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        system, at = self.place(name)
+        return system.exists(at)
+
+    def staged(self, name: str, batch: int, rows: DataFrame) -> DataFrame:
+        """Rows written down as they come, so that ranges are drawn from them without making them again."""
+        at = f"{self.folder}/staged/{name}-{batch}"
+        rows.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
 
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
@@ -82,20 +93,21 @@ class NameIndex:
         files = self.read("files")
         batch = (files.agg(F.max("batch")).first()[0] if self.exists("files") else None)
         batch = 0 if batch is None else batch + 1
-        # What changed is written down before it is used more than once.
-        self.write("pending", batch, self.changes(versions), "path")
-        pending = self.spark.read.parquet(f"{self.folder}/pending/batch={batch}")
+        pending = self.staged("files", batch, self.changes(versions))
         if pending.isEmpty():
             return None
         changed = pending.where("not gone").select("path")
         found = read(changed).where("path is not null").select("path", F.coalesce("content", F.lit("")).alias("content"))
         names = extract_symbols(to_lines(found, strip_cr=True))
-        self.write("symbols", batch, names.withColumn("bucket", bucket_of(F.lower("name"))), "bucket", "name", "file")
-        known = self.spark.read.parquet(f"{self.folder}/symbols/batch={batch}").select(F.lower("name").alias("name")).distinct()
+        names = self.staged("symbols", batch, names.withColumn("bucket", bucket_of(F.lower("name"))))
+        self.write("symbols", batch, names, "bucket", "name", "file")
+        known = names.select(F.lower("name").alias("name")).distinct()
         self.write("grams", batch, known.select(F.explode(grams_of(F.col("name"))).alias("gram"), "name"), "gram", "name")
         words = found.select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[0-9A-Za-z_]+"), F.lit(0)))).alias("word"), F.col("path").alias("file"))
-        self.write("words", batch, words.withColumn("bucket", bucket_of(F.col("word"))), "bucket", "word", "file")
+        self.write("words", batch, self.staged("words", batch, words.withColumn("bucket", bucket_of(F.col("word")))), "bucket", "word", "file")
         self.write("files", batch, pending, "path")
+        system, at = self.place("staged")
+        system.delete(at, True)
         return batch
 
     def live(self, rows: DataFrame) -> DataFrame:

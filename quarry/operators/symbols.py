@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.paths import any_of
 from quarry.functions.patterns import EDGE, quote
 from quarry.functions.text import trim_space
 
@@ -15,38 +16,51 @@ S = r"[\t\n\f\r ]"
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern of a language: the group that is the name, the group that is the signature ('(' + it + ')' if wrapped)."""
+    """A pattern of a language: the group that is the name, the group that is the signature ('(' + it + ')' if wrapped).
+
+    Whatever fits begins with one of starts and holds one text of each of needs, so that most lines are told by
+    these, without the matcher; name and signature are taken of lines that fit only."""
 
     kind: str
     pattern: str
     name: int = 1
     signature: int = 0
     wrapped: bool = False
+    starts: tuple[str, ...] = ()
+    needs: tuple[tuple[str, ...], ...] = ()
+
+    def may_fit(self, line: Column) -> Column:
+        test = F.lit(True)
+        if self.starts:
+            test &= any_of([line.startswith(s) for s in self.starts])
+        for texts in self.needs:
+            test &= any_of([F.contains(line, F.lit(t)) for t in texts])
+        return test
 
 
 #: What counts as a symbol in each language, in the order in which one line's symbols come.
 GO = (
-    Rule("function", rf"^func{S}+(\w+){S}*(\([^)]*\))?{S}*(\([^)]*\))?{S}*\{{", signature=2),
-    Rule("method", rf"^func{S}+\([^)]+\){S}+(\w+){S}*(\([^)]*\))?{S}*(\([^)]*\))?{S}*\{{", signature=2),
-    Rule("struct", rf"^type{S}+(\w+){S}+struct{S}*\{{"),
-    Rule("interface", rf"^type{S}+(\w+){S}+interface{S}*\{{"),
-    Rule("type", rf"^type{S}+(\w+){S}+\w+"),
-    Rule("", rf"^(var|const){S}+(\w+){S}*", name=2),
-    Rule("field", rf"^{S}+(\w+){S}+\w+"),
+    Rule("function", rf"^func{S}+(\w+){S}*(\([^)]*\))?{S}*(\([^)]*\))?{S}*\{{", signature=2, starts=("func",), needs=(("{",),)),
+    Rule("method", rf"^func{S}+\([^)]+\){S}+(\w+){S}*(\([^)]*\))?{S}*(\([^)]*\))?{S}*\{{", signature=2, starts=("func",), needs=((")",), ("{",))),
+    Rule("struct", rf"^type{S}+(\w+){S}+struct{S}*\{{", starts=("type",), needs=(("struct",), ("{",))),
+    Rule("interface", rf"^type{S}+(\w+){S}+interface{S}*\{{", starts=("type",), needs=(("interface",), ("{",))),
+    Rule("type", rf"^type{S}+(\w+){S}+\w+", starts=("type",)),
+    Rule("", rf"^(var|const){S}+(\w+){S}*", name=2, starts=("var", "const")),
+    Rule("field", rf"^{S}+(\w+){S}+\w+", starts=("\t", "\n", "\f", "\r", " ")),
 )
 PYTHON = (
-    Rule("function", rf"^def{S}+(\w+){S}*\(([^)]*)\)", signature=2, wrapped=True),
-    Rule("class", rf"^class{S}+(\w+){S}*\(?{S}*\w*{S}*\)?"),
-    Rule("variable", rf"^(\w+){S}*={S}*"),
+    Rule("function", rf"^def{S}+(\w+){S}*\(([^)]*)\)", signature=2, wrapped=True, starts=("def",), needs=(("(",), (")",))),
+    Rule("class", rf"^class{S}+(\w+){S}*\(?{S}*\w*{S}*\)?", starts=("class",)),
+    Rule("variable", rf"^(\w+){S}*={S}*", needs=(("=",),)),
 )
 JAVASCRIPT = (
-    Rule("function", rf"(?:function|const|let|var){S}+(\w+){S}*=?{S}*(?:function)?{S}*\(([^)]*)\)", signature=2, wrapped=True),
-    Rule("function", rf"(?:const|let){S}+(\w+){S}*={S}*(?:async{S}+)?\(([^)]*)\){S}*=>", signature=2, wrapped=True),
-    Rule("class", rf"(?:export{S}+)?(?:class|interface){S}+(\w+)"),
-    Rule("type", rf"(?:type|interface){S}+(\w+){S}*(?:=|\{{)"),
+    Rule("function", rf"(?:function|const|let|var){S}+(\w+){S}*=?{S}*(?:function)?{S}*\(([^)]*)\)", signature=2, wrapped=True, needs=(("function", "const", "let", "var"), ("(",), (")",))),
+    Rule("function", rf"(?:const|let){S}+(\w+){S}*={S}*(?:async{S}+)?\(([^)]*)\){S}*=>", signature=2, wrapped=True, needs=(("const", "let"), ("=>",))),
+    Rule("class", rf"(?:export{S}+)?(?:class|interface){S}+(\w+)", needs=(("class", "interface"),)),
+    Rule("type", rf"(?:type|interface){S}+(\w+){S}*(?:=|\{{)", needs=(("type", "interface"), ("=", "{"))),
 )
 #: Any run of words before a name and parentheses; written without nested repeats, which exhaust the matcher's stack on long lines.
-GENERIC = (Rule("function", rf"\w{S}+(\w+){S}*\(([^)]*)\)", signature=2, wrapped=True),)
+GENERIC = (Rule("function", rf"\w{S}+(\w+){S}*\(([^)]*)\)", signature=2, wrapped=True, needs=(("(",), (")",))),)
 BY_EXTENSION = {".go": GO, ".py": PYTHON, ".js": JAVASCRIPT, ".ts": JAVASCRIPT}
 
 
@@ -57,12 +71,13 @@ def extension(path: Column) -> Column:
 
 def rule_symbol(rule: Rule, line: Column, rules: tuple[Rule, ...]) -> Column:
     """(name, type, signature) if the rule fits the line, else null."""
-    fits = line.rlike(rule.pattern)
+    fits = rule.may_fit(line) & line.rlike(rule.pattern)
     name = F.regexp_extract(line, rule.pattern, rule.name)
     kind = F.lit(rule.kind) if rule.kind else F.regexp_extract(line, rule.pattern, 1)
     if rules is GO and rule.kind == "type":
         for special in ("struct", "interface"):
-            fits &= ~line.rlike(next(r.pattern for r in GO if r.kind == special))
+            other = next(r for r in GO if r.kind == special)
+            fits &= ~(other.may_fit(line) & line.rlike(other.pattern))
     if rules is PYTHON and rule.kind == "variable":
         fits &= ~name.startswith("_")
     signature = F.regexp_extract(line, rule.pattern, rule.signature) if rule.signature else F.lit("")

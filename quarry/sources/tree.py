@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, IsNotNull, Not, StringContains, StringEndsWith, StringStartsWith
 
-from quarry.functions.paths import IgnoreRule, has_extension, ignore_rules, ignored_by, skips_directory, usable_globs
+from quarry.functions.paths import IgnoreRule, glob_regex, has_extension, ignore_rules, ignored_by, skips_directory, usable_globs
 
 #: part.before is null if lines are counted from the piece's own first one; lines own_from to own_to (from 0) of the content
 #: are the piece's own, others stand there as context.
@@ -44,7 +44,7 @@ OFFSETS = "root_ord int, path string, piece int, starts bigint"
 def path_test(extensions: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Callable[[str], bool]:
     """Whether a path has one of the extensions and passes the globs, as for tables of files."""
     ends = tuple(e.lower() for e in extensions)
-    wanted, unwanted = ([re.compile(g.replace(r"\z", r"\Z")) for g in usable_globs(globs)] for globs in (include, exclude))
+    wanted, unwanted = ([re.compile(glob_regex(g).replace(r"\z", r"\Z")) for g in usable_globs(globs)] for globs in (include, exclude))
 
     def fits(path: str) -> bool:
         if (ends and not path.lower().endswith(ends)) or any(g.search(path) for g in unwanted):
