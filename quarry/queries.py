@@ -545,8 +545,8 @@ def git_range(spark, sf_dir):
 SALES = "(SELECT (c_custkey // 500)::VARCHAR AS repo, c_custkey, c_name, lower(c_mktsegment) AS segment, lower(c_mktsegment) || '/' || c_custkey || '.txt' AS path FROM customer)"
 
 
-def write_repositories(commits: DataFrame, root: str) -> list[str]:
-    """Make a git repository below root, a mounted folder, of each value of repo, where its rows are.
+def write_repositories(commits: DataFrame, root: str, checkout: bool) -> list[str]:
+    """Make a git repository below root, a mounted folder, of each value of repo, where its rows are; with its files, or their history alone.
 
     commits: repo, seq (order), author_name, author_email, author_when, message, path, content: each row is a
     commit of one file. A repository's history must fit in a task. Returns the folders."""
@@ -560,15 +560,17 @@ def write_repositories(commits: DataFrame, root: str) -> list[str]:
             who = f"{r['author_name']} <{r['author_email']}> {r['at']} +0000"
             message, content = r["message"].encode(), r["content"].encode()
             stream += [f"commit refs/heads/main\nauthor {who}\ncommitter {who}\ndata {len(message)}\n".encode(), message, f"\nM 100644 inline {r['path']}\ndata {len(content)}\n".encode(), content, b"\n"]
-        for args, given in ((("init", "-q"), b""), (("fast-import", "--quiet"), b"".join(stream)), (("symbolic-ref", "HEAD", "refs/heads/main"), b""), (("reset", "-q", "--hard"), b"")):
-            subprocess.run(["git", "-C", folder, *args], input=given, check=True, capture_output=True)
+        steps = [(("init", "-q", "-b", "main", "--template="), b""), (("fast-import", "--quiet"), b"".join(stream))]
+        for args, given in steps + [(("reset", "-q", "--hard"), b"")] * checkout:
+            subprocess.run(["git", "-C", folder, "-c", "core.fsync=none", *args], input=given, check=True, capture_output=True)
         return pa.table({"folder": [folder]})
 
     timed = commits.withColumn("at", F.unix_timestamp("author_when"))
-    return sorted(r["folder"] for r in timed.groupBy("repo").applyInArrow(made, "folder string").collect())
+    dealt = timed.repartition(4 * timed.sparkSession.sparkContext.defaultParallelism, "repo")  # what a repository costs isn't told by the bytes of its rows
+    return sorted(r["folder"] for r in dealt.groupBy("repo").applyInArrow(made, "folder string").collect())
 
 
-def customer_repositories(spark, sf_dir) -> list[str]:
+def customer_repositories(spark, sf_dir, checkout: bool = False) -> list[str]:
     """Git repositories of 500 customers each, one commit and one file for each customer."""
     c = table(spark, sf_dir, "customer").withColumn("segment", F.lower("c_mktsegment"))
     key = F.col("c_custkey").cast("string")
@@ -577,7 +579,7 @@ def customer_repositories(spark, sf_dir) -> list[str]:
         F.timestamp_seconds(F.col("c_custkey") * 3600 + 800_000_000).alias("author_when"), F.concat(F.lit("add "), "segment", F.lit("\n\nfor "), "c_name").alias("message"),
         F.concat("segment", F.lit("/"), key, F.lit(".txt")).alias("path"), F.concat(F.lit("name\n"), "c_name", F.lit("\r\n")).alias("content"),
     )
-    return write_repositories(made, mounted(new_folder(spark, "git")))
+    return write_repositories(made, mounted(new_folder(spark, "git")), checkout)
 
 
 @query(f"SELECT repo, c_name AS author_name, segment || '@example.com' AS author_email, c_custkey * 3600 + 800000000 AS seconds, 'add ' || segment AS subject, path FROM {SALES}")
@@ -607,7 +609,7 @@ def git_source_range(spark, sf_dir):
 @query(f"SELECT path AS file_path, 2 AS line_number, c_name AS line_content, 'Customer#0' AS match_text FROM {SALES} WHERE segment = 'building'")
 def git_source_search(spark, sf_dir):
     """A search of the files that one author's commits changed, in the repositories' working trees."""
-    return plans.search(spark, HistoryConfig("Customer#0", tuple(customer_repositories(spark, sf_dir)), author="BUILDING@"))
+    return plans.search(spark, HistoryConfig("Customer#0", tuple(customer_repositories(spark, sf_dir, checkout=True)), author="BUILDING@"))
 
 
 @query(f"SELECT 0 AS line_number, 'for ' || c_name AS line_content, 'for C' AS match_text FROM {SALES} WHERE segment = 'machinery'")

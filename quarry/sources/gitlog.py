@@ -5,6 +5,7 @@ not held. The driver lists the hashes of a repository once, twenty bytes each, a
 every slice is a partition whose task asks for its commits, or for what they changed, by hash. One long
 history is so read by many tasks, and refs that move meanwhile change nothing. Conditions on date and
 author are applied to that list, so that the slices hold little else than commits that are asked for.
+Of more than SPREAD repositories tasks list the hashes, and the slices are dealt out to tasks anew.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -54,6 +57,10 @@ def git(repo: str, *args: str, end: str = "\n", given: bytes = b"") -> Iterator[
 
 #: Commits of one partition.
 SLICE = 2000
+#: Of more repositories tasks list the hashes.
+SPREAD = 16
+#: Rows of an Arrow batch.
+BATCH = 2000
 
 
 def hashes(repo: str, since: float | None = None, author: str = "") -> Iterator[bytes]:
@@ -64,6 +71,18 @@ def hashes(repo: str, since: float | None = None, author: str = "") -> Iterator[
             yield bytes.fromhex(h)
 
 
+def slices_of(repo: str, since: float | None, author: str, size: int) -> Iterator[Slice]:
+    """The hashes of a repository, size at a time."""
+    some: list[bytes] = []
+    for h in hashes(repo, since, author):
+        some.append(h)
+        if len(some) == size:
+            yield Slice(repo, b"".join(some), len(h))
+            some = []
+    if some:
+        yield Slice(repo, b"".join(some), len(some[0]))
+
+
 def asked(chosen: bytes, width: int) -> bytes:
     """Raw hashes of width bytes as lines for git."""
     return b"".join(chosen[k : k + width].hex().encode() + b"\n" for k in range(0, len(chosen), width))
@@ -111,16 +130,7 @@ class HistoryReader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         if self.table == "range":
             return [Slice(r, b"", 0) for r in self.repos]
-        slices = []
-        for repo in self.repos:
-            some: list[bytes] = []
-            for h in hashes(repo, float(self.since) if self.since else None, self.author):
-                some.append(h)
-                if len(some) == self.size:
-                    slices.append(Slice(repo, b"".join(some), len(h)))
-                    some = []
-            if some:
-                slices.append(Slice(repo, b"".join(some), len(some[0])))
+        slices = [s for r in self.repos for s in slices_of(r, float(self.since) if self.since else None, self.author, self.size)]
         return slices or [Slice(self.repos[0], b"", 0)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
@@ -149,13 +159,68 @@ class HistorySource(DataSource):
 def read_history(spark: SparkSession, *repos: str, since: datetime | None = None, author: str = "", slice_size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """commits and commit_files of the repositories. With since and author, only of commits that may fit them: the exact test
     stays with filter_commits(), which knows the session's time zone."""
+    early = since.timestamp() - 2 * 86400 if since else None
+    author = author if author.isascii() else ""
+    if len(repos) > SPREAD:
+        slices = many_slices(spark, repos, early, author, slice_size)
+        return slices.mapInArrow(rows_of(commits_of, COMMIT_ARROW), COMMIT), slices.mapInArrow(rows_of(commit_files_of, COMMIT_FILE_ARROW), COMMIT_FILE)
     spark.dataSource.register(HistorySource)
-    early = since.timestamp() - 2 * 86400 if since else ""
-    reader = spark.read.format("gitlog").options(repos="\n".join(repos), since=str(early), author=author if author.isascii() else "", slice=str(slice_size))
+    reader = spark.read.format("gitlog").options(repos="\n".join(repos), since="" if early is None else str(early), author=author, slice=str(slice_size))
     return reader.load(), reader.option("table", "files").load()
 
 
-def read_range(spark: SparkSession, repo: str, span: str) -> DataFrame:
-    """repo, hash (null), path: what differs between two commits."""
+def read_range(spark: SparkSession, repo: str, span: str, *more: str) -> DataFrame:
+    """repo, hash (null), path: what differs between two commits of a repository, or of each of several."""
+    if len(more) >= SPREAD:
+        return folders(spark, (repo, *more)).mapInArrow(rows_of_ranges(span), COMMIT_FILE)
     spark.dataSource.register(HistorySource)
-    return spark.read.format("gitlog").option("repos", repo).option("table", "range").option("span", span).load()
+    return spark.read.format("gitlog").option("repos", "\n".join((repo, *more))).option("table", "range").option("span", span).load()
+
+
+# --- many repositories ------------------------------------------------------------------------------
+
+COMMIT_ARROW = pa.schema([(c, pa.timestamp("us", "UTC") if c == "author_when" else pa.string()) for c in ("repo", "hash", "author_name", "author_email", "author_when", "message", "first_parent")])
+COMMIT_FILE_ARROW = pa.schema([(c, pa.string()) for c in ("repo", "hash", "path")])
+SLICE_ARROW = pa.schema([("repo", pa.string()), ("chosen", pa.binary()), ("width", pa.int32())])
+
+
+def tasks(spark: SparkSession) -> int:
+    """A few for each core: what they cost isn't told by the bytes of their rows."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def folders(spark: SparkSession, repos: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"repo": list(repos)})).repartition(tasks(spark))
+
+
+def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def many_slices(spark: SparkSession, repos: tuple[str, ...], since: float | None, author: str, size: int) -> DataFrame:
+    """repo, chosen, width: slices that tasks have listed, dealt out, so that a long history among them is read by several tasks."""
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (repo for batch in given for repo in batch.column(0).to_pylist())
+        yield from batches(((s.repo, s.chosen, s.width) for repo in named for s in slices_of(repo, since, author, size)), SLICE_ARROW)
+
+    return folders(spark, repos).mapInArrow(run, "repo string, chosen binary, width int").repartition(tasks(spark))
+
+
+def rows_of(read: Callable[[str, bytes], Iterator[tuple]], schema: pa.Schema):
+    """What read() gives for each slice."""
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in given)
+        yield from batches((row for some in named for repo, chosen, width in some for row in read(repo, asked(chosen, width))), schema)
+
+    return run
+
+
+def rows_of_ranges(span: str):
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (repo for batch in given for repo in batch.column(0).to_pylist())
+        yield from batches(((repo, None, p) for repo in named for p in range_paths(repo, span)), COMMIT_FILE_ARROW)
+
+    return run
