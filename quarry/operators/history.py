@@ -19,9 +19,9 @@ def filter_commits(commits: DataFrame, since: datetime | Column | None = None, a
     return kept
 
 
-def changed_files(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """The distinct paths that the commits changed. Both sides are shuffled on the hash unless one is small."""
-    return commit_files.join(commits.select("hash"), "hash", "left_semi").select("path").distinct()
+def changed_files(commits: DataFrame, commit_files: DataFrame, *keep: str) -> DataFrame:
+    """The distinct paths that the commits changed; with keep (say, repo), those of each of its values. Both sides are shuffled on the hash unless one is small."""
+    return commit_files.join(commits.select(*keep, "hash"), [*keep, "hash"], "left_semi").select(*keep, "path").distinct()
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:

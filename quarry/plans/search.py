@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import warnings
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.patterns import compile_pattern
+from quarry.functions.patterns import Pattern, compile_pattern
 from quarry.operators import files, fuzzy, history, lines, symbols
 from quarry.schemas import HistoryConfig, SearchConfig
 from quarry.sources import codehost, gitlog, tree
@@ -36,28 +38,33 @@ def search_history(spark: SparkSession, config: HistoryConfig, strict: bool = Fa
     range stands alone: date and author don't narrow it; message searches ignore the range.
     """
     pattern = compile_pattern(config.query, config.is_regex, config.ignore_case)
-    out = None
+    met, outside = Counter(), []
     for root in config.paths:
-        repo = gitlog.find_repository(root)
-        if repo is None:
-            if strict:
-                raise ValueError(f"{root} is in no repository")
-            warnings.warn(f"{root} is in no repository; its history is ignored", stacklevel=2)
-            part = search(spark, SearchConfig(config.query, (root,), config.is_regex, config.ignore_case, config.context, config.extensions, config.include, config.exclude))
-        else:
-            commits, changed = gitlog.read_history(spark, repo, since=config.since, author=config.author)
-            chosen = history.filter_commits(commits, config.since, config.author)
-            if config.commit_message:
-                part = lines.find_in_messages(chosen, pattern)
-            else:
-                if config.changed_in:
-                    named = gitlog.read_range(spark, repo, config.changed_in)
-                else:
-                    named = history.changed_files(chosen, changed)
-                present = tree.read_named(named, repo, config.extensions)
-                part = lines.find_matches(present.withColumn("path", F.col("rel_path")), pattern, config.context, strip_cr=True)
-        out = part if out is None else out.unionByName(part)
-    return out
+        if (repo := gitlog.find_repository(root)) is not None:
+            met[repo] += 1
+            continue
+        if strict:
+            raise ValueError(f"{root} is in no repository")
+        warnings.warn(f"{root} is in no repository; its history is ignored", stacklevel=2)
+        outside.append(root)
+    # One plan for all repositories; those that several roots lie in are searched once more for each.
+    parts = [search_repositories(spark, config, pattern, [r for r, n in met.items() if n > k]) for k in range(max(met.values(), default=0))]
+    if outside:
+        parts.append(search(spark, SearchConfig(config.query, tuple(outside), config.is_regex, config.ignore_case, config.context, config.extensions, config.include, config.exclude)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def search_repositories(spark: SparkSession, config: HistoryConfig, pattern: Pattern, repos: list[str]) -> DataFrame:
+    if config.changed_in and not config.commit_message:
+        named = gitlog.read_range(spark, repos[0], config.changed_in, *repos[1:])
+    else:
+        commits, changed = gitlog.read_history(spark, *repos, since=config.since, author=config.author)
+        chosen = history.filter_commits(commits, config.since, config.author)
+        if config.commit_message:
+            return lines.find_in_messages(chosen, pattern)
+        named = history.changed_files(chosen, changed, "repo")
+    present = tree.read_named(named, "repo", config.extensions, by_row=True)
+    return lines.find_matches(present.withColumn("path", F.col("rel_path")), pattern, config.context, strip_cr=True)
 
 
 def tree_lines(spark: SparkSession, roots: tuple[str, ...], extensions: tuple[str, ...] = (), supported_only: bool = False) -> DataFrame:

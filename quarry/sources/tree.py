@@ -320,16 +320,20 @@ class TreeReader(DataSourceReader):
                 for path, rel, _ in self.listed(walk, deque([below])):
                     yield k, path, rel, -1
 
-        rows, size = [], 0
-        for k, path, rel, piece in named():
-            for data, binary, part in self.contents(path, piece):
-                rows.append((k, path, rel, data, binary, part))
-                size += len(data) + 64
-                if size > BATCH:
-                    yield batch_of(rows)
-                    rows, size = [], 0
-        if rows:
-            yield batch_of(rows)
+        yield from batches_of((k, path, rel, *content) for k, path, rel, piece in named() for content in self.contents(path, piece))
+
+
+def batches_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about BATCH bytes."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[3]) + 64
+        if size > BATCH:
+            yield batch_of(some)
+            some, size = [], 0
+    if some:
+        yield batch_of(some)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -452,20 +456,27 @@ def line_offsets(spark: SparkSession, *roots: str, **settings) -> DataFrame:
     return counted.select("root_ord", "path", "piece", F.coalesce(F.sum("starts").over(above), F.lit(0)).alias("lines_before"))
 
 
-def read_named(named: DataFrame, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """The regular files below root that the paths (relative to it) name, each once; paths without one drop out.
-    Nothing else is listed or opened."""
+def read_named(named: DataFrame, root: str, extensions: tuple[str, ...] = (), by_row: bool = False) -> DataFrame:
+    """The regular files below root that the paths (relative to it) name, each once; paths without one drop out. By row,
+    root is the column that has each path's own root. Nothing else is listed or opened."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, reader = os.path.realpath(root), TreeReader({})
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        reader, tops = TreeReader({}), {}
         for batch in batches:
-            for rel in batch.column(0).to_pylist():
-                path = os.path.join(root, rel)
-                plain = os.path.isfile(path) and os.path.realpath(path) == os.path.join(top, rel)
-                for data, binary, part in reader.contents(path, -1) if plain else ():
-                    yield batch_of([(0, path, rel, data, binary, part)])
+            for at, rel in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = os.path.join(at, rel)
+                if at not in tops:
+                    tops[at] = os.path.realpath(at)
+                if os.path.isfile(path) and os.path.realpath(path) == os.path.join(tops[at], rel):
+                    yield from ((0, path, rel, *content) for content in reader.contents(path, -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(found(batches))
 
-    return named.select("path").where(F.col("path").isNotNull() & has_extension(F.col("path"), extensions)).distinct().mapInArrow(run, SCHEMA)
+    wanted = named.select((F.col(root) if by_row else F.lit(root)).alias("root"), "path")
+    kept = wanted.where(F.col("path").isNotNull() & has_extension(F.col("path"), extensions)).distinct()
+    # What opening a file costs isn't told by the bytes of its name.
+    return kept.repartition(4 * kept.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, SCHEMA)
 
 
 def write_tree(files: DataFrame, root: str) -> int:

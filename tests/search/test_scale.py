@@ -2,9 +2,12 @@
 
 import os
 import subprocess
+from datetime import datetime
 
 import pytest
 
+from quarry.plans import search as plans
+from quarry.schemas import HistoryConfig
 from quarry.sources import gitlog
 
 
@@ -30,6 +33,27 @@ def repositories(tmp_path_factory):
     return [str(top / f"r{k}") for k in range(4)]
 
 
+def found(spark, roots, **asked):
+    return sorted((r["file_path"], r["line_number"], r["line_content"], r["match_text"]) for r in plans.search(spark, HistoryConfig("func", tuple(roots), **asked)).collect())
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("MapInArrow") + plan.count("RelationV2")
+
+
+@pytest.mark.parametrize("asked", [{"author": "ann"}, {"author": "ann", "commit_message": True}, {"changed_in": "HEAD~1"}, {"since": datetime(2023, 1, 1)}], ids=str)
+def test_many_repositories_are_searched_by_one_plan(spark, repositories, monkeypatch, asked):
+    roots = repositories if "changed_in" not in asked else repositories[:3]
+    want = sorted(row for root in roots for row in found(spark, [root], **asked))
+    assert found(spark, roots, **asked) == want and want
+    monkeypatch.setattr(gitlog, "SPREAD", 1)
+    assert found(spark, roots, **asked) == want
+    assert found(spark, [*roots, roots[0]], **asked) == sorted(want + found(spark, roots[:1], **asked))
+    plan = lambda some: plans.search(spark, HistoryConfig("func", tuple(some), **asked))
+    assert scans(plan(roots)) == scans(plan(roots[:2]))
+
+
 def test_tasks_list_the_hashes_of_many_repositories(spark, repositories, monkeypatch):
     few = [sorted(map(str, t.collect())) for t in gitlog.read_history(spark, *repositories, slice_size=1)]
     monkeypatch.setattr(gitlog, "SPREAD", 3)
