@@ -356,15 +356,16 @@ class OffsetReader(TreeReader):
 class TreeStream(DataSourceStreamReader):
     """Files of a tree as they appear or change, each version once, in the order of (time of change, path): that pair is the offset.
 
-    A source isn't told where a query stands that starts again, but for the batch that it repeats. With the option state, a
-    file's path, the offset of the last batch planned is kept there, and each batch takes max_files of the next files at
-    most; without it, one takes all there are until the first has been planned. Either way batches are dealt into
+    A source isn't told where a query stands that starts again, but for the batch that it repeats, nor what its trigger is: a query
+    that runs until all is taken (availableNow) asks once how far that is. So a batch takes all there is, unless a query without
+    such a trigger asks for max_files of the next files at most. With the option state, a file's path, the offset of the
+    last batch planned is kept there, and max_files counts from the first batch on. Either way batches are dealt into
     partitions by bytes, which bound a task. Files that changed less than settle_ms ago wait, so that none can slip in
     behind an offset. The driver lists the tree for each batch."""
 
     def __init__(self, options: dict):
         self.reader, self.options, self.state = TreeReader(options), options, options.get("state", "")
-        self.most, self.settle = int(options.get("max_files", 1000)), int(options.get("settle_ms", 1000))
+        self.most, self.settle = int(options.get("max_files", 0)) or None, int(options.get("settle_ms", 1000))
         self.position = (-1, "") if self.state else None
         if self.state and os.path.exists(self.state):
             with open(self.state, encoding="utf-8") as f:
@@ -441,7 +442,7 @@ def read_tree(spark: SparkSession, *roots: str, skip: bool = True, ignore_file:
     return tree_reader(spark, roots, **options).load()
 
 
-def stream_tree(spark: SparkSession, *roots: str, max_files: int = 1000, settle_ms: int = 1000, state: str = "", **settings) -> DataFrame:
+def stream_tree(spark: SparkSession, *roots: str, max_files: int = 0, settle_ms: int = 1000, state: str = "", **settings) -> DataFrame:
     """Files of trees as they appear and change; see TreeStream. settings as for read_tree(); ignore files are read when a batch is listed."""
     options = {k: v if not isinstance(v, tuple) else ("," if k == "extensions" else "\n").join(v) for k, v in settings.items()}
     tree_reader(spark, roots)

@@ -6,9 +6,11 @@ from datetime import datetime
 
 import pytest
 
+from quarry.functions.patterns import compile_pattern
 from quarry.plans import search as plans
 from quarry.schemas import HistoryConfig
-from quarry.sources import gitlog
+from quarry.sources import gitlog, tree
+from quarry.streaming.files import deliver, stream_matches
 
 
 # --- many repositories ----------------------------------------------------------------------------
@@ -62,3 +64,17 @@ def test_tasks_list_the_hashes_of_many_repositories(spark, repositories, monkeyp
     many = gitlog.read_history(spark, *repositories, slice_size=1)
     assert [sorted(map(str, t.collect())) for t in many] == few and len(few[0]) == 10 and not listed
     assert many[0].rdd.getNumPartitions() == many[1].rdd.getNumPartitions() == gitlog.tasks(spark)  # however many slices there are
+
+
+# --- streams of trees ------------------------------------------------------------------------------
+
+
+def test_a_stream_that_starts_again_takes_all_that_has_come(spark, tmp_path):
+    root, got = tmp_path / "tree", []
+    root.mkdir()
+    for k in range(2):
+        for n in range(1100):
+            (root / f"{k}_{n}.txt").write_text("needle\n")
+        matches = stream_matches(tree.stream_tree(spark, str(root), settle_ms=0), compile_pattern("needle"))
+        deliver(matches, lambda batch, n: got.extend(os.path.basename(r["file_path"]) for r in batch.collect()), str(tmp_path / "state")).awaitTermination()
+        assert sorted(got) == sorted(f"{j}_{n}.txt" for j in range(k + 1) for n in range(1100))
