@@ -19,7 +19,7 @@ from quarry.plans import search as plans
 from quarry.schemas import MATCH, HistoryConfig, SearchConfig
 from quarry.sources import codehost, gitlog, sinks, tree
 from quarry.sources.shared import mounted, new_folder
-from quarry.sources.tables import as_files, chat_files, document_files, line_commit_files, order_commits, page_files, part_files, spread, table
+from quarry.sources.tables import as_files, chat_files, dealt, document_files, line_commit_files, order_commits, page_files, part_files, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,7 +88,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(kind == 0, go).when(kind == 1, py).when(kind == 2, js).otherwise(java)
     end = F.when(kind == 0, ".go").when(kind == 1, ".py").when(kind == 2, ".ts").otherwise(".java")
     path = F.concat(F.lit("src/"), size, F.lit("/"), F.col("p_partkey").cast("string"), end)
-    return as_files(table(spark, sf_dir, "part"), path, content)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return as_files(dealt(parts, "p_partkey"), path, content)
 
 
 CODE = """(SELECT 'src/' || p_size || '/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.java' END AS path,

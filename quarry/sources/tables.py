@@ -19,6 +19,16 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(cores) if files.select(F.lit(1)).rdd.getNumPartitions() < cores else files
 
 
+#: Rows of a partition at most, about, where each becomes a file.
+ROWS = 10_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key, so many to each task: a compact table's scan gives all to a few tasks, whose memory would grow with it."""
+    n = -(-rows.count() // ROWS)
+    return rows.repartition(n, key) if n > 1 else rows
+
+
 def as_files(df: DataFrame, path, content) -> DataFrame:
     return df.select(path.alias("path"), path.alias("rel_path"), content.alias("content"), is_binary(content.cast("binary")).alias("is_binary"))
 

@@ -6,10 +6,11 @@ from datetime import datetime
 
 import pytest
 
+from quarry import queries
 from quarry.functions.patterns import compile_pattern
 from quarry.plans import search as plans
 from quarry.schemas import HistoryConfig
-from quarry.sources import gitlog, tree
+from quarry.sources import gitlog, tables, tree
 from quarry.streaming.files import deliver, stream_matches
 
 
@@ -78,3 +79,15 @@ def test_a_stream_that_starts_again_takes_all_that_has_come(spark, tmp_path):
         matches = stream_matches(tree.stream_tree(spark, str(root), settle_ms=0), compile_pattern("needle"))
         deliver(matches, lambda batch, n: got.extend(os.path.basename(r["file_path"]) for r in batch.collect()), str(tmp_path / "state")).awaitTermination()
         assert sorted(got) == sorted(f"{j}_{n}.txt" for j in range(k + 1) for n in range(1100))
+
+
+# --- compact tables, indexes -----------------------------------------------------------------------
+
+
+def test_code_files_are_dealt_by_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(str, queries.code_files(spark, sf).collect()))
+    monkeypatch.setattr(tables, "ROWS", 30)
+    files = queries.code_files(spark, sf)
+    assert files.rdd.getNumPartitions() == -(-len(whole) // 30) > 1  # the scan alone gives one
+    assert sorted(map(str, files.collect())) == whole
