@@ -55,7 +55,7 @@ def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     for size, k, x, y in pairs:
         groups.setdefault(1 << (size - 1).bit_length(), []).append((k, bytes(x), bytes(y)))
     for width, group in groups.items():
-        step = max(1, (1 << 22) // width)
+        step = max(1, (1 << 18) // width)  # some fifty bytes of scratch for each
         for at in range(0, len(group), step):
             places, one, two = zip(*group[at : at + step], strict=True)
             out[list(places)] = jaro_of(list(one), list(two), width)

@@ -6,7 +6,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +51,27 @@ def functions_of(content: bytes) -> Iterator[tuple[str, str]]:
                         yield m[1].decode(), m[2].decode("utf-8", "replace")
 
 
+#: Bytes of contents whose names a task holds at once, about.
+PIECE = 2 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about PIECE bytes by its last column, or of one row: batches come by rows, however long these are."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+    start, done = 0, 0
+    while start < len(batch):
+        end = max(start + 1, int(np.searchsorted(size, done + PIECE, "right")))
+        yield batch.slice(start, end - start)
+        start, done = end, size[end - 1]
+
+
 def names(files: DataFrame, *by: str, called: bool = True) -> DataFrame:
     """by, kind (0: identifier, 1: function), text, details (parameters), n: the distinct names in files (content), with n of the times
-    that a function stands there (1 for identifiers). Contents are looked at once, and a batch's names leave it once."""
+    that a function stands there (1 for identifiers). Contents are looked at once, and the names of PIECE bytes leave together."""
     fields = files.select(*by).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             words: dict[tuple, set[bytes]] = {}
             functions: Counter[tuple] = Counter()
             keys = list(zip(*[batch.column(k).to_pylist() for k in range(len(by))], strict=True)) if by else [()] * len(batch)

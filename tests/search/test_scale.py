@@ -4,10 +4,12 @@ import os
 import subprocess
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 
 from quarry import queries
 from quarry.functions.patterns import compile_pattern
+from quarry.operators import fuzzy
 from quarry.plans import search as plans
 from quarry.schemas import HistoryConfig
 from quarry.sources import gitlog, tables, tree
@@ -91,3 +93,17 @@ def test_code_files_are_dealt_by_rows(spark, monkeypatch):
     files = queries.code_files(spark, sf)
     assert files.rdd.getNumPartitions() == -(-len(whole) // 30) > 1  # the scan alone gives one
     assert sorted(map(str, files.collect())) == whole
+
+
+# --- memory of Python tasks ------------------------------------------------------------------------
+
+
+def test_names_leave_a_batch_piece_by_piece(spark, monkeypatch):
+    texts = ["", None, "é" * 30, "x" * 500, *["some words"] * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int32()), pa.array(texts)], names=["root_ord", "content"])
+    monkeypatch.setattr(fuzzy, "PIECE", 100)
+    parts = list(fuzzy.pieces(batch))
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([batch]).to_pylist()
+    assert [len(p) for p in parts] == [3, 1, 10, 10, 10, 10]
+    assert list(fuzzy.pieces(batch.slice(0, 0))) == []
+    assert sum(map(len, fuzzy.pieces(batch.slice(1, 1)))) == 1
