@@ -98,6 +98,7 @@ class NameIndex:
             return None
         changed = pending.where("not gone").select("path")
         found = read(changed).where("path is not null").select("path", F.coalesce("content", F.lit("")).alias("content"))
+        found = self.staged("contents", batch, found)  # read once for symbols and words
         names = extract_symbols(to_lines(found, strip_cr=True))
         names = self.staged("symbols", batch, names.withColumn("bucket", bucket_of(F.lower("name"))))
         self.write("symbols", batch, names, "bucket", "name", "file")

@@ -10,6 +10,7 @@ import pytest
 from quarry import queries
 from quarry.functions.patterns import compile_pattern
 from quarry.operators import fuzzy
+from quarry.operators.name_index import NameIndex
 from quarry.plans import search as plans
 from quarry.schemas import HistoryConfig
 from quarry.sources import gitlog, tables, tree
@@ -107,3 +108,18 @@ def test_names_leave_a_batch_piece_by_piece(spark, monkeypatch):
     assert [len(p) for p in parts] == [3, 1, 10, 10, 10, 10]
     assert list(fuzzy.pieces(batch.slice(0, 0))) == []
     assert sum(map(len, fuzzy.pieces(batch.slice(1, 1)))) == 1
+
+
+def test_an_update_of_the_index_reads_the_files_once(spark, tmp_path):
+    looked = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            looked.add(len(batch))
+            yield batch
+
+    files = spark.createDataFrame([(f"{k}.py", f"def f{k}():\n    pass\n") for k in range(10)], "path string, content string")
+    index = NameIndex(spark, f"file://{tmp_path}/names")
+    assert index.update(files.selectExpr("path", "'1' AS version"), lambda changed: files.join(changed, "path", "left_semi").mapInArrow(look, files.schema)) == 0
+    assert looked.value == 10
+    assert index.find_definition("f3").count() == 1
