@@ -486,7 +486,7 @@ def write_tree(files: DataFrame, root: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content in ((p.as_py(), c.as_py()) for p, c in zip(*batch.columns, strict=True)):  # one text at a time
                 at = os.path.join(root, path)
                 os.makedirs(os.path.dirname(at), exist_ok=True)
                 draft = f"{at}.{os.getpid()}~"
